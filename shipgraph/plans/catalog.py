@@ -116,3 +116,388 @@ def q_top_delayed(spark, sf_dir):
 def flagship(spark, sf_dir) -> DataFrame:
     """shipments → derive → corridor stats → delayed → top-50 audit."""
     return q_top_delayed(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- stage 2: profiling
+from ..operators import profile as pf  # noqa: E402
+from ..operators import facility as fa  # noqa: E402
+from ..operators.graph import edges as ge  # noqa: E402
+
+DER_COLUMNS = list(RAW_COLUMNS) + ["delay_ratio", "delay_pct", "is_delayed", "is_sla_breach",
+                                   "corridor", "hour", "dow", "month", "is_weekend",
+                                   "is_rush_hour", "distance_km"]
+
+
+@query("dataset_summary", _w("""
+SELECT count(*) AS total_rows,
+  count(CASE WHEN data = 'training' THEN 1 END) AS train_rows,
+  count(CASE WHEN data = 'test' THEN 1 END) AS test_rows,
+  count(DISTINCT source_center) AS unique_sources,
+  count(DISTINCT destination_center) AS unique_destinations,
+  count(DISTINCT trip_uuid) AS unique_trips,
+  count(DISTINCT route_schedule_uuid) AS unique_schedules,
+  count(DISTINCT corridor) AS unique_corridors,
+  avg(CAST(is_sla_breach AS DOUBLE)) AS sla_breach_rate,
+  avg(CAST(is_delayed AS DOUBLE)) AS chronic_delay_rate,
+  median(delay_ratio) AS median_delay_ratio,
+  avg(delay_ratio) AS mean_delay_ratio
+FROM der""", *FINE))
+def q_dataset_summary(spark, sf_dir):
+    return pf.dataset_summary(derived(spark, sf_dir, "fine"))
+
+
+@query("route_type_dist", _w(
+    "SELECT route_type, count(*) AS n_rows, count(*) / sum(count(*)) OVER () AS share "
+    "FROM der GROUP BY route_type", *COARSE))
+def q_route_type_dist(spark, sf_dir):
+    return pf.value_share(derived(spark, sf_dir), "route_type")
+
+
+_MISSING_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing_count, "
+    f"round((count(*) - count({c})) / count(*) * 100, 3) AS missing_pct FROM der"
+    for c in DER_COLUMNS)
+
+
+@query("missing_report", _w(f"SELECT * FROM ({_MISSING_SQL}) WHERE missing_count > 0", *COARSE))
+def q_missing_report(spark, sf_dir):
+    return pf.missing_report(derived(spark, sf_dir).select(*DER_COLUMNS))
+
+
+@query("data_quality", _w("""
+SELECT 'non_positive_actual_time' AS issue, count(CASE WHEN actual_time <= 0 THEN 1 END) AS n_rows,
+       (1 - count(CASE WHEN actual_time <= 0 THEN 1 END) / count(*)) * 100 AS valid_pct FROM der
+UNION ALL SELECT 'non_positive_osrm_time', count(CASE WHEN osrm_time <= 0 THEN 1 END), NULL FROM der
+UNION ALL SELECT 'delay_ratio_over_10', count(CASE WHEN delay_ratio > 10 THEN 1 END), NULL FROM der
+UNION ALL SELECT 'negative_segment_factor', count(CASE WHEN segment_factor < 0 THEN 1 END), NULL FROM der
+UNION ALL SELECT 'same_source_destination', count(CASE WHEN source_center = destination_center THEN 1 END), NULL FROM der
+""", *COARSE))
+def q_data_quality(spark, sf_dir):
+    return pf.data_quality(derived(spark, sf_dir))
+
+
+_IQR_SQL = " UNION ALL ".join(f"""
+SELECT '{c}' AS "column", q1, q3, q3 - q1 AS iqr,
+  (SELECT count(*) FROM der WHERE {c} < q1 - 3 * (q3 - q1)) AS low_outliers,
+  (SELECT count(*) FROM der WHERE {c} > q3 + 3 * (q3 - q1)) AS high_outliers
+FROM (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM der)"""
+                              for c in pf.OUTLIER_COLUMNS)
+
+
+@query("iqr_outliers", _w(_IQR_SQL, *COARSE))
+def q_iqr(spark, sf_dir):
+    return pf.iqr_outliers(derived(spark, sf_dir))
+
+
+_DESC_SQL = " UNION ALL ".join(f"""
+SELECT '{c}' AS "column", round(CAST(count({c}) AS DOUBLE), 2) AS count, round(avg({c}), 2) AS mean,
+  round(stddev_samp({c}), 2) AS std, round(min({c}), 2) AS min,
+  round(quantile_cont({c}, 0.25), 2) AS p25, round(quantile_cont({c}, 0.5), 2) AS p50,
+  round(quantile_cont({c}, 0.75), 2) AS p75, round(max({c}), 2) AS max FROM der"""
+                               for c in pf.DESCRIBE_COLUMNS)
+
+
+@query("describe_numeric", _w(_DESC_SQL, *COARSE))
+def q_describe(spark, sf_dir):
+    return pf.describe_numeric(derived(spark, sf_dir))
+
+
+@query("sla_by_route", _w("SELECT route_type, avg(CAST(is_sla_breach AS DOUBLE)) AS "
+                          "sla_breach_rate FROM der GROUP BY route_type", *COARSE))
+def q_sla_by_route(spark, sf_dir):
+    return pf.rate_by(derived(spark, sf_dir), "route_type")
+
+
+@query("hourly_delay", _w("SELECT hour, avg(delay_ratio) AS mean_delay_ratio FROM der "
+                          "WHERE hour IS NOT NULL GROUP BY hour", *COARSE))
+def q_hourly(spark, sf_dir):
+    return pf.mean_by(derived(spark, sf_dir), "hour")
+
+
+@query("monthly_delay", _w(
+    "SELECT month, mean_delay_ratio, avg(mean_delay_ratio) OVER () AS mean_of_monthly_means "
+    "FROM (SELECT month, avg(delay_ratio) AS mean_delay_ratio FROM der "
+    "WHERE month IS NOT NULL GROUP BY month)", *COARSE))
+def q_monthly(spark, sf_dir):
+    return pf.monthly_delay(derived(spark, sf_dir))
+
+
+def _hist_sql(src, column, lo, hi, bins, by=None, density=False):
+    w = (hi - lo) / bins
+    keys = f"{by}, " if by else ""
+    part = f"PARTITION BY {by}" if by else ""
+    dens = (f", n_rows / (sum(n_rows) OVER ({part}) * {w!r}) AS density" if density else "")
+    return f"""
+SELECT {keys}bin, n_rows, {lo!r} + bin * {w!r} AS bin_lo, {lo!r} + (bin + 1) * {w!r} AS bin_hi{dens}
+FROM (SELECT {keys}CAST(least(floor((least(greatest({column}, {lo!r}), {hi!r}) - {lo!r}) / {w!r}), {bins - 1}) AS BIGINT) AS bin,
+             count(*) AS n_rows
+      FROM {src} WHERE {column} IS NOT NULL GROUP BY ALL)"""
+
+
+@query("delay_histogram", _w(_hist_sql("der", "delay_ratio", 0.0, 8.0, 80), *COARSE))
+def q_delay_hist(spark, sf_dir):
+    return pf.histogram(derived(spark, sf_dir), "delay_ratio", 0.0, 8.0, 80)
+
+
+@query("network_kpis", _w("""
+SELECT count(*) AS shipments, count(DISTINCT source_center) AS source_facilities,
+  median(delay_ratio) AS median_delay_ratio,
+  avg(CAST(is_sla_breach AS DOUBLE)) * 100 AS sla_breach_pct,
+  avg(CAST(COALESCE(actual_time > cutoff_factor * 1.5, false) AS DOUBLE)) * 100 AS realistic_breach_pct,
+  (SELECT count(*) FROM (SELECT source_center FROM der UNION SELECT destination_center FROM der)) AS all_facilities,
+  (SELECT count(*) FROM corr) AS corridors
+FROM der""", *FINE_CORR))
+def q_network_kpis(spark, sf_dir):
+    d = derived(spark, sf_dir, "fine")
+    return pf.network_kpis(d, co.corridor_stats(d))
+
+
+# ---------------------------------------------------------------- stage 3: cleaning
+LEAKY_SQL = "factor, segment_factor, od_end_time, cutoff_timestamp, start_scan_to_end_scan"
+
+
+@query("clean_shipments", _w(f"SELECT * EXCLUDE ({LEAKY_SQL}) FROM cln", *COARSE_CLEAN))
+def q_clean(spark, sf_dir):
+    return cl.clean_shipments(derived(spark, sf_dir)).drop("row_id")
+
+
+@query("split_counts", _w("SELECT data, count(*) AS n_rows FROM cln GROUP BY data",
+                          *COARSE_CLEAN))
+def q_split_counts(spark, sf_dir):
+    return cleaned(spark, sf_dir).groupBy("data").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("winsorize_by_group", _w("""
+SELECT d.trip_uuid, d.route_type, d.source_center, d.destination_center,
+  CASE WHEN d.actual_time IS NULL THEN NULL
+       ELSE least(greatest(d.actual_time, q.lo), q.hi) END AS actual_time
+FROM der d JOIN (SELECT route_type, quantile_cont(actual_time, 0.01) AS lo,
+                        quantile_cont(actual_time, 0.99) AS hi FROM der GROUP BY route_type) q
+  ON d.route_type = q.route_type""", *COARSE))
+def q_winsor(spark, sf_dir):
+    w = cl.winsorize_by_group(derived(spark, sf_dir), "actual_time", "route_type", 0.01, 0.99)
+    return w.select("trip_uuid", "route_type", "source_center", "destination_center",
+                    "actual_time")
+
+
+WINSOR_UPPER_SQL = """
+SELECT d.trip_uuid, d.route_type, d.source_center, d.destination_center, d.osrm_time,
+  least(d.actual_time, q.hi) AS actual_time,
+  least(d.actual_time, q.hi) / NULLIF(d.osrm_time, 0.0) AS delay_ratio
+FROM der d JOIN (SELECT route_type, quantile_cont(actual_time, 0.99) AS hi
+                 FROM der GROUP BY route_type) q ON d.route_type = q.route_type
+WHERE d.osrm_time > 0"""
+
+
+@query("winsorize_upper", _w(WINSOR_UPPER_SQL, *COARSE))
+def q_winsor_upper(spark, sf_dir):
+    return cl.winsorize_upper(derived(spark, sf_dir)).select(
+        "trip_uuid", "route_type", "source_center", "destination_center", "osrm_time",
+        "actual_time", "delay_ratio")
+
+
+@query("route_quantiles", _w("""
+SELECT q.route_type, q.q01_actual, q.q99_actual, q.q99_delay_ratio,
+  count(CASE WHEN d.actual_time > q.q99_actual THEN 1 END) AS n_above_q99,
+  round(avg(CAST(COALESCE(d.actual_time > q.q99_actual, false) AS DOUBLE)) * 100, 2) AS pct_above_q99
+FROM der d JOIN (SELECT route_type, quantile_cont(actual_time, 0.01) AS q01_actual,
+                        quantile_cont(actual_time, 0.99) AS q99_actual,
+                        quantile_cont(delay_ratio, 0.99) AS q99_delay_ratio
+                 FROM der GROUP BY route_type) q ON d.route_type = q.route_type
+GROUP BY ALL""", *COARSE))
+def q_route_quantiles(spark, sf_dir):
+    return cl.route_quantiles(derived(spark, sf_dir))
+
+
+@query("cleaning_impact", _w("""
+SELECT b.*, a.*, (1 - a.std_after / b.std_before) * 100 AS std_reduction_pct
+FROM (SELECT avg(actual_time) AS mean_before, stddev_samp(actual_time) AS std_before,
+             max(actual_time) AS max_before, max(delay_ratio) AS max_ratio_before FROM der) b,
+     (SELECT avg(actual_time) AS mean_after, stddev_samp(actual_time) AS std_after,
+             max(actual_time) AS max_after, max(delay_ratio) AS max_ratio_after FROM wu) a""",
+    *COARSE, ("wu", WINSOR_UPPER_SQL)))
+def q_cleaning_impact(spark, sf_dir):
+    d = derived(spark, sf_dir)
+    return cl.cleaning_impact(d, cl.winsorize_upper(d))
+
+
+@query("route_ratio_profile", _w("""
+SELECT route_type,
+  quantile_cont(least(greatest(delay_ratio, 0.0), 8.0), 0.5) AS median_ratio,
+  quantile_cont(least(greatest(delay_ratio, 0.0), 8.0), 0.95) AS p95_ratio
+FROM wu GROUP BY route_type""", *COARSE, ("wu", WINSOR_UPPER_SQL)))
+def q_route_ratio_profile(spark, sf_dir):
+    d = derived(spark, sf_dir)
+    return cl.route_ratio_profile(cl.winsorize_upper(d))
+
+
+@query("sla_clarification", _w("""
+SELECT b.original_breach_rate_pct, b.rows_before, a.realistic_breach_rate_pct,
+  a.severe_delay_pct, a.rows_after, round((1 - a.sa / b.sb) * 100, 1) AS std_reduction_pct
+FROM (SELECT round(avg(CAST(is_sla_breach AS DOUBLE)) * 100, 1) AS original_breach_rate_pct,
+             count(*) AS rows_before, stddev_samp(actual_time) AS sb FROM der) b,
+     (SELECT round(avg(CAST(COALESCE(w_actual > cutoff_factor * 1.5, false) AS DOUBLE)) * 100, 1)
+               AS realistic_breach_rate_pct,
+             round(avg(CAST(COALESCE(w_ratio > 2.0, false) AS DOUBLE)) * 100, 1) AS severe_delay_pct,
+             count(*) AS rows_after, stddev_samp(w_actual) AS sa
+      FROM (SELECT d.*, least(d.actual_time, q.hi) AS w_actual,
+                   least(d.actual_time, q.hi) / NULLIF(d.osrm_time, 0.0) AS w_ratio
+            FROM der d JOIN (SELECT route_type, quantile_cont(actual_time, 0.99) AS hi
+                             FROM der GROUP BY route_type) q ON d.route_type = q.route_type
+            WHERE d.osrm_time > 0)) a""",
+    *COARSE))
+def q_sla_clarification(spark, sf_dir):
+    d = derived(spark, sf_dir)
+    c = cl.winsorize_upper(d)
+    return cl.sla_clarification(d, c)
+
+
+@query("sla_recalibration", _w("""
+SELECT * FROM (VALUES (1.0), (1.5), (1.86)) s(cutoff_multiplier),
+LATERAL (SELECT avg(CAST(COALESCE(actual_time > cutoff_factor * s.cutoff_multiplier, false)
+                    AS DOUBLE)) AS breach_rate FROM der)""", *COARSE))
+def q_sla_recalibration(spark, sf_dir):
+    return cl.sla_recalibration(derived(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- stage 4: facility & graphs
+FAC_SQL = O.FACILITY.format(src="der")
+
+
+@query("facility_stats", _w("SELECT * FROM fac", *COARSE, ("fac", FAC_SQL)))
+def q_facility_stats(spark, sf_dir):
+    return fa.facility_stats(derived(spark, sf_dir))
+
+
+ROUTE_TYPE_CORR_SQL = """
+SELECT route_type, source_center, destination_center, median(delay_ratio) AS median_delay,
+  count(trip_uuid) AS trip_count, avg(CAST(is_sla_breach AS DOUBLE)) AS sla_rate
+FROM der GROUP BY ALL"""
+
+
+@query("route_type_corridors", _w(ROUTE_TYPE_CORR_SQL, *COARSE))
+def q_route_type_corridors(spark, sf_dir):
+    return co.route_type_corridors(derived(spark, sf_dir))
+
+
+SLOT_SQL = """CASE WHEN hour >= 0 AND hour < 6 THEN 'night_00_06'
+  WHEN hour >= 6 AND hour < 12 THEN 'morning_06_12'
+  WHEN hour >= 12 AND hour < 18 THEN 'afternoon_12_18'
+  WHEN hour >= 18 AND hour < 24 THEN 'evening_18_24' END"""
+TEMPORAL_SQL = f"""
+SELECT slot, source_center, destination_center, median(delay_ratio) AS median_delay,
+  count(trip_uuid) AS trip_count
+FROM (SELECT *, {SLOT_SQL} AS slot FROM der) WHERE slot IS NOT NULL GROUP BY ALL"""
+
+
+@query("temporal_corridors", _w(TEMPORAL_SQL, *COARSE))
+def q_temporal(spark, sf_dir):
+    return co.temporal_corridors(derived(spark, sf_dir))
+
+
+COARSE_CORR = O.base_ctes("coarse", corridor=True)
+BASE_EDGES = ("e", O.EDGES.format(corr="corr"))
+BASE_NODES = ("nodes", O.NODES.format(e="e"))
+
+
+def base_edges(spark, sf_dir) -> DataFrame:
+    return ge.corridor_edges(corridors(spark, sf_dir))
+
+
+@query("corridor_graph", _w("""
+SELECT 'base' AS graph, source_center AS src, destination_center AS dst,
+  CAST(trip_count AS DOUBLE) AS weight, trip_count, median_delay_ratio AS delay_ratio,
+  sla_breach_rate FROM corr
+UNION ALL
+SELECT 'delay', source_center, destination_center, median_delay_ratio, trip_count,
+  median_delay_ratio, sla_breach_rate FROM corr""", *COARSE_CORR))
+def q_corridor_graph(spark, sf_dir):
+    c = corridors(spark, sf_dir).withColumn("delay_ratio", F.col("median_delay_ratio"))
+    attrs = ["trip_count", "delay_ratio", "sla_breach_rate"]
+    base = ge.corridor_edges(c, "trip_count", edge_attrs=attrs).withColumn(
+        "trip_count", F.col("weight").cast("long"))
+    delay = ge.corridor_edges(c, "median_delay_ratio", edge_attrs=attrs)
+    cols = ["graph", "src", "dst", "weight", "trip_count", "delay_ratio", "sla_breach_rate"]
+    return (base.withColumn("graph", F.lit("base")).select(*cols)
+                .unionByName(delay.withColumn("graph", F.lit("delay")).select(*cols)))
+
+
+@query("graph_sizes", _w(f"""
+SELECT graph, count(DISTINCT f) AS n_nodes, count(*) // 2 AS n_edges FROM (
+  SELECT graph, src AS f FROM ge UNION ALL SELECT graph, dst FROM ge) GROUP BY graph""",
+    *COARSE_CORR,
+    ("ge", f"""SELECT 'base' AS graph, source_center AS src, destination_center AS dst FROM corr
+              UNION ALL SELECT 'delay', source_center, destination_center FROM corr
+              UNION ALL SELECT route_type, source_center, destination_center
+                        FROM ({ROUTE_TYPE_CORR_SQL})
+              UNION ALL SELECT slot, source_center, destination_center FROM ({TEMPORAL_SQL})""")))
+def q_graph_sizes(spark, sf_dir):
+    d = derived(spark, sf_dir)
+    c = co.corridor_stats(d)
+    base = ge.corridor_edges(c).select(F.lit("base").alias("graph"), "src", "dst")
+    delay = base.withColumn("graph", F.lit("delay"))
+    rt = co.route_type_corridors(d).select(F.col("route_type").alias("graph"),
+                                           F.col("source_center").alias("src"),
+                                           F.col("destination_center").alias("dst"))
+    tm = co.temporal_corridors(d).select(F.col("slot").alias("graph"),
+                                         F.col("source_center").alias("src"),
+                                         F.col("destination_center").alias("dst"))
+    return ge.graph_sizes(base.union(delay).union(rt).union(tm), ["graph"])
+
+
+@query("degrees", _w(O.DEGREES.format(nodes="nodes", e="e"), *COARSE_CORR, BASE_EDGES,
+                     BASE_NODES))
+def q_degrees(spark, sf_dir):
+    return ge.degrees(base_edges(spark, sf_dir))
+
+
+@query("top_degree", _w(O.DEGREES.format(nodes="nodes", e="e")
+                        + " ORDER BY total_degree DESC, facility LIMIT 15",
+                        *COARSE_CORR, BASE_EDGES, BASE_NODES))
+def q_top_degree(spark, sf_dir):
+    return co.top_k(ge.degrees(base_edges(spark, sf_dir)), 15, "total_degree", ["facility"])
+
+
+@query("undirected_edges", _w(
+    "SELECT least(src, dst) AS u, greatest(src, dst) AS v, sum(weight) AS weight "
+    "FROM e GROUP BY ALL", *COARSE_CORR, BASE_EDGES))
+def q_undirected(spark, sf_dir):
+    return ge.undirected(base_edges(spark, sf_dir))
+
+
+@query("top_volume_corridors", _w(
+    "SELECT * FROM corr ORDER BY trip_count DESC, source_center, destination_center LIMIT 300",
+    *FINE_CORR))
+def q_top_volume(spark, sf_dir):
+    return co.top_k(corridors(spark, sf_dir, "fine"), 300, "trip_count")
+
+
+@query("corridor_explorer", _w("""
+SELECT source_center, destination_center, trip_count, median_delay_ratio,
+  (median_delay_ratio - 1) * 100 AS delay_pct, sla_breach_rate, median_distance
+FROM corr WHERE trip_count >= 10 AND (median_delay_ratio - 1) * 100 >= 20 AND ftl_share > 0.5
+ORDER BY delay_pct DESC, source_center, destination_center LIMIT 50""", *FINE_CORR))
+def q_explorer(spark, sf_dir):
+    return co.corridor_explorer(corridors(spark, sf_dir, "fine"), 10, 20, "FTL", 50)
+
+
+@query("corridor_kpis", _w("""
+SELECT count(*) AS total_corridors,
+  count(CASE WHEN median_delay_ratio > 1.2 THEN 1 END) AS chronic_corridors,
+  count(CASE WHEN median_delay_ratio > 1.2 THEN 1 END) / count(*) * 100 AS chronic_pct,
+  (max(median_delay_ratio) - 1) * 100 AS worst_delay_pct,
+  avg(sla_breach_rate) * 100 AS avg_sla_breach_pct FROM corr""", *FINE_CORR))
+def q_corridor_kpis(spark, sf_dir):
+    return co.corridor_kpis(corridors(spark, sf_dir, "fine"))
+
+
+@query("route_entropy", _w("""
+SELECT source_center, destination_center,
+  -sum((n / t) * log2(n / t + 1e-10)) AS entropy
+FROM (SELECT *, sum(n) OVER (PARTITION BY source_center, destination_center) AS t
+      FROM (SELECT source_center, destination_center, route_type, count(*) AS n
+            FROM der WHERE route_type IS NOT NULL GROUP BY ALL))
+GROUP BY source_center, destination_center""", *FINE))
+def q_route_entropy(spark, sf_dir):
+    return co.categorical_entropy(derived(spark, sf_dir, "fine"),
+                                  ["source_center", "destination_center"], "route_type")

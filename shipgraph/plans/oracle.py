@@ -116,3 +116,41 @@ def base_ctes(grain: str = "coarse", clean: bool = False, corridor: bool = False
     if corridor:
         out.append(("corr", CORRIDOR.format(src=src)))
     return out
+
+
+FACILITY = """
+SELECT COALESCE(o.facility, i.facility) AS facility,
+  COALESCE(o.outbound_trips, 0) AS outbound_trips,
+  COALESCE(o.out_delay_ratio, 0) AS out_delay_ratio,
+  COALESCE(o.out_sla_breach, 0) AS out_sla_breach,
+  COALESCE(i.inbound_trips, 0) AS inbound_trips,
+  COALESCE(i.in_delay_ratio, 0) AS in_delay_ratio,
+  COALESCE(i.in_sla_breach, 0) AS in_sla_breach,
+  COALESCE(o.outbound_trips, 0) + COALESCE(i.inbound_trips, 0) AS total_trips,
+  (COALESCE(o.out_delay_ratio, 0) + COALESCE(i.in_delay_ratio, 0)) / 2 AS avg_delay_ratio,
+  (COALESCE(o.out_sla_breach, 0) + COALESCE(i.in_sla_breach, 0)) / 2 AS avg_sla_breach
+FROM (SELECT source_center AS facility, count(trip_uuid) AS outbound_trips,
+             median(delay_ratio) AS out_delay_ratio,
+             avg(CAST(is_sla_breach AS DOUBLE)) AS out_sla_breach
+      FROM {src} GROUP BY source_center) o
+FULL OUTER JOIN
+     (SELECT destination_center AS facility, count(trip_uuid) AS inbound_trips,
+             median(delay_ratio) AS in_delay_ratio,
+             avg(CAST(is_sla_breach AS DOUBLE)) AS in_sla_breach
+      FROM {src} GROUP BY destination_center) i
+ON o.facility = i.facility
+"""
+
+EDGES = "SELECT source_center AS src, destination_center AS dst, CAST(trip_count AS DOUBLE) AS weight FROM {corr}"
+
+NODES = "SELECT src AS facility FROM {e} UNION SELECT dst FROM {e}"
+
+DEGREES = """
+SELECT n.facility,
+  COALESCE(i.c, 0) AS in_degree, COALESCE(o.c, 0) AS out_degree,
+  COALESCE(i.c, 0) + COALESCE(o.c, 0) AS total_degree,
+  COALESCE(i.w, 0.0) AS in_degree_w, COALESCE(o.w, 0.0) AS out_degree_w
+FROM {nodes} n
+LEFT JOIN (SELECT dst AS f, count(*) AS c, sum(weight) AS w FROM {e} GROUP BY dst) i ON n.facility = i.f
+LEFT JOIN (SELECT src AS f, count(*) AS c, sum(weight) AS w FROM {e} GROUP BY src) o ON n.facility = o.f
+"""
