@@ -501,3 +501,179 @@ GROUP BY source_center, destination_center""", *FINE))
 def q_route_entropy(spark, sf_dir):
     return co.categorical_entropy(derived(spark, sf_dir, "fine"),
                                   ["source_center", "destination_center"], "route_type")
+
+
+# ---------------------------------------------------------------- stage 5-7: graph algorithms
+from ..operators import risk as rk  # noqa: E402
+from ..operators.graph import community as cm  # noqa: E402
+from ..operators.graph import pagerank as gp  # noqa: E402
+from ..operators.graph import paths as gpaths  # noqa: E402
+from ..sources.tables import region_communities  # noqa: E402
+
+ITERS = 10   # power-iteration steps of the checked PageRank/HITS queries
+
+
+def _wr(body: str, *ctes) -> str:
+    return O.ctes_rec(*ctes) + body
+
+
+GRAPH = [*COARSE_CORR, BASE_EDGES, BASE_NODES]
+CENT = GRAPH + O.centrality_ctes("e", "nodes", ITERS)
+NODEF = CENT + [("fac", FAC_SQL), ("comm", O.REGION_COMMUNITY), ("nf", O.NODE_FEATURES),
+                ("risk", O.RISK)]
+
+
+@query("pagerank", _wr("SELECT * FROM pr", *GRAPH, *O.pagerank_ctes("e", "nodes", ITERS)))
+def q_pagerank(spark, sf_dir):
+    return gp.pagerank(base_edges(spark, sf_dir), iterations=ITERS)
+
+
+@query("hits", _wr("SELECT * FROM hits", *GRAPH, *O.hits_ctes("e", "nodes", ITERS)))
+def q_hits(spark, sf_dir):
+    return gp.hits(base_edges(spark, sf_dir), iterations=ITERS)
+
+
+@query("closeness", _wr(O.closeness_sql("dist", "nodes"), *GRAPH, *O.apsp_ctes("e", "nodes")))
+def q_closeness(spark, sf_dir):
+    return gpaths.closeness(base_edges(spark, sf_dir))
+
+
+@query("betweenness", _wr("SELECT * FROM btw", *GRAPH, *O.apsp_ctes("e", "nodes"),
+                          *O.betweenness_ctes("e", "nodes")))
+def q_betweenness(spark, sf_dir):
+    return gpaths.betweenness(base_edges(spark, sf_dir))
+
+
+@query("node_centrality", _wr("SELECT * FROM cent", *CENT))
+def q_node_centrality(spark, sf_dir):
+    return rk.node_centrality(base_edges(spark, sf_dir), iterations=ITERS)
+
+
+def risk_nodes(spark, sf_dir, community=None):
+    """Centralities ⋈ facility stats ⋈ communities → risk score (coarse view)."""
+    d = derived(spark, sf_dir)
+    e = ge.corridor_edges(co.corridor_stats(d))
+    cent = rk.node_centrality(e, iterations=ITERS)
+    comm = community if community is not None else region_communities(spark, sf_dir)
+    return rk.structural_risk(rk.node_features(cent, fa.facility_stats(d), comm))
+
+
+@query("node_features", _wr("SELECT * FROM nf", *NODEF[:-1]))
+def q_node_features(spark, sf_dir):
+    d = derived(spark, sf_dir)
+    e = ge.corridor_edges(co.corridor_stats(d))
+    return rk.node_features(rk.node_centrality(e, iterations=ITERS), fa.facility_stats(d),
+                            region_communities(spark, sf_dir))
+
+
+@query("structural_risk", _wr("SELECT * FROM risk", *NODEF))
+def q_structural_risk(spark, sf_dir):
+    return risk_nodes(spark, sf_dir)
+
+
+@query("risk_rank", _wr("""
+SELECT facility, structural_risk_score,
+  CAST(floor(rank() OVER (ORDER BY structural_risk_score DESC)
+             + (count(*) OVER (PARTITION BY structural_risk_score) - 1) / 2.0) AS BIGINT) AS risk_rank
+FROM risk""", *NODEF))
+def q_risk_rank(spark, sf_dir):
+    return rk.risk_rank(risk_nodes(spark, sf_dir)).select(
+        "facility", "structural_risk_score", "risk_rank")
+
+
+@query("top_hubs", _wr("""
+SELECT row_number() OVER (ORDER BY structural_risk_score DESC, facility) AS rank, facility,
+  structural_risk_score, betweenness, pagerank, total_trips, avg_sla_breach, avg_delay_ratio,
+  community_id, in_degree, out_degree, round(betweenness * 100, 3) AS betweenness_pct,
+  round(avg_sla_breach * 100, 1) AS sla_breach_pct, round(avg_delay_ratio, 2) AS delay_ratio,
+  round(structural_risk_score, 4) AS risk_score
+FROM risk ORDER BY structural_risk_score DESC, facility LIMIT 20""", *NODEF))
+def q_top_hubs(spark, sf_dir):
+    return rk.top_hubs(risk_nodes(spark, sf_dir), 20)
+
+
+@query("risk_components", _wr("""
+SELECT facility, norm_betweenness, norm_sla_breach, norm_delay, norm_throughput, norm_pagerank,
+  structural_risk_score FROM risk ORDER BY structural_risk_score DESC, facility LIMIT 25""",
+    *NODEF))
+def q_risk_components(spark, sf_dir):
+    return rk.risk_components(risk_nodes(spark, sf_dir))
+
+
+ENRICHED_SQL = """
+SELECT c.*, COALESCE(s.betweenness, 0.0) AS src_betweenness,
+  COALESCE(d.betweenness, 0.0) AS dst_betweenness, COALESCE(s.pagerank, 0.0) AS src_pagerank,
+  COALESCE(d.pagerank, 0.0) AS dst_pagerank, COALESCE(s.structural_risk_score, 0.0) AS src_risk,
+  COALESCE(d.structural_risk_score, 0.0) AS dst_risk,
+  COALESCE(s.community_id, -1) AS src_community, COALESCE(d.community_id, -1) AS dst_community,
+  CAST(COALESCE(s.community_id, -1) <> COALESCE(d.community_id, -1) AS INTEGER) AS cross_community,
+  (COALESCE(s.structural_risk_score, 0.0) + COALESCE(d.structural_risk_score, 0.0)) / 2
+    AS corridor_risk
+FROM corr c LEFT JOIN risk s ON c.source_center = s.facility
+LEFT JOIN risk d ON c.destination_center = d.facility"""
+
+
+@query("corridor_enriched", _wr(ENRICHED_SQL, *NODEF))
+def q_corridor_enriched(spark, sf_dir):
+    return rk.corridor_enriched(corridors(spark, sf_dir), risk_nodes(spark, sf_dir))
+
+
+@query("ego_subgraph", _wr("""
+SELECT * FROM e WHERE src IN (SELECT facility FROM ego) AND dst IN (SELECT facility FROM ego)""",
+    *NODEF, ("ego", """
+SELECT facility FROM (SELECT facility FROM risk ORDER BY structural_risk_score DESC, facility LIMIT 30)
+UNION SELECT dst FROM e WHERE src IN (SELECT facility FROM (SELECT facility FROM risk
+       ORDER BY structural_risk_score DESC, facility LIMIT 5))
+UNION SELECT src FROM e WHERE dst IN (SELECT facility FROM (SELECT facility FROM risk
+       ORDER BY structural_risk_score DESC, facility LIMIT 5))""")))
+def q_ego(spark, sf_dir):
+    return rk.ego_subgraph(base_edges(spark, sf_dir), risk_nodes(spark, sf_dir))
+
+
+@query("community_subgraph", _wr("""
+SELECT * FROM e WHERE src IN (SELECT facility FROM fac WHERE total_trips > 5)
+                  AND dst IN (SELECT facility FROM fac WHERE total_trips > 5)""",
+    *GRAPH, ("fac", FAC_SQL)))
+def q_community_subgraph(spark, sf_dir):
+    d = derived(spark, sf_dir)
+    e = ge.corridor_edges(co.corridor_stats(d))
+    return rk.community_subgraph(e, fa.facility_stats(d))
+
+
+@query("hub_exposure", _wr("""
+SELECT count(CASE WHEN t THEN 1 END) AS affected_trips,
+  count(CASE WHEN t THEN 1 END) / count(*) * 100 AS affected_pct,
+  avg(CASE WHEN t THEN CAST(is_sla_breach AS DOUBLE) END) AS affected_breach_rate
+FROM (SELECT *, (source_center IN (SELECT facility FROM h3) OR destination_center IN
+                 (SELECT facility FROM h3)) AS t FROM der)""",
+    *NODEF, ("h3", "SELECT facility FROM risk ORDER BY structural_risk_score DESC, facility LIMIT 3")))
+def q_hub_exposure(spark, sf_dir):
+    return rk.hub_exposure(derived(spark, sf_dir), risk_nodes(spark, sf_dir))
+
+
+@query("modularity", _wr("""
+SELECT sum(COALESCE(l.L, 0.0) / (SELECT sum(weight) FROM und)
+           - power(k.D / (2 * (SELECT sum(weight) FROM und)), 2)) AS modularity
+FROM (SELECT c.community_id AS c, sum(s.k) AS D
+      FROM (SELECT i, sum(weight) AS k FROM (SELECT u AS i, weight FROM und
+                                             UNION ALL SELECT v, weight FROM und) GROUP BY i) s
+      JOIN comm c ON s.i = c.facility GROUP BY c.community_id) k
+LEFT JOIN (SELECT a.community_id AS c, sum(u.weight) AS L FROM und u
+           JOIN comm a ON u.u = a.facility JOIN comm b ON u.v = b.facility
+           WHERE a.community_id = b.community_id GROUP BY a.community_id) l ON k.c = l.c""",
+    *GRAPH, ("comm", O.REGION_COMMUNITY),
+    ("und", "SELECT least(src, dst) AS u, greatest(src, dst) AS v, sum(weight) AS weight "
+            "FROM e GROUP BY ALL")))
+def q_modularity(spark, sf_dir):
+    return cm.modularity(base_edges(spark, sf_dir), region_communities(spark, sf_dir))
+
+
+@query("communities")
+def q_communities(spark, sf_dir):
+    return cm.communities(base_edges(spark, sf_dir))
+
+
+@query("community_summary")
+def q_community_summary(spark, sf_dir):
+    e = base_edges(spark, sf_dir)
+    return cm.community_summary(cm.communities(e), e)

@@ -154,3 +154,150 @@ FROM {nodes} n
 LEFT JOIN (SELECT dst AS f, count(*) AS c, sum(weight) AS w FROM {e} GROUP BY dst) i ON n.facility = i.f
 LEFT JOIN (SELECT src AS f, count(*) AS c, sum(weight) AS w FROM {e} GROUP BY src) o ON n.facility = o.f
 """
+
+
+def ctes_rec(*pairs) -> str:
+    """Like :func:`ctes` but allows recursive members (given as (name, sql, True))."""
+    parts = []
+    for p in pairs:
+        if len(p) == 3 and p[2]:
+            parts.append(f"{p[0]} AS ({p[1]})")
+        else:
+            parts.append(f"{p[0]} AS MATERIALIZED ({p[1]})")
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n"
+
+
+def pagerank_ctes(e: str = "e", nodes: str = "nodes", iters: int = 20,
+                  alpha: float = 0.85, out: str = "pr") -> list:
+    """Unrolled power iteration, same update as the Spark operator."""
+    cs = [("pr_n", f"SELECT count(*) AS n FROM {nodes}"),
+          ("pr_t", f"SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS p "
+                   f"FROM {e} WHERE weight <> 0"),
+          ("pr_dg", f"SELECT facility FROM {nodes} WHERE facility NOT IN "
+                    f"(SELECT src FROM pr_t)"),
+          ("pr_0", f"SELECT facility, 1.0 / (SELECT n FROM pr_n) AS x FROM {nodes}")]
+    for i in range(1, iters + 1):
+        prev = f"pr_{i - 1}"
+        cs.append((f"pr_{i}", f"""
+SELECT n.facility, {alpha!r} * COALESCE(c.v, 0.0)
+  + ({alpha!r} * (SELECT COALESCE(sum(x), 0.0) FROM {prev} WHERE facility IN (SELECT facility FROM pr_dg))
+     + {1 - alpha!r}) / (SELECT n FROM pr_n) AS x
+FROM {nodes} n LEFT JOIN (SELECT t.dst, sum(p.x * t.p) AS v FROM {prev} p
+                          JOIN pr_t t ON p.facility = t.src GROUP BY t.dst) c
+  ON n.facility = c.dst"""))
+    cs.append((out, f"SELECT facility, x AS pagerank FROM pr_{iters}"))
+    return cs
+
+
+def hits_ctes(e: str = "e", nodes: str = "nodes", iters: int = 20, out: str = "hits") -> list:
+    cs = [("h_e", f"SELECT src, dst, weight FROM {e} WHERE weight <> 0"),
+          ("h_0", f"SELECT facility, 1.0 AS h, 0.0 AS a FROM {nodes}")]
+    for i in range(1, iters + 1):
+        prev = f"h_{i - 1}"
+        cs.append((f"a_{i}", f"""
+SELECT facility, a / sum(a) OVER () AS a FROM (
+  SELECT t.dst AS facility, sum(p.h * t.weight) AS a FROM {prev} p JOIN h_e t ON p.facility = t.src
+  GROUP BY t.dst)"""))
+        cs.append((f"h_{i}", f"""
+SELECT n.facility, COALESCE(hh.h, 0.0) AS h, COALESCE(aa.a, 0.0) AS a
+FROM {nodes} n
+LEFT JOIN (SELECT facility, h / sum(h) OVER () AS h FROM (
+             SELECT t.src AS facility, sum(q.a * t.weight) AS h FROM a_{i} q
+             JOIN h_e t ON q.facility = t.dst GROUP BY t.src)) hh ON n.facility = hh.facility
+LEFT JOIN a_{i} aa ON n.facility = aa.facility"""))
+    cs.append((out, f"SELECT facility, h AS hub_score, a AS authority_score FROM h_{iters}"))
+    return cs
+
+
+def apsp_ctes(e: str = "e", nodes: str = "nodes", rounds: int = 6, out: str = "dist") -> list:
+    """Min-plus squaring: after r rounds every shortest path of up to 2^r hops."""
+    cs = [("dist_0", f"""
+SELECT s, t, min(d) AS d FROM (
+  SELECT facility AS s, facility AS t, 0.0 AS d FROM {nodes}
+  UNION ALL SELECT src, dst, weight FROM {e} WHERE src <> dst) GROUP BY s, t""")]
+    for i in range(1, rounds + 1):
+        p = f"dist_{i - 1}"
+        cs.append((f"dist_{i}", f"""
+SELECT a.s, b.t, min(a.d + b.d) AS d FROM {p} a JOIN {p} b ON a.t = b.s GROUP BY a.s, b.t"""))
+    cs.append((out, f"SELECT * FROM dist_{rounds}"))
+    return cs
+
+
+def closeness_sql(dist: str = "dist", nodes: str = "nodes") -> str:
+    return f"""
+SELECT n.facility, COALESCE(CASE WHEN c.tot > 0 AND (SELECT count(*) FROM {nodes}) > 1
+    THEN (c.r / c.tot) * (c.r / ((SELECT count(*) FROM {nodes}) - 1)) END, 0.0) AS closeness
+FROM {nodes} n LEFT JOIN (SELECT t, count(*) AS r, sum(d) AS tot FROM {dist}
+                          WHERE s <> t GROUP BY t) c ON n.facility = c.t"""
+
+
+def betweenness_ctes(e: str = "e", nodes: str = "nodes", dist: str = "dist",
+                     out: str = "btw") -> list:
+    """Path counts by enumerating shortest paths over tight edges (recursive),
+    then pair dependencies σ(s,v)σ(v,t)/σ(s,t) summed per v."""
+    return [
+        ("b_tight", f"""
+SELECT dv.s, x.src AS v, x.dst AS w FROM {dist} dv
+JOIN {e} x ON dv.t = x.src AND x.src <> x.dst
+JOIN {dist} dw ON dw.s = dv.s AND dw.t = x.dst
+WHERE dv.d + x.weight = dw.d"""),
+        ("b_paths", f"""
+SELECT facility AS s, facility AS w FROM {nodes}
+UNION ALL SELECT p.s, t.w FROM b_paths p JOIN b_tight t ON p.s = t.s AND p.w = t.v""", True),
+        ("b_sigma", "SELECT s, w AS t, CAST(count(*) AS DOUBLE) AS sigma FROM b_paths GROUP BY s, w"),
+        (out, f"""
+SELECT n.facility, COALESCE(b.bc, 0.0) / (((SELECT count(*) FROM {nodes}) - 1.0)
+                                       * ((SELECT count(*) FROM {nodes}) - 2.0)) AS betweenness
+FROM {nodes} n LEFT JOIN (
+  SELECT sv.t AS facility, sum(sv.sigma * vt.sigma / st.sigma) AS bc
+  FROM b_sigma sv
+  JOIN b_sigma vt ON vt.s = sv.t
+  JOIN b_sigma st ON st.s = sv.s AND st.t = vt.t
+  JOIN {dist} d1 ON d1.s = sv.s AND d1.t = sv.t
+  JOIN {dist} d2 ON d2.s = sv.t AND d2.t = vt.t
+  JOIN {dist} d3 ON d3.s = sv.s AND d3.t = vt.t
+  WHERE sv.s <> sv.t AND vt.t <> sv.t AND sv.s <> vt.t AND d1.d + d2.d = d3.d
+  GROUP BY sv.t) b ON n.facility = b.facility"""),
+    ]
+
+
+def centrality_ctes(e: str = "e", nodes: str = "nodes", iters: int = 20) -> list:
+    """All node centralities as one CTE ``cent`` (GRF16)."""
+    return (pagerank_ctes(e, nodes, iters) + hits_ctes(e, nodes, iters) + apsp_ctes(e, nodes)
+            + betweenness_ctes(e, nodes)
+            + [("deg", DEGREES.format(nodes=nodes, e=e)),
+               ("clo", closeness_sql("dist", nodes)),
+               ("cent", """
+SELECT d.facility, d.in_degree, d.out_degree, d.total_degree, d.in_degree_w, d.out_degree_w,
+  b.betweenness, p.pagerank, c.closeness, h.hub_score, h.authority_score
+FROM deg d JOIN btw b USING (facility) JOIN pr p USING (facility) JOIN clo c USING (facility)
+JOIN hits h USING (facility)""")])
+
+
+REGION_COMMUNITY = """
+SELECT 'NAT' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS facility,
+       CAST(n_regionkey AS BIGINT) AS community_id FROM nation"""
+
+NODE_FEATURES = """
+SELECT c.*, COALESCE(g.community_id, -1) AS community_id,
+  COALESCE(f.outbound_trips, 0) AS outbound_trips, COALESCE(f.out_delay_ratio, 0) AS out_delay_ratio,
+  COALESCE(f.out_sla_breach, 0) AS out_sla_breach, COALESCE(f.inbound_trips, 0) AS inbound_trips,
+  COALESCE(f.in_delay_ratio, 0) AS in_delay_ratio, COALESCE(f.in_sla_breach, 0) AS in_sla_breach,
+  COALESCE(f.total_trips, 0) AS total_trips, COALESCE(f.avg_delay_ratio, 0) AS avg_delay_ratio,
+  COALESCE(f.avg_sla_breach, 0) AS avg_sla_breach
+FROM cent c LEFT JOIN fac f USING (facility) LEFT JOIN comm g USING (facility)"""
+
+RISK = """
+SELECT n.*, nb AS norm_betweenness, ns AS norm_sla_breach, nd AS norm_delay,
+  nt AS norm_throughput, np AS norm_pagerank,
+  0.3 * nb + 0.25 * ns + 0.2 * nd + 0.15 * nt + 0.1 * np AS structural_risk_score
+FROM nf n, LATERAL (SELECT
+  (n.betweenness - m.b0) / (m.b1 - m.b0 + 1e-10) AS nb,
+  (n.avg_sla_breach - m.s0) / (m.s1 - m.s0 + 1e-10) AS ns,
+  (n.avg_delay_ratio - m.d0) / (m.d1 - m.d0 + 1e-10) AS nd,
+  (n.total_trips - m.t0) / (m.t1 - m.t0 + 1e-10) AS nt,
+  (n.pagerank - m.p0) / (m.p1 - m.p0 + 1e-10) AS np
+  FROM (SELECT min(betweenness) b0, max(betweenness) b1, min(avg_sla_breach) s0,
+               max(avg_sla_breach) s1, min(avg_delay_ratio) d0, max(avg_delay_ratio) d1,
+               min(total_trips) t0, max(total_trips) t1, min(pagerank) p0, max(pagerank) p1
+        FROM nf) m)"""

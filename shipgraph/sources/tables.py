@@ -127,3 +127,11 @@ def supplier_chain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
                     facility_id("SUP", F.lead("l_suppkey").over(w), 7).alias("dst"))
     return (nxt.where(F.col("dst").isNotNull())
                .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("trip_count")))
+
+
+def region_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fixed facility → community assignment for the coarse view: the
+    nation's region (used where a check needs a deterministic partition)."""
+    n = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"])
+    return n.select(facility_id("NAT", F.col("n_nationkey"), 3).alias("facility"),
+                    F.col("n_regionkey").cast("long").alias("community_id"))
