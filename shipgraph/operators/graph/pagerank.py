@@ -38,17 +38,18 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, max_iter: int = 500,
     steps = iterations if iterations is not None else max_iter
     db = bounded(dangling, n)
     for i in range(1, steps + 1):
-        # the dangling mass is one number: collect it instead of joining it back
-        dmass = x.join(db, "facility", "left_semi").agg(F.sum("x")).first()[0] or 0.0
+        # x is materialised, so using it twice in one plan costs no recompute;
+        # the dangling mass is a one-row aggregate joined by a one-row cross join
+        dmass = (x.join(db, "facility", "left_semi")
+                  .agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("_d")))
         xb = bounded(x, n)
         contrib = (trans.join(xb, xb.facility == trans.src)
                         .groupBy(F.col("dst").alias("facility"))
                         .agg(F.sum(F.col("x") * F.col("p")).alias("_c")))
-        base = (alpha * dmass + (1 - alpha)) / n
-        new = (nodes.join(bounded(contrib, n), "facility", "left")
+        new = (nodes.join(bounded(contrib, n), "facility", "left").crossJoin(dmass)
                     .select("facility",
-                            (alpha * F.coalesce(F.col("_c"), F.lit(0.0)) + F.lit(base))
-                            .alias("x")))
+                            (alpha * F.coalesce(F.col("_c"), F.lit(0.0))
+                             + (alpha * F.col("_d") + (1 - alpha)) / n).alias("x")))
         new = loop.keep(new, i + 1)
         if iterations is None:
             err = (new.join(bounded(x.withColumnRenamed("x", "_old"), n), "facility")
@@ -71,35 +72,37 @@ def hits(edges: DataFrame, max_iter: int = 1000, tol: float | None = 1e-8,
     nodes = loop.hold(vertices(edges))
     e = loop.hold(edges.where(F.col("weight") != 0).select("src", "dst", "weight"))
     n = nodes.count()
-    h = loop.keep(nodes.withColumn("h", F.lit(1.0)), 1)
+    h = loop.keep(nodes.withColumn("h", F.lit(1.0)).withColumn("a", F.lit(0.0)), 1)
     steps = iterations if iterations is not None else max_iter
-    a = None
+
+    def normalised(df: DataFrame, c: str) -> DataFrame:
+        return (df.crossJoin(df.agg(F.sum(c).alias("_s")))
+                  .select("facility", (F.col(c) / F.col("_s")).alias(c)))
+
     step = 1
     for i in range(1, steps + 1):
-        hb = bounded(h, n)
-        a_raw = loop.keep(e.join(hb, hb.facility == e.src)
-                           .groupBy(F.col("dst").alias("facility"))
-                           .agg(F.sum(F.col("h") * F.col("weight")).alias("a")), step := step + 1)
-        sa = a_raw.agg(F.sum("a")).first()[0] or 1.0
-        a_new = a_raw.select("facility", (F.col("a") / F.lit(sa)).alias("a"))
+        hb = bounded(h.select("facility", "h"), n)
+        # authority step materialised so the hub step and the join reuse it
+        a_new = loop.keep(normalised(e.join(hb, hb.facility == e.src)
+                                      .groupBy(F.col("dst").alias("facility"))
+                                      .agg(F.sum(F.col("h") * F.col("weight")).alias("a")), "a"),
+                          step := step + 1, release=False)
         ab = bounded(a_new, n)
-        h_raw = loop.keep(e.join(ab, ab.facility == e.dst)
-                           .groupBy(F.col("src").alias("facility"))
-                           .agg(F.sum(F.col("a") * F.col("weight")).alias("h")), step := step + 1,
-                          release=False)
-        sh = h_raw.agg(F.sum("h")).first()[0] or 1.0
-        h_new = h_raw.select("facility", (F.col("h") / F.lit(sh)).alias("h"))
-        if iterations is None and a is not None:
-            err = (a_new.join(bounded(a.withColumnRenamed("a", "_o"), n), "facility", "full_outer")
-                        .agg(F.sum(F.abs(F.coalesce("a", F.lit(0.0))
-                                         - F.coalesce("_o", F.lit(0.0))))).first()[0])
-            a, h = a_new, h_new
+        h_new = normalised(e.join(ab, ab.facility == e.dst)
+                            .groupBy(F.col("src").alias("facility"))
+                            .agg(F.sum(F.col("a") * F.col("weight")).alias("h")), "h")
+        new = loop.keep(nodes.join(bounded(h_new, n), "facility", "left")
+                             .join(bounded(a_new, n), "facility", "left")
+                             .select("facility", F.coalesce("h", F.lit(0.0)).alias("h"),
+                                     F.coalesce("a", F.lit(0.0)).alias("a")), step := step + 1)
+        if iterations is None and i > 1:
+            err = (new.join(bounded(h.select("facility", F.col("a").alias("_o")), n), "facility")
+                      .agg(F.sum(F.abs(F.col("a") - F.col("_o")))).first()[0])
+            h = new
             if err < tol:
                 break
         else:
-            a, h = a_new, h_new
-    a = (nodes.join(bounded(h, n), "facility", "left").join(bounded(a, n), "facility", "left")
-              .select("facility", F.coalesce("h", F.lit(0.0)).alias("h"),
-                      F.coalesce("a", F.lit(0.0)).alias("a")))
+            h = new
+    a = h
     return a.select("facility", F.col("h").alias("hub_score"),
                     F.col("a").alias("authority_score"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import average_rank_desc
+from ..session import cut_lineage
 from .corridor import KEYS, top_k
 from .graph.edges import degrees, induced_subgraph, neighbourhood, vertices
 from .graph.pagerank import hits, pagerank
@@ -47,7 +48,9 @@ def node_centrality(edges: DataFrame, iterations: int | None = None,
         out = out.join(p, "facility", "left")
     cols = ["in_degree", "out_degree", "total_degree", "in_degree_w", "out_degree_w",
             "betweenness", "pagerank", "closeness", "hub_score", "authority_score"]
-    return out.select("facility", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in cols])
+    # one row per vertex: written once to the checkpoint folder and reused
+    return cut_lineage(out.select("facility",
+                                  *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in cols]))
 
 
 def node_features(centrality: DataFrame, facility: DataFrame,

@@ -12,6 +12,7 @@ from ..functions.exprs import normalise_output
 from ..operators import clean as cl
 from ..operators import corridor as co
 from ..operators.derive import derive_shipments, drop_leaky, impute_names
+from ..session import cut_lineage
 from ..sources.tables import RAW_COLUMNS, shipments
 from . import oracle as O
 
@@ -555,7 +556,7 @@ def risk_nodes(spark, sf_dir, community=None):
     e = ge.corridor_edges(co.corridor_stats(d))
     cent = rk.node_centrality(e, iterations=ITERS)
     comm = community if community is not None else region_communities(spark, sf_dir)
-    return rk.structural_risk(rk.node_features(cent, fa.facility_stats(d), comm))
+    return cut_lineage(rk.structural_risk(rk.node_features(cent, fa.facility_stats(d), comm)))
 
 
 @query("node_features", _wr("SELECT * FROM nf", *NODEF[:-1]))
@@ -677,3 +678,89 @@ def q_communities(spark, sf_dir):
 def q_community_summary(spark, sf_dir):
     e = base_edges(spark, sf_dir)
     return cm.community_summary(cm.communities(e), e)
+
+
+# ---------------------------------------------------------------- stage 8: features
+from ..operators import features as fe  # noqa: E402
+
+
+def feature_inputs(spark, sf_dir, community=None):
+    """Canonical order: clean → corridors → graph + centralities → node risk →
+    corridor enrichment.  The cleaned table feeds three aggregations and the
+    feature join, so it is persisted once (recomputed from lineage if an
+    executor is lost)."""
+    c = cleaned(spark, sf_dir).persist()
+    corr = co.corridor_stats(c)
+    cent = rk.node_centrality(ge.corridor_edges(corr), iterations=ITERS)
+    comm = community if community is not None else region_communities(spark, sf_dir)
+    nodes = cut_lineage(rk.structural_risk(rk.node_features(cent, fa.facility_stats(c), comm)))
+    return c, nodes, cut_lineage(rk.corridor_enriched(corr, nodes))
+
+
+def features(spark, sf_dir, community=None) -> DataFrame:
+    c, nodes, enr = feature_inputs(spark, sf_dir, community)
+    return fe.feature_store(c, nodes, enr)
+
+
+CLEAN_GRAPH = [*O.base_ctes("coarse", clean=True, corridor=True), BASE_EDGES, BASE_NODES]
+FEAT_CTES = (CLEAN_GRAPH + O.centrality_ctes("e", "nodes", ITERS)
+             + [("fac", O.FACILITY.format(src="cln")), ("comm", O.REGION_COMMUNITY),
+                ("nf", O.NODE_FEATURES), ("risk", O.RISK), ("enr", ENRICHED_SQL),
+                ("feat", O.feature_store_sql())])
+
+
+@query("feature_store", _wr("SELECT * FROM feat", *FEAT_CTES))
+def q_feature_store(spark, sf_dir):
+    return features(spark, sf_dir)
+
+
+BASE_FEAT_COLS = ["trip_uuid", "route_type", "route_type_enc", "log_osrm_time", "log_osrm_dist",
+                  "log_distance", "osrm_speed", "dist_time_ratio", "hour_sin", "hour_cos",
+                  "dow_sin", "dow_cos", "month_sin", "month_cos"]
+
+
+@query("base_features", _w("""
+SELECT trip_uuid, route_type, CAST(route_type = 'FTL' AS INTEGER) AS route_type_enc,
+  ln(1 + osrm_time) AS log_osrm_time, ln(1 + osrm_distance) AS log_osrm_dist,
+  ln(1 + actual_distance_to_destination) AS log_distance,
+  osrm_distance / (osrm_time / 60 + 1e-5) AS osrm_speed,
+  actual_distance_to_destination / (osrm_time + 1) AS dist_time_ratio,
+  sin(2 * pi() * hour / 24) AS hour_sin, cos(2 * pi() * hour / 24) AS hour_cos,
+  sin(2 * pi() * dow / 7) AS dow_sin, cos(2 * pi() * dow / 7) AS dow_cos,
+  sin(2 * pi() * month / 12) AS month_sin, cos(2 * pi() * month / 12) AS month_cos
+FROM der""", *COARSE))
+def q_base_features(spark, sf_dir):
+    return fe.base_features(derived(spark, sf_dir)).select(*BASE_FEAT_COLS)
+
+
+@query("network_load", _w("""
+SELECT d.trip_uuid, d.hour, COALESCE(hv.n, 0) AS network_load_hour,
+  COALESCE(hv.n, 0) / (SELECT max(n) FROM hv) AS network_load_norm
+FROM der d LEFT JOIN hv ON d.hour = hv.hour""", *COARSE,
+    ("hv", "SELECT hour, count(trip_uuid) AS n FROM der WHERE hour IS NOT NULL GROUP BY hour")))
+def q_network_load(spark, sf_dir):
+    return fe.network_load(derived(spark, sf_dir)).select(
+        "trip_uuid", "hour", "network_load_hour", "network_load_norm")
+
+
+@query("risk_flags", _wr("""
+SELECT trip_uuid, source_center, destination_center, src_structural_risk_score,
+  dst_structural_risk_score, high_risk_src, high_risk_dst, both_high_risk FROM feat""",
+    *FEAT_CTES))
+def q_risk_flags(spark, sf_dir):
+    return features(spark, sf_dir).select(
+        "trip_uuid", "source_center", "destination_center", "src_structural_risk_score",
+        "dst_structural_risk_score", "high_risk_src", "high_risk_dst", "both_high_risk")
+
+
+_CORR_COLS = fe.ALL_FEATURES[:25]
+_CORR_PAIRS = [(a, b) for i, a in enumerate(_CORR_COLS) for b in _CORR_COLS[i + 1:]]
+_CORR_SQL = " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, "
+    f"CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE corr({a}, {b}) END AS corr FROM feat"
+    for a, b in _CORR_PAIRS)
+
+
+@query("feature_correlation", _wr(_CORR_SQL, *FEAT_CTES))
+def q_feature_correlation(spark, sf_dir):
+    return fe.feature_correlation(features(spark, sf_dir))

@@ -301,3 +301,46 @@ FROM nf n, LATERAL (SELECT
                max(avg_sla_breach) s1, min(avg_delay_ratio) d0, max(avg_delay_ratio) d1,
                min(total_trips) t0, max(total_trips) t1, min(pagerank) p0, max(pagerank) p1
         FROM nf) m)"""
+
+
+def feature_store_sql(src: str = "cln", nodes: str = "risk", corr: str = "enr") -> str:
+    """FEA10 in SQL: same formulas as ``operators.features.feature_store``."""
+    from ..operators.features import ALL_FEATURES, CORRIDOR_LOOKUP, NODE_LOOKUP
+    node_cols = ",\n  ".join(
+        f"COALESCE(CAST(s.{c} AS DOUBLE), (SELECT median({c}) FROM {nodes})) AS src_{c},\n  "
+        f"COALESCE(CAST(d.{c} AS DOUBLE), (SELECT median({c}) FROM {nodes})) AS dst_{c}"
+        for c in NODE_LOOKUP)
+    corr_cols = ",\n  ".join(
+        f"COALESCE(CAST(r.{c} AS DOUBLE), (SELECT median({c}) FROM {corr})) AS corr_{c}"
+        for c in CORRIDOR_LOOKUP)
+    final = ",\n  ".join(f"COALESCE(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in ALL_FEATURES)
+    return f"""
+WITH hv AS (SELECT hour, count(trip_uuid) AS n FROM {src} WHERE hour IS NOT NULL GROUP BY hour),
+f0 AS (
+SELECT c.trip_uuid, c.data, c.route_type, c.source_center, c.destination_center, c.actual_time,
+  c.hour, c.dow, c.month, c.is_weekend, c.is_rush_hour,
+  COALESCE(c.cutoff_factor, (SELECT median(cutoff_factor) FROM {src})) AS cutoff_factor,
+  CAST(c.route_type = 'FTL' AS INTEGER) AS route_type_enc,
+  ln(1 + c.osrm_time) AS log_osrm_time, ln(1 + c.osrm_distance) AS log_osrm_dist,
+  ln(1 + c.actual_distance_to_destination) AS log_distance,
+  c.osrm_distance / (c.osrm_time / 60 + 1e-5) AS osrm_speed,
+  c.actual_distance_to_destination / (c.osrm_time + 1) AS dist_time_ratio,
+  sin(2 * pi() * c.hour / 24) AS hour_sin, cos(2 * pi() * c.hour / 24) AS hour_cos,
+  sin(2 * pi() * c.dow / 7) AS dow_sin, cos(2 * pi() * c.dow / 7) AS dow_cos,
+  sin(2 * pi() * c.month / 12) AS month_sin, cos(2 * pi() * c.month / 12) AS month_cos,
+  COALESCE(hv.n, 0) / (SELECT max(n) FROM hv) AS network_load_norm,
+  {node_cols},
+  {corr_cols}
+FROM {src} c
+LEFT JOIN {nodes} s ON c.source_center = s.facility
+LEFT JOIN {nodes} d ON c.destination_center = d.facility
+LEFT JOIN {corr} r ON c.source_center = r.source_center AND c.destination_center = r.destination_center
+LEFT JOIN hv ON c.hour = hv.hour),
+f1 AS (
+SELECT *, CAST(trunc(COALESCE(corr_cross_community, 0.0)) AS INTEGER) AS cross_community_flag,
+  CAST(COALESCE(src_structural_risk_score > (SELECT quantile_cont(src_structural_risk_score, 0.75) FROM f0), false) AS INTEGER) AS high_risk_src,
+  CAST(COALESCE(dst_structural_risk_score > (SELECT quantile_cont(src_structural_risk_score, 0.75) FROM f0), false) AS INTEGER) AS high_risk_dst
+FROM f0)
+SELECT trip_uuid, data, route_type, source_center, destination_center, actual_time,
+  {final.replace("COALESCE(CAST(both_high_risk AS DOUBLE), 0.0)", "CAST(high_risk_src * high_risk_dst AS DOUBLE)")}
+FROM f1"""
