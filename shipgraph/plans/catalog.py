@@ -764,3 +764,235 @@ _CORR_SQL = " UNION ALL ".join(
 @query("feature_correlation", _wr(_CORR_SQL, *FEAT_CTES))
 def q_feature_correlation(spark, sf_dir):
     return fe.feature_correlation(features(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- stage 9: evaluation
+from ..operators import evaluate as ev  # noqa: E402
+
+
+def baseline_predictions(spark, sf_dir) -> DataFrame:
+    """Two deterministic predictors on the test split: the planned time, and
+    planned time × the corridor's median delay ratio learned on the training
+    split (unknown corridor → training median)."""
+    c = cleaned(spark, sf_dir)
+    train = c.where(F.col("data") == "training")
+    ratio = train.groupBy("source_center", "destination_center").agg(
+        F.percentile("delay_ratio", 0.5).alias("_r"))
+    glob = train.agg(F.percentile("delay_ratio", 0.5).alias("_g"))
+    test = c.where(F.col("data") == "test")
+    return (test.join(ratio, ["source_center", "destination_center"], "left")
+                .crossJoin(F.broadcast(glob))
+                .select("trip_uuid", "route_type", "actual_time",
+                        F.col("osrm_time").alias("naive_pred"),
+                        (F.col("osrm_time") * F.coalesce("_r", "_g")).alias("corridor_pred")))
+
+
+PRED_CTES = [*COARSE_CLEAN, ("pred", """
+SELECT t.trip_uuid, t.route_type, t.actual_time, t.osrm_time AS naive_pred,
+  t.osrm_time * COALESCE(c.r, (SELECT median(delay_ratio) FROM cln WHERE data = 'training'))
+    AS corridor_pred
+FROM cln t LEFT JOIN (SELECT source_center, destination_center, median(delay_ratio) AS r
+                      FROM cln WHERE data = 'training' GROUP BY ALL) c
+  USING (source_center, destination_center)
+WHERE t.data = 'test'""")]
+
+
+def metrics_sql(pred: str, model: str, src: str = "pred", by: str | None = None) -> str:
+    keys = f"{by}, " if by else ""
+    grp = f" GROUP BY {by}" if by else ""
+    rel = f"abs(actual_time - {pred}) / (actual_time + 1e-5)"
+    return f"""
+SELECT {keys}'{model}' AS model,
+  round(avg(abs(actual_time - {pred})), 3) AS mae,
+  round(sqrt(avg((actual_time - {pred}) * (actual_time - {pred}))), 3) AS rmse,
+  round(avg({rel}) * 100, 3) AS mape,
+  round(CASE WHEN var_pop(actual_time) * count(actual_time) > 0
+        THEN 1 - sum((actual_time - {pred}) * (actual_time - {pred}))
+                 / (var_pop(actual_time) * count(actual_time))
+        WHEN sum((actual_time - {pred}) * (actual_time - {pred})) = 0 THEN 1.0 ELSE 0.0 END, 4) AS r2,
+  round(avg(CAST({rel} < 0.15 AS DOUBLE)) * 100, 2) AS within_15pct,
+  round(avg(CAST({rel} < 0.2 AS DOUBLE)) * 100, 2) AS within_20pct,
+  count(*) AS n_rows
+FROM {src}{grp}"""
+
+
+@query("regression_metrics", _w(metrics_sql("corridor_pred", "corridor_ratio"), *PRED_CTES))
+def q_regression_metrics(spark, sf_dir):
+    return ev.regression_metrics(baseline_predictions(spark, sf_dir), pred="corridor_pred",
+                                 model="corridor_ratio")
+
+
+@query("naive_eval", _w(metrics_sql("naive_pred", "planned_time"), *PRED_CTES))
+def q_naive_eval(spark, sf_dir):
+    return ev.regression_metrics(baseline_predictions(spark, sf_dir), pred="naive_pred",
+                                 model="planned_time")
+
+
+@query("metrics_by_route", _w(metrics_sql("corridor_pred", "corridor_ratio", by="route_type"),
+                              *PRED_CTES))
+def q_metrics_by_route(spark, sf_dir):
+    return ev.regression_metrics(baseline_predictions(spark, sf_dir), pred="corridor_pred",
+                                 model="corridor_ratio", by=["route_type"])
+
+
+@query("graph_advantage", _w("""
+SELECT b.rmse AS baseline_rmse, g.rmse AS graph_rmse,
+  round((b.rmse - g.rmse) / b.rmse * 100, 2) AS rmse_improvement_pct,
+  b.mae AS baseline_mae, g.mae AS graph_mae,
+  round((b.mae - g.mae) / b.mae * 100, 2) AS mae_improvement_pct,
+  b.within_15pct AS baseline_within15, g.within_15pct AS graph_within15,
+  round(g.within_15pct - b.within_15pct, 2) AS within15_improvement_pp
+FROM mb b, mg g""", *PRED_CTES, ("mb", metrics_sql("naive_pred", "planned_time")),
+    ("mg", metrics_sql("corridor_pred", "corridor_ratio"))))
+def q_graph_advantage(spark, sf_dir):
+    p = baseline_predictions(spark, sf_dir).persist()
+    return ev.graph_advantage(ev.regression_metrics(p, pred="naive_pred"),
+                              ev.regression_metrics(p, pred="corridor_pred"))
+
+
+_BLEND_W = sorted(set([0.5] + [round(0.30 + 0.05 * i, 2) for i in range(10)]))
+BLEND_SQL = f"""
+SELECT weight, rmse, mae,
+  CAST(weight = COALESCE((SELECT min(weight) FROM g WHERE rmse < (SELECT rmse FROM g WHERE weight = 0.5)
+                          AND rmse = (SELECT min(rmse) FROM g)), 0.5) AS INTEGER) AS is_best
+FROM g"""
+BLEND_G = ("g", " UNION ALL ".join(
+    f"SELECT CAST({w} AS DOUBLE) AS weight, "
+    f"sqrt(avg(power(actual_time - ({w} * corridor_pred + {round(1 - w, 10)} * naive_pred), 2))) AS rmse, "
+    f"avg(abs(actual_time - ({w} * corridor_pred + {round(1 - w, 10)} * naive_pred))) AS mae FROM pred"
+    for w in _BLEND_W))
+
+
+@query("blend_search", _w(BLEND_SQL, *PRED_CTES, BLEND_G))
+def q_blend_search(spark, sf_dir):
+    return ev.blend_search(baseline_predictions(spark, sf_dir), "corridor_pred", "naive_pred")
+
+
+@query("improvement_steps", _w("""
+SELECT step, name, rmse, rmse - lag(rmse) OVER (ORDER BY step) AS delta FROM (
+  SELECT 1 AS step, 'planned_time' AS name, (SELECT rmse FROM mb) AS rmse
+  UNION ALL SELECT 2, 'corridor_ratio', (SELECT rmse FROM mg)
+  UNION ALL SELECT 3, 'blend', (SELECT round(rmse, 3) FROM bl WHERE is_best = 1))""",
+    *PRED_CTES, ("mb", metrics_sql("naive_pred", "planned_time")),
+    ("mg", metrics_sql("corridor_pred", "corridor_ratio")), BLEND_G, ("bl", BLEND_SQL)))
+def q_improvement_steps(spark, sf_dir):
+    p = baseline_predictions(spark, sf_dir).persist()
+    nb = ev.regression_metrics(p, pred="naive_pred").select(
+        F.lit(1).alias("step"), F.lit("planned_time").alias("name"), "rmse")
+    cr = ev.regression_metrics(p, pred="corridor_pred").select(
+        F.lit(2).alias("step"), F.lit("corridor_ratio").alias("name"), "rmse")
+    bl = ev.blend_search(p, "corridor_pred", "naive_pred").where("is_best = 1").select(
+        F.lit(3).alias("step"), F.lit("blend").alias("name"), F.round("rmse", 3).alias("rmse"))
+    return ev.improvement_steps(nb.unionByName(cr).unionByName(bl))
+
+
+@query("residual_histogram", _w(
+    _hist_sql("(SELECT actual_time - corridor_pred AS residual FROM pred)", "residual",
+              -500.0, 500.0, 80), *PRED_CTES))
+def q_residual_histogram(spark, sf_dir):
+    r = ev.residuals(baseline_predictions(spark, sf_dir), pred="corridor_pred")
+    return pf.histogram(r, "residual", -500.0, 500.0, 80)
+
+
+# ---------------------------------------------------------------- stage 11: decisions
+from ..operators import recommend as rc  # noqa: E402
+from ..operators import whatif as wi  # noqa: E402
+
+
+def _rec_sql(src: str) -> str:
+    return f"""
+SELECT *, CASE WHEN ftl_score >= carting_score THEN 'FTL' ELSE 'Carting' END AS recommended,
+  CASE WHEN distance_km > 150 AND weekly_trips > 20 THEN 'FTL'
+       WHEN distance_km < 50 OR weekly_trips < 10 THEN 'Carting'
+       WHEN ftl_score >= carting_score THEN 'FTL' ELSE 'Carting' END AS recommended_memo,
+  abs(ftl_score - carting_score) / greatest(ftl_score + carting_score, 1) AS confidence,
+  CASE WHEN abs(ftl_score - carting_score) / greatest(ftl_score + carting_score, 1) > 0.4 THEN 'High'
+       WHEN abs(ftl_score - carting_score) / greatest(ftl_score + carting_score, 1) > 0.2 THEN 'Medium'
+       ELSE 'Low' END AS confidence_level,
+  CASE WHEN sla_breach_rate > 0.7 THEN 'HIGH' WHEN sla_breach_rate > 0.4 THEN 'MEDIUM'
+       ELSE 'LOW' END AS sla_risk
+FROM (SELECT *,
+  (CASE WHEN distance_km >= 150 THEN 3 WHEN distance_km < 50 THEN 0 ELSE 1 END
+   + CASE WHEN weekly_trips >= 30 THEN 2 ELSE 0 END
+   + CASE WHEN sla_breach_rate > 0.8 THEN 2 ELSE 0 END
+   + CASE WHEN src_risk > 0.5 THEN 1 ELSE 0 END) AS ftl_score,
+  (CASE WHEN distance_km >= 150 THEN 0 WHEN distance_km < 50 THEN 3 ELSE 0 END
+   + CASE WHEN weekly_trips >= 30 THEN 0 ELSE 2 END) AS carting_score
+  FROM {src})"""
+
+
+REC_INPUT = ("rin", """
+SELECT source_center, destination_center, trip_count, ftl_share, sla_breach_rate, src_risk,
+  median_distance AS distance_km,
+  trip_count / ((SELECT date_diff('day', CAST(min(od_start_time) AS DATE),
+                                  CAST(max(od_start_time) AS DATE)) + 1 FROM der) / 7.0) AS weekly_trips
+FROM enr0""")
+REC_COLS = ["source_center", "destination_center", "trip_count", "ftl_share", "sla_breach_rate",
+            "src_risk", "distance_km", "weekly_trips", "ftl_score", "carting_score",
+            "recommended", "recommended_memo", "confidence", "confidence_level", "sla_risk"]
+
+
+def recommendations(spark, sf_dir) -> DataFrame:
+    d = derived(spark, sf_dir)
+    enr = rk.corridor_enriched(co.corridor_stats(d), risk_nodes(spark, sf_dir))
+    req = rc.corridor_requests(enr, d)
+    app = rc.recommend_route(req, hour=None)
+    memo = rc.recommend_route(req, hour=None, policy="memo").select(
+        "source_center", "destination_center", F.col("recommended").alias("recommended_memo"))
+    return app.join(memo, ["source_center", "destination_center"]).select(*REC_COLS)
+
+
+REC_CTES = [*NODEF, ("enr0", ENRICHED_SQL), REC_INPUT, ("rec", _rec_sql("rin"))]
+
+
+@query("recommend_route", _wr(f"SELECT {', '.join(REC_COLS)} FROM rec", *REC_CTES))
+def q_recommend_route(spark, sf_dir):
+    return recommendations(spark, sf_dir)
+
+
+@query("misrouted_corridors", _wr(f"""
+SELECT {', '.join(REC_COLS)}, CASE WHEN ftl_share > 0.5 THEN 'FTL' ELSE 'Carting' END
+  AS dominant_route_type
+FROM rec WHERE (CASE WHEN ftl_share > 0.5 THEN 'FTL' ELSE 'Carting' END) <> recommended""",
+    *REC_CTES))
+def q_misrouted(spark, sf_dir):
+    return rc.misrouted(recommendations(spark, sf_dir))
+
+
+@query("distance_bands", _w("""
+SELECT g.band_order, g.band, g.recommended, g.sla_risk, COALESCE(a.n, 0) AS n_corridors,
+  a.m AS mean_sla_breach_rate
+FROM (VALUES (0, '<50km', 'Carting', 'Low'), (1, '50-150km', 'Model-Dep', 'Medium'),
+             (2, '150-300km', 'FTL', 'Medium'), (3, '300-600km', 'FTL', 'High'),
+             (4, '>600km', 'FTL', 'High')) g(band_order, band, recommended, sla_risk)
+LEFT JOIN (SELECT CASE WHEN median_distance < 50 THEN 0 WHEN median_distance < 150 THEN 1
+                       WHEN median_distance < 300 THEN 2 WHEN median_distance < 600 THEN 3
+                       WHEN median_distance >= 600 THEN 4 END AS b,
+                  count(*) AS n, avg(sla_breach_rate) AS m
+           FROM corr GROUP BY 1) a ON g.band_order = a.b""", *FINE_CORR))
+def q_distance_bands(spark, sf_dir):
+    return rc.distance_bands(corridors(spark, sf_dir, "fine"))
+
+
+@query("hub_upgrade_whatif", _wr("""
+SELECT s.scenario, count(CASE WHEN t THEN 1 END) AS affected_trips,
+  count(CASE WHEN t AND is_sla_breach THEN 1 END) AS breaches_before,
+  count(CASE WHEN t AND COALESCE(actual_time * (1 - s.r) > cutoff_factor, false) THEN 1 END)
+    AS breaches_after,
+  avg(CAST(COALESCE(CASE WHEN t THEN actual_time * (1 - s.r) > cutoff_factor
+                         ELSE is_sla_breach END, false) AS DOUBLE)) * 100 AS new_overall_breach_rate,
+  s.r * 100 AS delay_reduction_pct,
+  count(CASE WHEN t AND is_sla_breach THEN 1 END)
+    - count(CASE WHEN t AND COALESCE(actual_time * (1 - s.r) > cutoff_factor, false) THEN 1 END)
+    AS breaches_avoided,
+  CASE WHEN count(CASE WHEN t AND is_sla_breach THEN 1 END) > 0 THEN
+    (count(CASE WHEN t AND is_sla_breach THEN 1 END)
+     - count(CASE WHEN t AND COALESCE(actual_time * (1 - s.r) > cutoff_factor, false) THEN 1 END))
+    / count(CASE WHEN t AND is_sla_breach THEN 1 END) * 100 END AS pct_breach_reduction
+FROM (SELECT *, (source_center IN (SELECT facility FROM h3)
+                 OR destination_center IN (SELECT facility FROM h3)) AS t FROM der) x,
+     (VALUES ('worst_case', 0.10), ('expected', 0.20), ('best_case', 0.35)) s(scenario, r)
+GROUP BY s.scenario, s.r""",
+    *NODEF, ("h3", "SELECT facility FROM risk ORDER BY structural_risk_score DESC, facility LIMIT 3")))
+def q_hub_upgrade(spark, sf_dir):
+    return wi.hub_upgrade_whatif(derived(spark, sf_dir), risk_nodes(spark, sf_dir))
