@@ -996,3 +996,266 @@ GROUP BY s.scenario, s.r""",
     *NODEF, ("h3", "SELECT facility FROM risk ORDER BY structural_risk_score DESC, facility LIMIT 3")))
 def q_hub_upgrade(spark, sf_dir):
     return wi.hub_upgrade_whatif(derived(spark, sf_dir), risk_nodes(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- stage 10: models (rows-only)
+from ..operators import cluster as cu  # noqa: E402
+from ..operators import models as ml  # noqa: E402
+from ..operators import score as sc  # noqa: E402
+from ..operators.graph import embedding as emb  # noqa: E402
+from ..session import checkpoint_dir  # noqa: E402
+
+PROFILE = "fast"      # registered model queries use the fast profile (README)
+_STORE: dict = {}
+
+
+def cached_features(spark, sf_dir, force_rebuild: bool = False) -> DataFrame:
+    """SRC4: the feature store (with a unique ``row_key``) written once as
+    parquet under the shared checkpoint folder and re-read afterwards."""
+    import hashlib
+    key = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
+    path = f"{checkpoint_dir(spark).rstrip('/')}/feature_store_{key}"
+    if not force_rebuild and path in _STORE:
+        return _STORE[path]
+    c, nodes, enr = feature_inputs(spark, sf_dir)
+    fs = fe.feature_store(c.withColumnRenamed("row_id", "row_key"), nodes, enr,
+                          keys=("row_key", "trip_uuid", "data", "route_type", "source_center",
+                                "destination_center"))
+    fs.write.mode("overwrite").parquet(path)
+    _STORE[path] = spark.read.parquet(path)
+    return _STORE[path]
+
+
+def _split(spark, sf_dir):
+    fs = cached_features(spark, sf_dir)
+    return fs.where(F.col("data") == "training"), fs.where(F.col("data") == "test")
+
+
+@query("lr_eval")
+def q_lr_eval(spark, sf_dir):
+    tr, te = _split(spark, sf_dir)
+    return ml.evaluate(ml.linear(tr, fe.BASE_FEATURES), te, "Linear Regression", "base")
+
+
+@query("ridge_eval")
+def q_ridge_eval(spark, sf_dir):
+    tr, te = _split(spark, sf_dir)
+    return ml.evaluate(ml.linear(tr, fe.BASE_FEATURES, alpha=10.0), te, "Ridge", "base")
+
+
+@query("rf_eval")
+def q_rf_eval(spark, sf_dir):
+    tr, te = _split(spark, sf_dir)
+    out = None
+    for kind, name, feats in (("rf_base", "Random Forest", fe.BASE_FEATURES),
+                              ("et_base", "Extra Trees (substitute)", fe.BASE_FEATURES),
+                              ("rf_v2", "RF v2", fe.ALL_FEATURES)):
+        m = ml.evaluate(ml.fit(tr, feats, ml.estimator(kind, PROFILE)), te, name, kind)
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@query("gbt_eval")
+def q_gbt_eval(spark, sf_dir):
+    tr, te = _split(spark, sf_dir)
+    out = None
+    for kind, feats in (("gbt_base", fe.BASE_FEATURES), ("hgb_base", fe.BASE_FEATURES),
+                        ("hgb_graph", fe.ALL_FEATURES)):
+        m = ml.evaluate(ml.fit(tr, feats, ml.estimator(kind, PROFILE)), te, kind, kind)
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@query("graph_lift")
+def q_graph_lift(spark, sf_dir):
+    tr, te = _split(spark, sf_dir)
+    base = ml.evaluate(ml.fit(tr, fe.BASE_FEATURES, ml.estimator("rf_base", PROFILE)), te,
+                       "RF base")
+    graph = ml.evaluate(ml.fit(tr, fe.ALL_FEATURES, ml.estimator("rf_graph", PROFILE)), te,
+                        "RF + graph")
+    return ev.graph_advantage(base, graph)
+
+
+def _embeddings(spark, sf_dir, dim=8):
+    c = cached_features(spark, sf_dir)
+    d = derived(spark, sf_dir)
+    e = ge.corridor_edges(co.corridor_stats(d), "median_delay_ratio")
+    return emb.svd_embedding(e, dim)
+
+
+@query("node_embeddings")
+def q_node_embeddings(spark, sf_dir):
+    return _embeddings(spark, sf_dir, 32)
+
+
+@query("embedding_lift")
+def q_embedding_lift(spark, sf_dir):
+    tr, te = _split(spark, sf_dir)
+    dim = 8
+    em = _embeddings(spark, sf_dir, dim)
+    cols = fe.ALL_FEATURES + [f"src_emb_{i}" for i in range(dim)] + [f"dst_emb_{i}"
+                                                                    for i in range(dim)]
+    tr2, te2 = emb.add_embeddings(tr, em, dim), emb.add_embeddings(te, em, dim)
+    g = ml.evaluate(ml.fit(tr, fe.ALL_FEATURES, ml.estimator("rf_graph", PROFILE)), te,
+                    "RF + graph")
+    ge_ = ml.evaluate(ml.fit(tr2, cols, ml.estimator("rf_graph", PROFILE)), te2,
+                      "RF + graph + embeddings")
+    return ev.graph_advantage(g, ge_)
+
+
+@query("per_route_eval")
+def q_per_route_eval(spark, sf_dir):
+    tr, te = _split(spark, sf_dir)
+    preds = ml.per_route(tr, te, fe.ALL_FEATURES, profile=PROFILE)
+    return (ev.regression_metrics(preds, model="per-route GBT", by=["route_type"])
+              .unionByName(ev.regression_metrics(preds, model="per-route GBT")
+                             .withColumn("route_type", F.lit("all"))))
+
+
+@query("stacking_eval")
+def q_stacking_eval(spark, sf_dir):
+    tr, te = _split(spark, sf_dir)
+    st = ml.stacking(tr, te, fe.ALL_FEATURES, profile=PROFILE)
+    return ev.regression_metrics(st, model="3-fold stack → ridge")
+
+
+@query("boosted_eval")
+def q_boosted_eval(spark, sf_dir):
+    tr, te = _split(spark, sf_dir)
+    out = None
+    for kind in ("xgb_like", "lgbm_like", "hgb_graph"):
+        m = ml.evaluate(ml.fit(tr, fe.ALL_FEATURES, ml.estimator(kind, PROFILE)), te, kind,
+                        "boosted")
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    tr, _ = _split(spark, sf_dir)
+    m = ml.fit(tr, fe.ALL_FEATURES, ml.estimator("rf_graph", PROFILE))
+    return ml.importances(m, fe.ALL_FEATURES).orderBy(F.col("importance").desc(), "feature")
+
+
+@query("benchmark_table")
+def q_benchmark_table(spark, sf_dir):
+    tr, te = _split(spark, sf_dir)
+    naive = ev.regression_metrics(te.withColumn("prediction", F.expm1("log_osrm_time")),
+                                  model="Planned time (naive)").withColumn("phase", F.lit("base"))
+    rows = [naive,
+            ml.evaluate(ml.linear(tr, fe.BASE_FEATURES), te, "Linear Regression", "base"),
+            ml.evaluate(ml.fit(tr, fe.ALL_FEATURES, ml.estimator("hgb_graph", PROFILE)), te,
+                        "GBT + graph", "graph"),
+            ml.evaluate(ml.fit(tr.where("route_type = 'FTL'"), fe.ALL_FEATURES,
+                               ml.estimator("hgb_ftl", PROFILE)),
+                        te.where("route_type = 'FTL'"), "FTL-only slice", "FTL-only")]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    # FLT7 + SRT2: slice phases are hidden from the overall table, sorted by RMSE
+    return out.where(~F.coalesce(F.col("phase").rlike("FTL-only|Cart-only"), F.lit(False))) \
+              .orderBy("rmse")
+
+
+@query("residual_sample")
+def q_residual_sample(spark, sf_dir):
+    tr, te = _split(spark, sf_dir)
+    m = ml.fit(tr, fe.ALL_FEATURES, ml.estimator("hgb_graph", PROFILE))
+    r = ev.residuals(m.transform(te), pred="prediction")
+    return ev.deterministic_sample(r.select("row_key", "route_type", "actual_time", "prediction",
+                                            "residual"), 3000, ["row_key"])
+
+
+def _delayed_fine(spark, sf_dir):
+    return co.delayed_corridors(corridors(spark, sf_dir, "fine"))
+
+
+@query("corridor_clusters")
+def q_corridor_clusters(spark, sf_dir):
+    return cu.cluster_profile(cu.corridor_clusters(_delayed_fine(spark, sf_dir)))
+
+
+@query("cluster_names")
+def q_cluster_names(spark, sf_dir):
+    return cu.cluster_names(cu.cluster_profile(cu.corridor_clusters(_delayed_fine(spark, sf_dir))))
+
+
+# ---------------------------------------------------------------- scoring
+def requests(spark, sf_dir) -> DataFrame:
+    """Scoring requests: the test-split shipments as ETA requests."""
+    c = cleaned(spark, sf_dir)
+    return c.where(F.col("data") == "test").select(
+        F.col("trip_uuid").alias("request_id"), "osrm_time", "osrm_distance",
+        F.col("actual_distance_to_destination").alias("actual_distance"), "route_type", "hour",
+        F.col("dow").alias("day_of_week"), "month", "source_center", "destination_center",
+        "cutoff_factor")
+
+
+SCORE_SQL = """
+SELECT request_id, route_type, source_center, destination_center, osrm_time, {feats},
+  CASE WHEN COALESCE(r_sla, 0.0) > 0.7 THEN 'HIGH' WHEN COALESCE(r_sla, 0.0) > 0.4 THEN 'MEDIUM'
+       ELSE 'LOW' END AS corridor_sla_risk,
+  round(corr_median_delay_ratio, 3) AS corridor_delay_ratio,
+  round(src_structural_risk_score, 4) AS source_risk_score,
+  round(dst_structural_risk_score, 4) AS destination_risk_score,
+  CAST(r_trips IS NULL AS INTEGER) AS is_cold_corridor
+FROM (SELECT *, CAST(src_structural_risk_score > 0.3 AS INTEGER) AS high_risk_src,
+             CAST(dst_structural_risk_score > 0.3 AS INTEGER) AS high_risk_dst,
+             CAST(src_structural_risk_score > 0.3 AS INTEGER)
+               * CAST(dst_structural_risk_score > 0.3 AS INTEGER) AS both_high_risk
+      FROM (SELECT q.*, COALESCE(q.cutoff_factor0, 180.0) AS cutoff_factor,
+              CAST(q.route_type = 'FTL' AS INTEGER) AS route_type_enc,
+              ln(1 + q.osrm_time) AS log_osrm_time, ln(1 + q.osrm_distance) AS log_osrm_dist,
+              ln(1 + q.actual_distance) AS log_distance,
+              q.osrm_distance / (q.osrm_time / 60 + 1e-5) AS osrm_speed,
+              q.actual_distance / (q.osrm_time + 1) AS dist_time_ratio,
+              q.day_of_week AS dow,
+              CAST(COALESCE(q.day_of_week IN (5, 6), false) AS INTEGER) AS is_weekend,
+              CAST(COALESCE(q.hour IN (7, 8, 9, 17, 18, 19), false) AS INTEGER) AS is_rush_hour,
+              sin(2 * pi() * q.hour / 24) AS hour_sin, cos(2 * pi() * q.hour / 24) AS hour_cos,
+              sin(2 * pi() * q.day_of_week / 7) AS dow_sin, cos(2 * pi() * q.day_of_week / 7) AS dow_cos,
+              sin(2 * pi() * q.month / 12) AS month_sin, cos(2 * pi() * q.month / 12) AS month_cos,
+              0.5 AS network_load_norm, 0 AS cross_community_flag,
+              {nodes},
+              {corr},
+              r.sla_breach_rate AS r_sla, r.trip_count AS r_trips
+            FROM req q
+            LEFT JOIN risk s ON q.source_center = s.facility
+            LEFT JOIN risk d ON q.destination_center = d.facility
+            LEFT JOIN enr r ON q.source_center = r.source_center
+                           AND q.destination_center = r.destination_center))"""
+
+
+def _score_sql() -> str:
+    nodes = ",\n              ".join(
+        f"COALESCE(CAST(s.{c} AS DOUBLE), (SELECT median({c}) FROM risk)) AS src_{c}, "
+        f"COALESCE(CAST(d.{c} AS DOUBLE), (SELECT median({c}) FROM risk)) AS dst_{c}"
+        for c in sc.NODE_SERVE)
+    corr = ",\n              ".join(
+        f"COALESCE(NULLIF(COALESCE(CAST(r.{c} AS DOUBLE), 0.0), 0.0), {v!r}) AS corr_{c}"
+        for c, v in sc.CORRIDOR_DEFAULTS.items())
+    feats = ", ".join(f"COALESCE(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in fe.ALL_FEATURES)
+    return SCORE_SQL.format(feats=feats, nodes=nodes, corr=corr)
+
+
+@query("score_features", _wr(_score_sql(), *FEAT_CTES[:-1], ("req", """
+SELECT trip_uuid AS request_id, osrm_time, osrm_distance,
+  actual_distance_to_destination AS actual_distance, route_type, hour, dow AS day_of_week,
+  month, source_center, destination_center, cutoff_factor AS cutoff_factor0
+FROM cln WHERE data = 'test'""")))
+def q_score_features(spark, sf_dir):
+    _, nodes, enr = feature_inputs(spark, sf_dir)
+    reqs = requests(spark, sf_dir)
+    sc.validate_requests(reqs)
+    return sc.score_features(reqs, nodes, enr)
+
+
+@query("score_eta")
+def q_score_eta(spark, sf_dir):
+    tr, _ = _split(spark, sf_dir)
+    _, nodes, enr = feature_inputs(spark, sf_dir)
+    models = {rt: ml.fit(tr.where(F.col("route_type") == rt), fe.ALL_FEATURES,
+                         ml.estimator(kind, PROFILE))
+              for rt, kind in (("FTL", "hgb_ftl"), ("Carting", "hgb_carting"))}
+    feats = sc.score_features(requests(spark, sf_dir), nodes, enr)
+    return sc.score_eta(feats, models)
