@@ -1,0 +1,11 @@
+"""Stream–static use of the stateless operators.
+
+The reference has no streaming code.  Every row-level operator here
+(derive, base features, request scoring with node/corridor lookups) is
+stateless, so it runs unchanged on a Structured Streaming DataFrame joined
+to static node and corridor tables; no watermark or state is involved.
+"""
+
+from .score_stream import derive_stream, score_stream
+
+__all__ = ["derive_stream", "score_stream"]

@@ -1,0 +1,20 @@
+"""Structured Streaming entry points (stream–static, no state)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators.derive import derive_shipments
+from ..operators.score import score_features
+
+
+def derive_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A streaming source of shipment records (parquet files landing in
+    ``path``) with the derived columns added."""
+    return derive_shipments(spark.readStream.schema(schema).parquet(path))
+
+
+def score_stream(requests: DataFrame, nodes: DataFrame, corridors: DataFrame) -> DataFrame:
+    """Request features for a stream of ETA requests: stream–static joins to
+    the (static) node and corridor tables."""
+    return score_features(requests, nodes, corridors)

@@ -1,0 +1,16 @@
+import tempfile
+
+from shipgraph.streaming import derive_stream
+
+
+def test_derive_stream_memory_sink(spark):
+    from shipgraph.sources.tables import shipments
+    src = tempfile.mkdtemp(prefix="shipgraph-stream-src-")
+    batch = shipments(spark, "/root/testdata/sf0.001").drop("row_id")
+    batch.limit(200).write.mode("overwrite").parquet(src + "/part")
+    stream = derive_stream(spark, src + "/part", batch.schema)
+    q = (stream.select("trip_uuid", "delay_ratio", "is_delayed").writeStream
+               .format("memory").queryName("derived_stream").outputMode("append").start())
+    q.processAllAvailable()
+    q.stop()
+    assert spark.sql("SELECT count(*) FROM derived_stream").first()[0] == 200
