@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ...functions.ranking import global_row_number
 from .edges import undirected, vertices
-from .iterate import Loop
+from .iterate import Loop, bounded
 
 
 def _symmetric(und: DataFrame) -> DataFrame:
@@ -35,33 +35,42 @@ def _strength(und: DataFrame) -> DataFrame:
 
 def _local_moving(und: DataFrame, m: float, loop: Loop, max_rounds: int, seed: int,
                   resolution: float) -> DataFrame:
+    """One Louvain level of parallel local moving.
+
+    Moving node i from D to C gains ΔQ = (w_iC − w_iD)/m − γ k_i (tot_C − tot_D + k_i)/(2m²),
+    so per node it suffices to compare max_C [w_iC/m − γ k_i tot_C/(2m²)] with the stay
+    score w_iD/m − γ k_i (tot_D − k_i)/(2m²): one aggregation over (i, C) rows.
+    """
     adj = loop.hold(_symmetric(und))
     k = loop.hold(_strength(und))
+    n = k.count()
     label = loop.keep(k.select("i", F.col("i").alias("c"), "k"), 1)
     still = 0
+    g = resolution / (2 * m * m)
     for r in range(1, max_rounds + 1):
         tot = label.groupBy("c").agg(F.sum("k").alias("tot"))
-        nb = (adj.join(label.select(F.col("i").alias("j"), F.col("c")), "j")
-                 .groupBy("i", "c").agg(F.sum("weight").alias("w_ic")))
-        me = label.select("i", F.col("c").alias("own"), "k")
-        cand = (nb.join(me, "i").join(tot, "c")
-                  .join(nb.select("i", F.col("c").alias("own"), F.col("w_ic").alias("w_own")),
-                        ["i", "own"], "left")
-                  .join(tot.select(F.col("c").alias("own"), F.col("tot").alias("tot_own")),
-                        "own"))
-        w_own = F.coalesce("w_own", F.lit(0.0))
-        gain = ((F.col("w_ic") - w_own) / m
-                - resolution * F.col("k") * (F.col("tot") - (F.col("tot_own") - F.col("k")))
-                / (2 * m * m))
-        best = (cand.where(F.col("c") != F.col("own"))
-                    .withColumn("gain", gain).where(F.col("gain") > 1e-12)
-                    .groupBy("i").agg(F.max_by("c", F.struct(F.col("gain"), -F.hash("c")))
-                                      .alias("to")))
+        lab = bounded(label.select(F.col("i").alias("j"), "c"), n)
+        nb = adj.join(lab, "j").groupBy("i", "c").agg(F.sum("weight").alias("w_ic"))
+        me = bounded(label.select("i", F.col("c").alias("own"), "k")
+                          .join(tot.select(F.col("c").alias("own"), F.col("tot").alias("tot_own")),
+                                "own"), n)
+        cand = nb.join(me, "i").join(bounded(tot, n), "c")
+        move_score = F.col("w_ic") / m - g * F.col("k") * F.col("tot")
+        stay_score = F.col("w_ic") / m - g * F.col("k") * (F.col("tot_own") - F.col("k"))
+        other = F.col("c") != F.col("own")
+        per_node = cand.groupBy("i").agg(
+            F.max_by(F.when(other, F.col("c")),
+                     F.struct(F.when(other, move_score), -F.hash("c"))).alias("to"),
+            F.max(F.when(other, move_score)).alias("best"),
+            F.max(F.when(~other, stay_score)).alias("stay"),
+            F.first("k").alias("k"), F.first("tot_own").alias("tot_own"))
+        stay0 = -g * F.col("k") * (F.col("tot_own") - F.col("k"))
         movable = F.pmod(F.xxhash64("i", F.lit(seed + r)), F.lit(2)) == 0
-        moves = best.join(label.select("i", "k"), "i").where(movable).select("i", "to")
-        moves = moves.persist()
+        moves = (per_node.where(movable & F.col("to").isNotNull()
+                                & (F.col("best") > F.coalesce("stay", stay0) + 1e-12))
+                         .select("i", "to")).persist()
         n_moves = moves.count()
-        new = (label.join(moves, "i", "left")
+        new = (label.join(bounded(moves, n), "i", "left")
                     .select("i", F.coalesce("to", "c").alias("c"), "k"))
         label = loop.keep(new, r + 1)
         moves.unpersist()
