@@ -155,7 +155,10 @@ def feature_correlation(features: DataFrame, columns: list[str] | None = None) -
     aggregation pass over the rows.  Constant columns give NULL."""
     cols = columns or ALL_FEATURES[:25]
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = features.agg(*[F.corr(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
+    # Pearson r = cov / (σa·σb); a constant column gives NULL (ANSI-safe, no /0)
+    row = features.agg(*[(F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b),
+                                                       F.lit(0.0))).alias(f"c{k}")
+                         for k, (a, b) in enumerate(pairs)])
     parts = ", ".join(f"'{a}', '{b}', c{k}" for k, (a, b) in enumerate(pairs))
     long = row.selectExpr(f"stack({len(pairs)}, {parts}) AS (feature_a, feature_b, corr)")
     return long.withColumn("corr", F.nanvl("corr", F.lit(None).cast("double")))
