@@ -98,8 +98,12 @@ def main(names=None, sf_dir="/root/testdata/sf0.01"):
             continue
         if n not in sqls:
             t0 = time.time()
-            cnt = qs[n](spark, sf_dir).count()
-            print(f"ROWS  {n:28s} rows={cnt} {time.time()-t0:.2f}s", flush=True)
+            try:
+                cnt = qs[n](spark, sf_dir).count()
+                print(f"ROWS  {n:28s} rows={cnt} {time.time()-t0:.2f}s", flush=True)
+            except Exception as e:  # report and continue
+                bad += 1
+                print(f"FAIL  {n:28s} {type(e).__name__}: {str(e)[:300]}", flush=True)
             continue
         try:
             ok, rows, ts, td, detail = compare(spark, n, qs[n], sqls[n], sf_dir, con)
