@@ -27,6 +27,14 @@ def flag(cond: Column) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
+def exact_mean(x: Column, scale: int = 10) -> Column:
+    """Mean with an exact decimal sum: Σ as DECIMAL(38, scale), then one
+    conversion to double and one division.  Means of short decimals (times,
+    distances) often land exactly on a decimal tie; summing exactly makes the
+    result independent of partitioning and summation order."""
+    return F.sum(x.cast(T.DecimalType(38, scale))).cast("double") / F.count(x)
+
+
 def rate(cond: Column) -> Column:
     """Share of rows where ``cond`` holds; NULL counts as 0 like pandas."""
     return F.avg(flag(cond).cast("double"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clip, rate
+from ..functions.exprs import clip, exact_mean, rate
 from ..functions.quantile import global_quantiles, group_quantiles
 from .derive import drop_leaky, recompute_ratio
 
@@ -85,11 +85,11 @@ def route_quantiles(derived: DataFrame, method: str = "exact") -> DataFrame:
 
 def cleaning_impact(before: DataFrame, after: DataFrame) -> DataFrame:
     """AGG20: mean/std/max of actual_time before and after, std reduction %."""
-    b = before.agg(F.avg("actual_time").alias("mean_before"),
+    b = before.agg(exact_mean(F.col("actual_time")).alias("mean_before"),
                    F.stddev_samp("actual_time").alias("std_before"),
                    F.max("actual_time").alias("max_before"),
                    F.max("delay_ratio").alias("max_ratio_before"))
-    a = after.agg(F.avg("actual_time").alias("mean_after"),
+    a = after.agg(exact_mean(F.col("actual_time")).alias("mean_after"),
                   F.stddev_samp("actual_time").alias("std_after"),
                   F.max("actual_time").alias("max_after"),
                   F.max("delay_ratio").alias("max_ratio_after"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import entropy_terms, rate
+from ..functions.exprs import entropy_terms, exact_mean, rate
 from ..functions.quantile import group_quantiles
 
 KEYS = ["source_center", "destination_center"]
@@ -52,7 +52,7 @@ def corridor_stats(df: DataFrame, method: str = "exact") -> DataFrame:
     """AGG1+AGG2: all corridor statistics in one shuffle on (src, dst)."""
     aggs = [
         F.count("trip_uuid").alias("trip_count"),
-        F.avg("actual_time").alias("mean_actual_time"),
+        exact_mean(F.col("actual_time")).alias("mean_actual_time"),
         F.avg("delay_ratio").alias("mean_delay_ratio"),
         F.stddev_samp("delay_ratio").alias("std_delay_ratio"),
         F.avg(F.col("is_sla_breach").cast("double")).alias("sla_breach_rate"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clip, flag, hist_bin, rate
+from ..functions.exprs import clip, exact_mean, flag, hist_bin, rate
 from ..functions.quantile import global_quantiles, quantile_expr
 from .clean import REALISTIC_CUTOFF_FACTOR
 
@@ -117,7 +117,8 @@ def describe_numeric(derived: DataFrame, columns=DESCRIBE_COLUMNS, digits: int =
     aggs = []
     for c in columns:
         x = F.col(c)
-        aggs += [F.count(x).cast("double").alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
+        aggs += [F.count(x).cast("double").alias(f"{c}__count"),
+                 exact_mean(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
                  quantile_expr(x, 0.25).alias(f"{c}__p25"),
                  quantile_expr(x, 0.5).alias(f"{c}__p50"),

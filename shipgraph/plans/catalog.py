@@ -191,7 +191,8 @@ def q_iqr(spark, sf_dir):
 
 
 _DESC_SQL = " UNION ALL ".join(f"""
-SELECT '{c}' AS "column", round(CAST(count({c}) AS DOUBLE), 2) AS count, round(avg({c}), 2) AS mean,
+SELECT '{c}' AS "column", round(CAST(count({c}) AS DOUBLE), 2) AS count,
+  round(CAST(sum(CAST({c} AS DECIMAL(38,10))) AS DOUBLE) / count({c}), 2) AS mean,
   round(stddev_samp({c}), 2) AS std, round(min({c}), 2) AS min,
   round(quantile_cont({c}, 0.25), 2) AS p25, round(quantile_cont({c}, 0.5), 2) AS p50,
   round(quantile_cont({c}, 0.75), 2) AS p75, round(max({c}), 2) AS max FROM der"""
@@ -312,9 +313,9 @@ def q_route_quantiles(spark, sf_dir):
 
 @query("cleaning_impact", _w("""
 SELECT b.*, a.*, (1 - a.std_after / b.std_before) * 100 AS std_reduction_pct
-FROM (SELECT avg(actual_time) AS mean_before, stddev_samp(actual_time) AS std_before,
+FROM (SELECT CAST(sum(CAST(actual_time AS DECIMAL(38,10))) AS DOUBLE) / count(actual_time) AS mean_before, stddev_samp(actual_time) AS std_before,
              max(actual_time) AS max_before, max(delay_ratio) AS max_ratio_before FROM der) b,
-     (SELECT avg(actual_time) AS mean_after, stddev_samp(actual_time) AS std_after,
+     (SELECT CAST(sum(CAST(actual_time AS DECIMAL(38,10))) AS DOUBLE) / count(actual_time) AS mean_after, stddev_samp(actual_time) AS std_after,
              max(actual_time) AS max_after, max(delay_ratio) AS max_ratio_after FROM wu) a""",
     *COARSE, ("wu", WINSOR_UPPER_SQL)))
 def q_cleaning_impact(spark, sf_dir):

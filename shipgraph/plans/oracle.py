@@ -71,7 +71,7 @@ CORRIDOR = f"""
 SELECT source_center, destination_center,
   count(trip_uuid) AS trip_count,
   median(actual_time) AS median_actual_time,
-  avg(actual_time) AS mean_actual_time,
+  CAST(sum(CAST(actual_time AS DECIMAL(38,10))) AS DOUBLE) / count(actual_time) AS mean_actual_time,
   median(osrm_time) AS median_osrm_time,
   median(delay_ratio) AS median_delay_ratio,
   avg(delay_ratio) AS mean_delay_ratio,
