@@ -1016,15 +1016,16 @@ def cached_features(spark, sf_dir, force_rebuild: bool = False) -> DataFrame:
     import hashlib
     key = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
     path = f"{checkpoint_dir(spark).rstrip('/')}/feature_store_{key}"
-    if not force_rebuild and path in _STORE:
-        return _STORE[path]
+    memo = (id(spark), path)
+    if not force_rebuild and memo in _STORE:
+        return _STORE[memo]
     c, nodes, enr = feature_inputs(spark, sf_dir)
     fs = fe.feature_store(c.withColumnRenamed("row_id", "row_key"), nodes, enr,
                           keys=("row_key", "trip_uuid", "data", "route_type", "source_center",
                                 "destination_center"))
     fs.write.mode("overwrite").parquet(path)
-    _STORE[path] = spark.read.parquet(path)
-    return _STORE[path]
+    _STORE[memo] = spark.read.parquet(path)
+    return _STORE[memo]
 
 
 def _split(spark, sf_dir):
