@@ -34,7 +34,47 @@ def group_quantiles(df: DataFrame, keys: list[str], specs, aggs=(),
 
 def global_quantiles(df: DataFrame, specs, aggs=(), method: str = "exact") -> DataFrame:
     """Whole-table quantiles as a one-row DataFrame (join it back with a
-    cross join of one row — never a driver round-trip)."""
+    cross join of one row — never a driver round-trip).  ``method='distributed'``
+    selects the exact order statistics by a range-partitioned sort instead of
+    one value map (see :func:`distributed_quantile`)."""
+    if method == "distributed":
+        out = None
+        for c, p, a in specs:
+            q = distributed_quantile(df, c if isinstance(c, str) else c, p, a)
+            out = q if out is None else out.crossJoin(q)
+        if aggs:
+            out = out.crossJoin(df.agg(*aggs))
+        return out
     qcols = [quantile_expr(F.col(c) if isinstance(c, str) else c, p, method).alias(a)
              for c, p, a in specs]
     return df.agg(*qcols, *aggs)
+
+
+def distributed_quantile(df: DataFrame, column, p: float, alias: str = "q") -> DataFrame:
+    """Exact quantile (linear interpolation) of a whole column without a
+    single-task value map: the non-null values are range-partitioned and
+    sorted (balanced by sampling), each partition's count gives global
+    offsets (a table with one row per partition), and only the one or two
+    rows at ranks ⌊h⌋, ⌈h⌉ (h = (n−1)·p) are picked.  One row out."""
+    from pyspark.sql import Window
+    from .ranking import _sorted_with_pid
+    x = F.col(column) if isinstance(column, str) else column
+    vals = df.select(x.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    s = _sorted_with_pid(vals, [F.col("_v").asc()])
+    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    n = offs.agg(F.sum("_cnt").alias("_n"))
+    h = (F.col("_n") - 1) * F.lit(p)
+    targets = n.select(F.floor(h).cast("long").alias("_lo"), F.ceil(h).cast("long").alias("_hi"),
+                       (h - F.floor(h)).alias("_frac"))
+    w = Window.partitionBy("_pid").orderBy("_v")
+    ranked = (s.withColumn("_local", F.row_number().over(w) - 1)
+               .join(F.broadcast(offs.select("_pid", "_off")), "_pid")
+               .withColumn("_rank", F.col("_local") + F.col("_off")))
+    picked = (ranked.crossJoin(F.broadcast(targets))
+                    .where((F.col("_rank") == F.col("_lo")) | (F.col("_rank") == F.col("_hi")))
+                    .agg(F.max(F.when(F.col("_rank") == F.col("_lo"), F.col("_v"))).alias("_a"),
+                         F.max(F.when(F.col("_rank") == F.col("_hi"), F.col("_v"))).alias("_b"),
+                         F.first("_frac").alias("_f")))
+    return picked.select((F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a"))).alias(alias))

@@ -20,9 +20,13 @@ def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_or_build(spark, path: str, build, force_rebuild: bool = False) -> DataFrame:
-    """Cached artefact: reuse the parquet at ``path`` unless ``force_rebuild``."""
-    import os
-    if not force_rebuild and os.path.exists(path):
-        return spark.read.parquet(path)
+    """Cached artefact: reuse the parquet at ``path`` (any Hadoop file system)
+    unless ``force_rebuild``."""
+    from pyspark.errors import AnalysisException
+    if not force_rebuild:
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException:
+            pass
     write_table(build(), path)
     return spark.read.parquet(path)

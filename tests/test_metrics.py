@@ -96,3 +96,13 @@ def test_blend_one_pass(spark):
     r = blend_search(df, "a", "b").collect()
     best = [x for x in r if x.is_best == 1]
     assert len(best) == 1 and best[0].weight == max(x.weight for x in r)
+
+
+def test_distributed_quantile_matches_percentile(spark):
+    from shipgraph.functions.quantile import global_quantiles
+    df = spark.range(0, 1001).select(((F.col("id") * 7919) % 1009 / 3.0).alias("x")) \
+              .repartition(5)
+    for p in (0.01, 0.25, 0.5, 0.99):
+        a = global_quantiles(df, [("x", p, "q")], method="distributed").first().q
+        b = df.agg(F.percentile("x", p)).first()[0]
+        assert a == pytest.approx(b, rel=1e-12)
