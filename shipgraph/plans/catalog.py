@@ -230,7 +230,8 @@ def _hist_sql(src, column, lo, hi, bins, by=None, density=False):
     part = f"PARTITION BY {by}" if by else ""
     dens = (f", n_rows / (sum(n_rows) OVER ({part}) * {w!r}) AS density" if density else "")
     return f"""
-SELECT {keys}bin, n_rows, {lo!r} + bin * {w!r} AS bin_lo, {lo!r} + (bin + 1) * {w!r} AS bin_hi{dens}
+SELECT {keys}bin, n_rows, CAST({lo!r} AS DOUBLE) + bin * CAST({w!r} AS DOUBLE) AS bin_lo,
+  CAST({lo!r} AS DOUBLE) + (bin + 1) * CAST({w!r} AS DOUBLE) AS bin_hi{dens}
 FROM (SELECT {keys}CAST(least(floor((least(greatest({column}, {lo!r}), {hi!r}) - {lo!r}) / {w!r}), {bins - 1}) AS BIGINT) AS bin,
              count(*) AS n_rows
       FROM {src} WHERE {column} IS NOT NULL GROUP BY ALL)"""
@@ -355,7 +356,7 @@ def q_sla_clarification(spark, sf_dir):
 
 
 @query("sla_recalibration", _w("""
-SELECT * FROM (VALUES (1.0), (1.5), (1.86)) s(cutoff_multiplier),
+SELECT * FROM (VALUES (1.0::DOUBLE), (1.5::DOUBLE), (1.86::DOUBLE)) s(cutoff_multiplier),
 LATERAL (SELECT avg(CAST(COALESCE(actual_time > cutoff_factor * s.cutoff_multiplier, false)
                     AS DOUBLE)) AS breach_rate FROM der)""", *COARSE))
 def q_sla_recalibration(spark, sf_dir):
@@ -608,7 +609,7 @@ SELECT c.*, COALESCE(s.betweenness, 0.0) AS src_betweenness,
   COALESCE(d.pagerank, 0.0) AS dst_pagerank, COALESCE(s.structural_risk_score, 0.0) AS src_risk,
   COALESCE(d.structural_risk_score, 0.0) AS dst_risk,
   COALESCE(s.community_id, -1) AS src_community, COALESCE(d.community_id, -1) AS dst_community,
-  CAST(COALESCE(s.community_id, -1) <> COALESCE(d.community_id, -1) AS INTEGER) AS cross_community,
+  CAST(COALESCE(s.community_id, -1) <> COALESCE(d.community_id, -1) AS BIGINT) AS cross_community,
   (COALESCE(s.structural_risk_score, 0.0) + COALESCE(d.structural_risk_score, 0.0)) / 2
     AS corridor_risk
 FROM corr c LEFT JOIN risk s ON c.source_center = s.facility
@@ -721,7 +722,7 @@ BASE_FEAT_COLS = ["trip_uuid", "route_type", "route_type_enc", "log_osrm_time",
 
 
 @query("base_features", _w("""
-SELECT trip_uuid, route_type, CAST(route_type = 'FTL' AS INTEGER) AS route_type_enc,
+SELECT trip_uuid, route_type, CAST(route_type = 'FTL' AS BIGINT) AS route_type_enc,
   ln(1 + osrm_time) AS log_osrm_time, ln(1 + osrm_distance) AS log_osrm_dist,
   ln(1 + actual_distance_to_destination) AS log_distance,
   osrm_distance / (osrm_time / 60 + 1e-5) AS osrm_speed,
@@ -855,7 +856,7 @@ _BLEND_W = sorted(set([0.5] + [round(0.30 + 0.05 * i, 2) for i in range(10)]))
 BLEND_SQL = f"""
 SELECT weight, rmse, mae,
   CAST(weight = COALESCE((SELECT min(weight) FROM g WHERE rmse < (SELECT rmse FROM g WHERE weight = 0.5)
-                          AND rmse = (SELECT min(rmse) FROM g)), 0.5) AS INTEGER) AS is_best
+                          AND rmse = (SELECT min(rmse) FROM g)), 0.5) AS BIGINT) AS is_best
 FROM g"""
 BLEND_G = ("g", " UNION ALL ".join(
     f"SELECT CAST({w} AS DOUBLE) AS weight, "
@@ -871,9 +872,9 @@ def q_blend_search(spark, sf_dir):
 
 @query("improvement_steps", _w("""
 SELECT step, name, rmse, rmse - lag(rmse) OVER (ORDER BY step) AS delta FROM (
-  SELECT 1 AS step, 'planned_time' AS name, (SELECT rmse FROM mb) AS rmse
-  UNION ALL SELECT 2, 'corridor_ratio', (SELECT rmse FROM mg)
-  UNION ALL SELECT 3, 'blend', (SELECT round(rmse, 3) FROM bl WHERE is_best = 1))""",
+  SELECT CAST(1 AS BIGINT) AS step, 'planned_time' AS name, (SELECT rmse FROM mb) AS rmse
+  UNION ALL SELECT CAST(2 AS BIGINT), 'corridor_ratio', (SELECT rmse FROM mg)
+  UNION ALL SELECT CAST(3 AS BIGINT), 'blend', (SELECT round(rmse, 3) FROM bl WHERE is_best = 1))""",
     *PRED_CTES, ("mb", metrics_sql("naive_pred", "planned_time")),
     ("mg", metrics_sql("corridor_pred", "corridor_ratio")), BLEND_G, ("bl", BLEND_SQL)))
 def q_improvement_steps(spark, sf_dir):
@@ -913,12 +914,12 @@ SELECT *, CASE WHEN ftl_score >= carting_score THEN 'FTL' ELSE 'Carting' END AS
   CASE WHEN sla_breach_rate > 0.7 THEN 'HIGH' WHEN sla_breach_rate > 0.4 THEN 'MEDIUM'
        ELSE 'LOW' END AS sla_risk
 FROM (SELECT *,
-  (CASE WHEN distance_km >= 150 THEN 3 WHEN distance_km < 50 THEN 0 ELSE 1 END
+  CAST(CASE WHEN distance_km >= 150 THEN 3 WHEN distance_km < 50 THEN 0 ELSE 1 END
    + CASE WHEN weekly_trips >= 30 THEN 2 ELSE 0 END
    + CASE WHEN sla_breach_rate > 0.8 THEN 2 ELSE 0 END
-   + CASE WHEN src_risk > 0.5 THEN 1 ELSE 0 END) AS ftl_score,
-  (CASE WHEN distance_km >= 150 THEN 0 WHEN distance_km < 50 THEN 3 ELSE 0 END
-   + CASE WHEN weekly_trips >= 30 THEN 0 ELSE 2 END) AS carting_score
+   + CASE WHEN src_risk > 0.5 THEN 1 ELSE 0 END AS BIGINT) AS ftl_score,
+  CAST(CASE WHEN distance_km >= 150 THEN 0 WHEN distance_km < 50 THEN 3 ELSE 0 END
+   + CASE WHEN weekly_trips >= 30 THEN 0 ELSE 2 END AS BIGINT) AS carting_score
   FROM {src})"""
 
 
@@ -963,7 +964,7 @@ def q_misrouted(spark, sf_dir):
 @query("distance_bands", _w("""
 SELECT g.band_order, g.band, g.recommended, g.sla_risk, COALESCE(a.n, 0) AS n_corridors,
   a.m AS mean_sla_breach_rate
-FROM (VALUES (0, '<50km', 'Carting', 'Low'), (1, '50-150km', 'Model-Dep', 'Medium'),
+FROM (VALUES (0::BIGINT, '<50km', 'Carting', 'Low'), (1, '50-150km', 'Model-Dep', 'Medium'),
              (2, '150-300km', 'FTL', 'Medium'), (3, '300-600km', 'FTL', 'High'),
              (4, '>600km', 'FTL', 'High')) g(band_order, band, recommended, sla_risk)
 LEFT JOIN (SELECT CASE WHEN median_distance < 50 THEN 0 WHEN median_distance < 150 THEN 1
@@ -992,7 +993,7 @@ SELECT s.scenario, count(CASE WHEN t THEN 1 END) AS affected_trips,
     / count(CASE WHEN t AND is_sla_breach THEN 1 END) * 100 END AS pct_breach_reduction
 FROM (SELECT *, (source_center IN (SELECT facility FROM h3)
                  OR destination_center IN (SELECT facility FROM h3)) AS t FROM der) x,
-     (VALUES ('worst_case', 0.10), ('expected', 0.20), ('best_case', 0.35)) s(scenario, r)
+     (VALUES ('worst_case', 0.10::DOUBLE), ('expected', 0.20::DOUBLE), ('best_case', 0.35::DOUBLE)) s(scenario, r)
 GROUP BY s.scenario, s.r""",
     *NODEF, ("h3", "SELECT facility FROM risk ORDER BY structural_risk_score DESC, facility LIMIT 3")))
 def q_hub_upgrade(spark, sf_dir):
@@ -1200,20 +1201,20 @@ SELECT request_id, route_type, source_center, destination_center, osrm_time, {fe
   round(corr_median_delay_ratio, 3) AS corridor_delay_ratio,
   round(src_structural_risk_score, 4) AS source_risk_score,
   round(dst_structural_risk_score, 4) AS destination_risk_score,
-  CAST(r_trips IS NULL AS INTEGER) AS is_cold_corridor
-FROM (SELECT *, CAST(src_structural_risk_score > 0.3 AS INTEGER) AS high_risk_src,
-             CAST(dst_structural_risk_score > 0.3 AS INTEGER) AS high_risk_dst,
-             CAST(src_structural_risk_score > 0.3 AS INTEGER)
-               * CAST(dst_structural_risk_score > 0.3 AS INTEGER) AS both_high_risk
+  CAST(r_trips IS NULL AS BIGINT) AS is_cold_corridor
+FROM (SELECT *, CAST(src_structural_risk_score > 0.3 AS BIGINT) AS high_risk_src,
+             CAST(dst_structural_risk_score > 0.3 AS BIGINT) AS high_risk_dst,
+             CAST(src_structural_risk_score > 0.3 AS BIGINT)
+               * CAST(dst_structural_risk_score > 0.3 AS BIGINT) AS both_high_risk
       FROM (SELECT q.*, COALESCE(q.cutoff_factor0, 180.0) AS cutoff_factor,
-              CAST(q.route_type = 'FTL' AS INTEGER) AS route_type_enc,
+              CAST(q.route_type = 'FTL' AS BIGINT) AS route_type_enc,
               ln(1 + q.osrm_time) AS log_osrm_time, ln(1 + q.osrm_distance) AS log_osrm_dist,
               ln(1 + q.actual_distance) AS log_distance,
               q.osrm_distance / (q.osrm_time / 60 + 1e-5) AS osrm_speed,
               q.actual_distance / (q.osrm_time + 1) AS dist_time_ratio,
               q.day_of_week AS dow,
-              CAST(COALESCE(q.day_of_week IN (5, 6), false) AS INTEGER) AS is_weekend,
-              CAST(COALESCE(q.hour IN (7, 8, 9, 17, 18, 19), false) AS INTEGER) AS is_rush_hour,
+              CAST(COALESCE(q.day_of_week IN (5, 6), false) AS BIGINT) AS is_weekend,
+              CAST(COALESCE(q.hour IN (7, 8, 9, 17, 18, 19), false) AS BIGINT) AS is_rush_hour,
               sin(2 * pi() * q.hour / 24) AS hour_sin, cos(2 * pi() * q.hour / 24) AS hour_cos,
               sin(2 * pi() * q.day_of_week / 7) AS dow_sin, cos(2 * pi() * q.day_of_week / 7) AS dow_cos,
               sin(2 * pi() * q.month / 12) AS month_sin, cos(2 * pi() * q.month / 12) AS month_cos,

@@ -55,8 +55,8 @@ SELECT *,
   hour(od_start_time) AS hour,
   isodow(od_start_time) - 1 AS dow,
   month(od_start_time) AS month,
-  CAST(COALESCE(isodow(od_start_time) - 1 IN (5, 6), false) AS INTEGER) AS is_weekend,
-  CAST(COALESCE(hour(od_start_time) IN (7, 8, 9, 17, 18, 19), false) AS INTEGER) AS is_rush_hour,
+  CAST(COALESCE(isodow(od_start_time) - 1 IN (5, 6), false) AS BIGINT) AS is_weekend,
+  CAST(COALESCE(hour(od_start_time) IN (7, 8, 9, 17, 18, 19), false) AS BIGINT) AS is_rush_hour,
   actual_distance_to_destination AS distance_km
 FROM {src}
 """
@@ -320,7 +320,7 @@ f0 AS (
 SELECT c.trip_uuid, c.data, c.route_type, c.source_center, c.destination_center, c.actual_time,
   c.hour, c.dow, c.month, c.is_weekend, c.is_rush_hour,
   COALESCE(c.cutoff_factor, (SELECT median(cutoff_factor) FROM {src})) AS cutoff_factor,
-  CAST(c.route_type = 'FTL' AS INTEGER) AS route_type_enc,
+  CAST(c.route_type = 'FTL' AS BIGINT) AS route_type_enc,
   ln(1 + c.osrm_time) AS log_osrm_time, ln(1 + c.osrm_distance) AS log_osrm_dist,
   ln(1 + c.actual_distance_to_destination) AS log_distance,
   c.osrm_distance / (c.osrm_time / 60 + 1e-5) AS osrm_speed,
@@ -337,9 +337,9 @@ LEFT JOIN {nodes} d ON c.destination_center = d.facility
 LEFT JOIN {corr} r ON c.source_center = r.source_center AND c.destination_center = r.destination_center
 LEFT JOIN hv ON c.hour = hv.hour),
 f1 AS (
-SELECT *, CAST(trunc(COALESCE(corr_cross_community, 0.0)) AS INTEGER) AS cross_community_flag,
-  CAST(COALESCE(src_structural_risk_score > (SELECT quantile_cont(src_structural_risk_score, 0.75) FROM f0), false) AS INTEGER) AS high_risk_src,
-  CAST(COALESCE(dst_structural_risk_score > (SELECT quantile_cont(src_structural_risk_score, 0.75) FROM f0), false) AS INTEGER) AS high_risk_dst
+SELECT *, CAST(trunc(COALESCE(corr_cross_community, 0.0)) AS BIGINT) AS cross_community_flag,
+  CAST(COALESCE(src_structural_risk_score > (SELECT quantile_cont(src_structural_risk_score, 0.75) FROM f0), false) AS BIGINT) AS high_risk_src,
+  CAST(COALESCE(dst_structural_risk_score > (SELECT quantile_cont(src_structural_risk_score, 0.75) FROM f0), false) AS BIGINT) AS high_risk_dst
 FROM f0)
 SELECT trip_uuid, data, route_type, source_center, destination_center, actual_time,
   {final.replace("COALESCE(CAST(both_high_risk AS DOUBLE), 0.0)", "CAST(high_risk_src * high_risk_dst AS DOUBLE)")}
