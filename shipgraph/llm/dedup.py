@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 from .common import FILE, ROW, located, stored, work_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Session settings while the stream runs: keyed state on disk, without
+#: preallocated files, as most partitions' state is small.
+STATE = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 #: Ways over which texts of one digest are spread before they are compared.
 SALTS = 16
 
@@ -41,8 +44,9 @@ def run_state(keys: DataFrame, files_per_batch: int | None = None) -> DataFrame:
     if not path:
         return digest_state(keys)
     folder = path[0].rsplit("/", 1)[0]
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         source = spark.readStream.schema(keys.schema)
         if files_per_batch:
@@ -56,7 +60,8 @@ def run_state(keys: DataFrame, files_per_batch: int | None = None) -> DataFrame:
                  .trigger(availableNow=True).start())
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     rows = spark.read.parquet(f"{at}/out/*")
     return rows.groupBy("__digest").agg(F.max("__n").alias("__n"),
                                         F.max_by("__keep", "__n").alias("__keep"))

@@ -86,12 +86,13 @@ def knapsack(value: np.ndarray, lengths: np.ndarray, copies: np.ndarray,
 
 
 def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int,
-                   step: float = 0.5, rate: float = 2.0,
+                   step: float = 1.0, rate: float = 0.1,
                    rounds: int = 400) -> list[tuple[np.ndarray, int]]:
     """(copies of each length, number of sequences), covering every count exactly.
 
     Multiplicative weights: a length's price starts at its share of the
-    capacity and falls by exp(-rate * covered share); each round the knapsack
+    capacity, tilted to long ones so that short ones stay to fill the gaps,
+    and falls by exp(-rate * covered share); each round the knapsack
     finds the dearest configuration, which is used until ``step`` of the demand
     of its scarcest length is met.  ``rounds`` bounds the fractional phase;
     rounding and the knapsack on the rest always finish the cover.
@@ -101,14 +102,13 @@ def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int,
     plan = [(np.where(full, 1, 0), int(counts[full].sum()))] if counts[full].sum() else []
     demand[full] = 0
     left = np.where(full, 0, counts).astype(np.int64)
-    met = np.zeros(len(lengths))
+    met, worth = np.zeros(len(lengths)), lengths / capacity * (1 + lengths / capacity)
     share: dict[bytes, float] = {}
     for _ in range(rounds):
         rest = demand - met
         if rest.sum() < 1:
             break
-        price = np.where(rest >= 1, lengths / capacity, 0) \
-            * np.exp(-rate * met / np.maximum(demand, 1))
+        price = np.where(rest >= 1, worth, 0) * np.exp(-rate * met / np.maximum(demand, 1))
         c, _ = knapsack(price, lengths, np.floor(rest).astype(np.int64), capacity)
         used = c > 0
         if not used.any():
@@ -124,8 +124,7 @@ def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int,
             plan.append((c, m))
             left -= m * c
     while left.sum():
-        # long lengths are worth a little more, so short ones stay to fill the gaps
-        c, _ = knapsack(lengths * (1 + 0.05 * lengths / capacity), lengths, left, capacity)
+        c, _ = knapsack(worth, lengths, left, capacity)
         used = c > 0
         m = int(np.min(left[used] // c[used]))
         plan.append((c, m))
