@@ -9,7 +9,6 @@ path.  Sub-packages:
 * ``operators`` – profiling, cleaning, corridor/facility aggregation, graph
                   algorithms, features, models, evaluation, scoring
 * ``plans``     – the registered queries and their DuckDB oracle SQL
-* ``streaming`` – stream–static application of the stateless operators
 """
 
 __version__ = "0.1.0"

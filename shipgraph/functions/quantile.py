@@ -4,15 +4,18 @@
 map-side into (value → count) maps, so its memory per group is bounded by the
 number of *distinct* values, not rows.  ``method='approx'`` uses
 ``percentile_approx`` (mergeable Greenwald–Khanna sketches of bounded size,
-rank error ≤ n/accuracy); use it when one group can hold a large share of a
-continuous-valued column.
+rank error ≤ n/accuracy).  ``method='distributed'`` is exact as well and puts
+no group into one task: the choice for few groups that can each hold a large
+share of the rows (route types, the whole table).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import _sorted_with_pid
+
 
 def quantile_expr(x: Column, p: float, method: str = "exact",
                   accuracy: int = 100000) -> Column:
@@ -25,56 +28,81 @@ def quantile_expr(x: Column, p: float, method: str = "exact",
 
 def group_quantiles(df: DataFrame, keys: list[str], specs, aggs=(),
                     method: str = "exact") -> DataFrame:
-    """One aggregation pass: ``specs`` is [(column or Column, p, alias)],
-    ``aggs`` extra aggregate Columns computed in the same shuffle."""
+    """``specs`` is [(column or Column, p, alias)], ``aggs`` extra aggregates.
+
+    ``exact`` and ``approx`` are one aggregation pass and fit many small groups;
+    ``distributed`` fits few groups of any size (see :func:`distributed_quantiles`).
+    """
+    if method == "distributed":
+        return distributed_quantiles(df, keys, specs, aggs)
     qcols = [quantile_expr(F.col(c) if isinstance(c, str) else c, p, method).alias(a)
              for c, p, a in specs]
     return df.groupBy(*keys).agg(*qcols, *aggs)
 
 
 def global_quantiles(df: DataFrame, specs, aggs=(), method: str = "exact") -> DataFrame:
-    """Whole-table quantiles as a one-row DataFrame (join it back with a
-    cross join of one row — never a driver round-trip).  ``method='distributed'``
-    selects the exact order statistics by a range-partitioned sort instead of
-    one value map (see :func:`distributed_quantile`)."""
-    if method == "distributed":
-        out = None
-        for c, p, a in specs:
-            q = distributed_quantile(df, c if isinstance(c, str) else c, p, a)
-            out = q if out is None else out.crossJoin(q)
-        if aggs:
-            out = out.crossJoin(df.agg(*aggs))
-        return out
-    qcols = [quantile_expr(F.col(c) if isinstance(c, str) else c, p, method).alias(a)
-             for c, p, a in specs]
-    return df.agg(*qcols, *aggs)
+    """Whole-table quantiles as a one-row DataFrame (join it back with a cross
+    join of one row, never by the driver)."""
+    return group_quantiles(df, [], specs, aggs, method)
+
 
+def distributed_quantiles(df: DataFrame, keys: list[str], specs, aggs=()) -> DataFrame:
+    """Exact quantiles (linear interpolation) of few groups, however large.
 
-def distributed_quantile(df: DataFrame, column, p: float, alias: str = "q") -> DataFrame:
-    """Exact quantile (linear interpolation) of a whole column without a
-    single-task value map: the non-null values are range-partitioned and
-    sorted (balanced by sampling), each partition's count gives global
-    offsets (a table with one row per partition), and only the one or two
-    rows at ranks ⌊h⌋, ⌈h⌉ (h = (n−1)·p) are picked.  One row out."""
-    from pyspark.sql import Window
-    from .ranking import _sorted_with_pid
-    x = F.col(column) if isinstance(column, str) else column
-    vals = df.select(x.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    s = _sorted_with_pid(vals, [F.col("_v").asc()])
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    n = offs.agg(F.sum("_cnt").alias("_n"))
-    h = (F.col("_n") - 1) * F.lit(p)
-    targets = n.select(F.floor(h).cast("long").alias("_lo"), F.ceil(h).cast("long").alias("_hi"),
-                       (h - F.floor(h)).alias("_frac"))
-    w = Window.partitionBy("_pid").orderBy("_v")
-    ranked = (s.withColumn("_local", F.row_number().over(w) - 1)
-               .join(F.broadcast(offs.select("_pid", "_off")), "_pid")
-               .withColumn("_rank", F.col("_local") + F.col("_off")))
-    picked = (ranked.crossJoin(F.broadcast(targets))
-                    .where((F.col("_rank") == F.col("_lo")) | (F.col("_rank") == F.col("_hi")))
-                    .agg(F.max(F.when(F.col("_rank") == F.col("_lo"), F.col("_v"))).alias("_a"),
-                         F.max(F.when(F.col("_rank") == F.col("_hi"), F.col("_v"))).alias("_b"),
-                         F.first("_frac").alias("_f")))
-    return picked.select((F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a"))).alias(alias))
+    Rows become (keys, column, value) counts, combined before the shuffle, so
+    repeated values are one row; the counts are range-partitioned by (keys,
+    column, value) and summed up within partitions; offsets per partition and
+    group (a table of partitions x groups) make them global; then the one or
+    two values at each rank are picked.  All quantiles of all columns share
+    the pass, and no task holds a group.
+    """
+    exprs: dict[str, int] = {}
+    cols: list[Column] = []
+    which = []
+    for c, _, _ in specs:
+        name = c if isinstance(c, str) else str(c)
+        if name not in exprs:
+            exprs[name] = len(cols)
+            cols.append(F.col(c) if isinstance(c, str) else c)
+        which.append(exprs[name])
+    key = F.struct(F.lit(0).alias("_one"), *[F.col(k) for k in keys]).alias("_key")
+    values = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), x.cast("double").alias("v"))
+                                 for i, x in enumerate(cols)])).alias("_x")
+    # a null value counts for no rank, but keeps a group of nulls in the result
+    counts = (df.select(key, values).select("_key", "_x.i", "_x.v")
+                .groupBy("_key", "i", "v").agg(F.count("v").alias("_n")))
+    s = _sorted_with_pid(counts, [F.col("_key").asc(), F.col("i").asc(), F.col("v").asc()])
+    up_to = Window.partitionBy("_pid", "_key", "i").orderBy("v")
+    earlier = Window.partitionBy("_key", "i").orderBy("_pid") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (s.groupBy("_pid", "_key", "i").agg(F.sum("_n").alias("_cnt"))
+                .select("_pid", "_key", "i",
+                        F.coalesce(F.sum("_cnt").over(earlier), F.lit(0)).alias("_off"),
+                        F.sum("_cnt").over(Window.partitionBy("_key", "i")).alias("_tot")))
+    ranked = (s.withColumn("_cum", F.sum("_n").over(up_to)).join(offsets, ["_pid", "_key", "i"])
+               .withColumn("_to", F.col("_cum") + F.col("_off"))
+               .withColumn("_from", F.col("_to") - F.col("_n")))
+    picked = []
+    for (_, p, a), i in zip(specs, which):
+        at = (F.col("_tot") - 1) * F.lit(float(p))
+        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            here = (F.col("i") == i) & (F.col("_from") <= rank) & (rank < F.col("_to"))
+            picked.append(F.max(F.when(here, F.col("v"))).alias(f"_{side}_{a}"))
+        picked.append(F.max(F.when(F.col("i") == i, at)).alias(f"_at_{a}"))
+    found = ranked.groupBy("_key").agg(*picked)
+    out = []
+    for _, _, a in specs:
+        at, lo, hi = F.col(f"_at_{a}"), F.col(f"_lo_{a}"), F.col(f"_hi_{a}")
+        out.append(F.when(F.floor(at) == F.ceil(at), lo).otherwise(
+            (F.ceil(at) - at) * lo + (at - F.floor(at)) * hi).alias(a))
+    found = found.select("_key", *out)
+    names = [x[2] for x in specs]
+    if not keys:
+        one = found.agg(*[F.max(a).alias(a) for a in names])   # one row, also of an empty table
+        return one.crossJoin(df.agg(*aggs)) if aggs else one
+    found = found.select(*[F.col(f"_key.{k}") for k in keys], "_key", *names)
+    if not aggs:
+        return found.drop("_key")
+    base = df.groupBy(*keys).agg(*aggs)
+    extra = [c for c in base.columns if c not in keys]
+    return (base.select(key, *extra).join(found, "_key").select(*keys, *names, *extra))

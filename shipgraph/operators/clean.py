@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.broadcast import small
 from ..functions.exprs import clip, exact_mean, rate
 from ..functions.quantile import global_quantiles, group_quantiles
 from .derive import drop_leaky, recompute_ratio
@@ -16,12 +17,12 @@ SEVERE_RATIO = 2.0
 
 def winsorize_by_group(df: DataFrame, target_col: str, group_col: str,
                        lower_pct: float | None = 0.01, upper_pct: float | None = 0.99,
-                       method: str = "exact") -> DataFrame:
+                       method: str = "distributed") -> DataFrame:
     """Clip ``target_col`` to per-group quantile bounds (NULLs stay NULL).
 
-    The bounds are one row per group: aggregated with map-side combine and
-    joined back; AQE broadcasts the bound table when it is small at runtime
-    and falls back to a shuffle join when it is not.
+    The bounds are one row per group; they are broadcast when their counted
+    size is within the session's threshold, so ``df`` isn't shuffled on a key
+    of few values, and joined by a shuffle beyond it.
     """
     specs = []
     if lower_pct is not None:
@@ -35,12 +36,13 @@ def winsorize_by_group(df: DataFrame, target_col: str, group_col: str,
     capped = clip(x, F.col("_lo") if lower_pct is not None else None,
                   F.col("_hi") if upper_pct is not None else None)
     cols = [capped.alias(c) if c == target_col else F.col(f"`{c}`") for c in df.columns]
-    return df.join(bounds, group_col, "left").select(*cols)
+    bounds = bounds.withColumnRenamed(group_col, "_g")
+    return df.join(small(bounds), F.col(group_col).eqNullSafe(F.col("_g")), "left").select(*cols)
 
 
 def clean_shipments(derived: DataFrame, strategy: str = "winsorize",
                     cap_pct: float = 0.99, impute_cutoff: bool = True,
-                    method: str = "exact") -> DataFrame:
+                    method: str = "distributed") -> DataFrame:
     """Canonical cleaning: drop non-positive plans, cap actual_time at the
     per-route-type ``cap_pct`` quantile (upper side only), recompute the ratio,
     fill a missing cutoff with the median, drop leaky columns."""
@@ -51,7 +53,7 @@ def clean_shipments(derived: DataFrame, strategy: str = "winsorize",
     elif strategy == "drop":
         caps = group_quantiles(df, ["route_type"], [("actual_time", cap_pct, "_cap")],
                                method=method)
-        df = df.join(caps, "route_type").where(F.col("actual_time") <= F.col("_cap")) \
+        df = df.join(small(caps), "route_type").where(F.col("actual_time") <= F.col("_cap")) \
                .drop("_cap")
     elif strategy != "none":
         raise ValueError(f"strategy must be winsorize, drop or none, got {strategy!r}")
@@ -64,14 +66,14 @@ def clean_shipments(derived: DataFrame, strategy: str = "winsorize",
 
 
 def winsorize_upper(derived: DataFrame, cap_pct: float = 0.99,
-                    method: str = "exact") -> DataFrame:
+                    method: str = "distributed") -> DataFrame:
     """CLN2 as in the outlier step: cap actual_time per route type, recompute
     the ratio, then drop rows without a positive plan."""
     df = winsorize_by_group(derived, "actual_time", "route_type", None, cap_pct, method)
     return recompute_ratio(df).where(F.col("osrm_time") > 0)
 
 
-def route_quantiles(derived: DataFrame, method: str = "exact") -> DataFrame:
+def route_quantiles(derived: DataFrame, method: str = "distributed") -> DataFrame:
     """AGG19: per route type q01/q99 of actual_time, q99 of delay ratio, and
     the number / share of rows above the q99."""
     q = group_quantiles(derived, ["route_type"],
@@ -97,7 +99,7 @@ def cleaning_impact(before: DataFrame, after: DataFrame) -> DataFrame:
         "std_reduction_pct", (1 - F.col("std_after") / F.col("std_before")) * 100)
 
 
-def route_ratio_profile(cleaned: DataFrame, method: str = "exact") -> DataFrame:
+def route_ratio_profile(cleaned: DataFrame, method: str = "distributed") -> DataFrame:
     """AGG21: per route type median and p95 of the clipped delay ratio."""
     c = cleaned.withColumn("_r", clip(F.col("delay_ratio"), 0, 8))
     return group_quantiles(c, ["route_type"], [("_r", 0.5, "median_ratio"),

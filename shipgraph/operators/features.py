@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.broadcast import bounded
 from ..functions.quantile import global_quantiles
 
 # fixed values: feature lists of the reference store, in order
@@ -91,8 +92,10 @@ def graph_features(df: DataFrame, nodes: DataFrame, corridors: DataFrame,
     ccols = [c for c in CORRIDOR_LOOKUP if c in corridors.columns]
     corr = corridors.select("source_center", "destination_center",
                             *[F.col(c).alias(f"_c_{c}") for c in ccols])
-    j = (df.join(src, "source_center", "left").join(dst, "destination_center", "left")
-           .join(corr, ["source_center", "destination_center"], "left")
+    n = nodes.count()
+    j = (df.join(bounded(src, n), "source_center", "left")
+           .join(bounded(dst, n), "destination_center", "left")
+           .join(bounded(corr, corridors.count()), ["source_center", "destination_center"], "left")
            .crossJoin(F.broadcast(nmed)))
     for c in ncols:
         j = (j.withColumn(f"src_{c}", F.coalesce(F.col(f"_s_{c}").cast("double"),
@@ -121,7 +124,8 @@ def risk_flags(df: DataFrame, threshold: float | None = None) -> DataFrame:
     """FEA8: high-risk endpoint flags against the row-weighted 75th percentile
     of the source risk (one threshold for both ends), or a given threshold."""
     if threshold is None:
-        q = global_quantiles(df, [("src_structural_risk_score", 0.75, "_q75")])
+        q = global_quantiles(df, [("src_structural_risk_score", 0.75, "_q75")],
+                             method="distributed")
         df = df.crossJoin(F.broadcast(q))
         thr = F.col("_q75")
     else:
@@ -138,7 +142,7 @@ def feature_store(cleaned: DataFrame, nodes: DataFrame, corridors: DataFrame,
                   keys=("trip_uuid", "data", "route_type", "source_center",
                         "destination_center")) -> DataFrame:
     """FEA10: cleaned shipments → 49 features (+ keys and target), NULL → 0."""
-    med = global_quantiles(cleaned, [("cutoff_factor", 0.5, "_cf")])
+    med = global_quantiles(cleaned, [("cutoff_factor", 0.5, "_cf")], method="distributed")
     df = (cleaned.crossJoin(F.broadcast(med))
                  .withColumn("cutoff_factor", F.coalesce("cutoff_factor", "_cf")).drop("_cf"))
     df = base_features(df)

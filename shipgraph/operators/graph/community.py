@@ -1,12 +1,13 @@
 """Community detection (parallel modularity local moving) and modularity.
 
 The reference agglomerates communities greedily, which is sequential.  Here
-each round every node evaluates the modularity gain of joining each
-neighbouring community in parallel (joins + aggregations); to avoid two
-neighbours swapping forever only the nodes whose hash parity matches the
-round move in that round.  Rounds stop when no node moves in two
-consecutive rounds.  After local moving converges, communities are
-collapsed into super-nodes and the procedure repeats (Louvain levels).
+nodes fall into hash classes; in each round every node of one class evaluates
+in parallel the modularity gain of joining each neighbouring community, and
+moves to the best one if that gains.  A sweep is a round of each class.  Moves
+made side by side can undo each other's gain, so a sweep that doesn't raise
+the modularity is taken back and repeated with twice as many classes, down to
+moves one by one; sweeps end when a whole one moves nothing.  Communities then
+become super-nodes and the procedure repeats until a level moves nothing.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions.ranking import global_row_number
+from ...functions.broadcast import bounded
 from .edges import undirected, vertices
-from .iterate import Loop, bounded
+from .iterate import Loop
 
 
 def _symmetric(und: DataFrame) -> DataFrame:
@@ -33,9 +35,20 @@ def _strength(und: DataFrame) -> DataFrame:
     return ends.groupBy("i").agg(F.sum("weight").alias("k"))
 
 
-def _local_moving(und: DataFrame, m: float, loop: Loop, max_rounds: int, seed: int,
-                  resolution: float) -> DataFrame:
-    """One Louvain level of parallel local moving.
+def _quality(adj: DataFrame, label: DataFrame, m: float, resolution: float, n: int) -> float:
+    """Modularity of a labelling of one level, but for its constant share of loops."""
+    lab = bounded(label.select("i", "c"), n)
+    inner = (adj.join(lab, "i").join(bounded(label.select(F.col("i").alias("j"),
+                                                          F.col("c").alias("cj")), n), "j")
+             .where("c = cj").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w")))
+    tot = label.groupBy("c").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t")).alias("t"))
+    r = inner.crossJoin(tot).first()
+    return r["w"] / (2 * m) - resolution * r["t"] / (4 * m * m)
+
+
+def _local_moving(und: DataFrame, m: float, loop: Loop, resolution: float,
+                  max_sweeps: int | None) -> tuple[DataFrame, bool]:
+    """One Louvain level of parallel local moving, until no node gains by moving.
 
     Moving node i from D to C gains ΔQ = (w_iC − w_iD)/m − γ k_i (tot_C − tot_D + k_i)/(2m²),
     so per node it suffices to compare max_C [w_iC/m − γ k_i tot_C/(2m²)] with the stay
@@ -44,72 +57,80 @@ def _local_moving(und: DataFrame, m: float, loop: Loop, max_rounds: int, seed: i
     adj = loop.hold(_symmetric(und))
     k = loop.hold(_strength(und))
     n = k.count()
-    label = loop.keep(k.select("i", F.col("i").alias("c"), "k"), 1)
-    still = 0
+    label = loop.hold(k.select("i", F.col("i").alias("c"), "k"))
     g = resolution / (2 * m * m)
-    for r in range(1, max_rounds + 1):
-        tot = label.groupBy("c").agg(F.sum("k").alias("tot"))
-        lab = bounded(label.select(F.col("i").alias("j"), "c"), n)
-        nb = adj.join(lab, "j").groupBy("i", "c").agg(F.sum("weight").alias("w_ic"))
-        me = bounded(label.select("i", F.col("c").alias("own"), "k")
-                          .join(tot.select(F.col("c").alias("own"), F.col("tot").alias("tot_own")),
-                                "own"), n)
-        cand = nb.join(me, "i").join(bounded(tot, n), "c")
-        move_score = F.col("w_ic") / m - g * F.col("k") * F.col("tot")
-        stay_score = F.col("w_ic") / m - g * F.col("k") * (F.col("tot_own") - F.col("k"))
-        other = F.col("c") != F.col("own")
-        per_node = cand.groupBy("i").agg(
-            F.max_by(F.when(other, F.col("c")),
-                     F.struct(F.when(other, move_score), -F.hash("c"))).alias("to"),
-            F.max(F.when(other, move_score)).alias("best"),
-            F.max(F.when(~other, stay_score)).alias("stay"),
-            F.first("k").alias("k"), F.first("tot_own").alias("tot_own"))
-        stay0 = -g * F.col("k") * (F.col("tot_own") - F.col("k"))
-        movable = F.pmod(F.xxhash64("i", F.lit(seed + r)), F.lit(2)) == 0
-        moves = (per_node.where(movable & F.col("to").isNotNull()
-                                & (F.col("best") > F.coalesce("stay", stay0) + 1e-12))
-                         .select("i", "to")).persist()
-        n_moves = moves.count()
-        new = (label.join(bounded(moves, n), "i", "left")
-                    .select("i", F.coalesce("to", "c").alias("c"), "k"))
-        label = loop.keep(new, r + 1)
-        moves.unpersist()
-        still = still + 1 if n_moves == 0 else 0
-        if still >= 2:
-            break
-    return label.select("i", "c")
-
-
-def communities(edges: DataFrame, max_rounds: int = 8, max_levels: int = 3, seed: int = 7,
-                resolution: float = 1.0, checkpoint_every: int = 4) -> DataFrame:
+    classes, sweep, moved = 2, 0, False
+    quality = _quality(adj, label, m, resolution, n)
+    while True:
+        sweep += 1
+        if max_sweeps is not None and sweep > max_sweeps:
+            raise RuntimeError(f"communities still move after {max_sweeps} sweeps")
+        before, n_moves = label, 0
+        for turn in range(classes):
+            mine = F.pmod(F.xxhash64("i"), F.lit(classes)) == turn
+            tot = label.groupBy("c").agg(F.sum("k").alias("tot"))
+            me = bounded(label.where(mine).select("i", F.col("c").alias("own"), "k")
+                         .join(tot.select(F.col("c").alias("own"), F.col("tot").alias("tot_own")),
+                               "own"), n)
+            nb = (adj.join(me, "i").join(bounded(label.select(F.col("i").alias("j"), "c"), n), "j")
+                  .groupBy("i", "c", "own", "k", "tot_own").agg(F.sum("weight").alias("w_ic")))
+            cand = nb.join(bounded(tot, n), "c")
+            move_score = F.col("w_ic") / m - g * F.col("k") * F.col("tot")
+            stay_score = F.col("w_ic") / m - g * F.col("k") * (F.col("tot_own") - F.col("k"))
+            other = F.col("c") != F.col("own")
+            per_node = cand.groupBy("i", "k", "tot_own").agg(
+                F.max_by(F.when(other, F.col("c")),
+                         F.struct(F.when(other, move_score), -F.hash("c"))).alias("to"),
+                F.max(F.when(other, move_score)).alias("best"),
+                F.max(F.when(~other, stay_score)).alias("stay"))
+            stay0 = -g * F.col("k") * (F.col("tot_own") - F.col("k"))
+            moves = loop.hold(per_node.where(
+                F.col("to").isNotNull() & (F.col("best") > F.coalesce("stay", stay0) + 1e-12))
+                .select("i", "to"))
+            some = moves.count()
+            if some:
+                label = loop.hold(label.join(bounded(moves, n), "i", "left")
+                                  .select("i", F.coalesce("to", "c").alias("c"), "k"))
+            n_moves += some
+        if n_moves == 0:
+            return label.select("i", "c"), moved
+        now = _quality(adj, label, m, resolution, n)
+        if now > quality + 1e-12:
+            quality, moved = now, True
+        else:   # side-by-side moves undid each other: fewer of them at a time
+            label = before
+            if classes > 4 * n:
+                return label.select("i", "c"), moved
+            classes *= 2
+
+
+def communities(edges: DataFrame, max_sweeps: int | None = None, resolution: float = 1.0,
+                checkpoint_every: int = 4) -> DataFrame:
     """(facility, community_id): ids numbered by community size (desc), then
-    smallest member, starting at 0."""
+    smallest member, starting at 0.  Runs until nothing moves; ``max_sweeps``
+    raises instead of returning an unfinished result."""
     loop = Loop(checkpoint_every)
     edges = loop.hold(edges.select("src", "dst", "weight"))
     und = loop.hold(undirected(edges))
     m = und.agg(F.sum("weight")).first()[0] or 0.0
     nodes = vertices(edges)
-    if m <= 0:
-        assign = nodes.select("facility", F.col("facility").alias("c"))
-    else:
-        assign = loop.hold(nodes.select("facility", F.col("facility").alias("c")))
-        level_edges = und
-        for level in range(max_levels):
-            lab = _local_moving(level_edges, m, loop, max_rounds, seed + 97 * level, resolution)
-            moved = lab.where(F.col("i") != F.col("c")).limit(1).count()
-            assign = loop.hold(assign.join(lab.withColumnRenamed("c", "c2"),
-                                           assign.c == lab.i, "left")
-                                     .select("facility", F.coalesce("c2", "c").alias("c")))
-            if moved == 0:
-                break
-            # collapse communities into super-nodes for the next level
-            a = lab.select(F.col("i").alias("_x"), F.col("c").alias("_cx"))
-            b = lab.select(F.col("i").alias("_y"), F.col("c").alias("_cy"))
-            sup = (level_edges.join(a, level_edges.u == a._x).join(b, level_edges.v == b._y)
-                              .select(F.least("_cx", "_cy").alias("u"),
-                                      F.greatest("_cx", "_cy").alias("v"), "weight")
-                              .groupBy("u", "v").agg(F.sum("weight").alias("weight")))
-            level_edges = loop.hold(sup)
+    assign = loop.hold(nodes.select("facility", F.col("facility").alias("c")))
+    level_edges = und
+    while m > 0:
+        lab, moved = _local_moving(level_edges, m, loop, resolution, max_sweeps)
+        if not moved:
+            break
+        assign = loop.hold(assign.join(lab.withColumnRenamed("c", "c2"),
+                                       assign.c == lab.i, "left")
+                                 .select("facility", F.coalesce("c2", "c").alias("c")))
+        # collapse communities into super-nodes for the next level
+        a = lab.select(F.col("i").alias("_x"), F.col("c").alias("_cx"))
+        b = lab.select(F.col("i").alias("_y"), F.col("c").alias("_cy"))
+        level_edges = loop.hold(
+            level_edges.join(a, level_edges.u == a._x).join(b, level_edges.v == b._y)
+            .select(F.least("_cx", "_cy").alias("u"), F.greatest("_cx", "_cy").alias("v"),
+                    "weight")
+            .groupBy("u", "v").agg(F.sum("weight").alias("weight")))
     sizes = assign.groupBy("c").agg(F.count(F.lit(1)).alias("_size"),
                                     F.min("facility").alias("_first"))
     ids = global_row_number(sizes, [F.col("_size").desc(), F.col("_first").asc()], "_rn")

@@ -36,6 +36,13 @@ class Loop:
             self._held.append(out)
         return out
 
+    def release_but(self, kept: DataFrame) -> None:
+        """Give up all held steps but ``kept``."""
+        for o in self._held:
+            if o is not kept:
+                o.unpersist()
+        self._held = [kept]
+
     def hold(self, df: DataFrame) -> DataFrame:
         """Persist a loop-invariant input (edges) for the whole loop."""
         checkpoint_dir(df.sparkSession)
@@ -45,14 +52,3 @@ class Loop:
         for o in self._held:
             o.unpersist()
         self._held = []
-
-
-# Largest table (rows) the graph loops broadcast: node/edge tables are
-# counted first, and above this bound the joins stay shuffle joins.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def bounded(df: DataFrame, n_rows: int, limit: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when its checked row count is within ``limit``."""
-    from pyspark.sql import functions as F
-    return F.broadcast(df) if n_rows <= limit else df

@@ -1,16 +1,17 @@
-"""Shortest-path centralities from distributed all-pairs shortest paths.
-
-Distances are computed for all sources at once by frontier relaxation
-(Bellman–Ford over joins): only pairs improved in the last round are
-extended, so the work per round follows the frontier.  Betweenness is
-Brandes' algorithm expressed as joins: tight edges per source, path counts
-σ by fixed-point propagation over the tight DAG, then dependencies δ
-propagated backwards.  Every table is keyed by (source, node) and
-partitioned by the engine; nothing is gathered on one task.
-
-The pair tables are O(N²) rows and the tight-edge table O(N·E): exact
-betweenness is inherently O(N·E).  ``sources=k`` restricts the sources to a
-deterministic hash sample and rescales by N/k (the usual estimator).
+"""Shortest-path centralities from blocks of sources.
+
+Sources are worked off in blocks of bounded size: for a block, distances come
+from frontier relaxation (Bellman–Ford over joins: only pairs improved in the
+last round are extended), path counts σ by propagation over the tight edges,
+and dependencies δ backwards (Brandes).  The block's share of closeness and
+betweenness is added to totals per node and its tables are dropped, so the
+state is O(block · N) rows, never all pairs; every source is processed and
+the result is exact.  Tables are keyed by (source, node) and partitioned by
+the engine; nothing is gathered on one task.
+
+Edges without a distance connect nothing.  Negative distances are refused,
+and so are zero distances where paths are counted (cycles of length 0 have
+infinitely many shortest paths).
 """
 
 from __future__ import annotations
@@ -18,135 +19,155 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ...functions.broadcast import bounded
 from .edges import vertices
-from .iterate import Loop, bounded
+from .iterate import Loop
 
+#: Sources whose (source, node) tables exist at the same time.
+BLOCK = 1024
 
-def _source_set(nodes: DataFrame, sources: int | None, seed: int) -> DataFrame:
-    s = nodes.select(F.col("facility").alias("s"))
-    if sources is None:
-        return s
-    return s.orderBy(F.xxhash64("s", F.lit(seed)), "s").limit(sources)
+
+def _usable(edges: DataFrame, distance_col: str, least: float = 0.0,
+            open_end: bool = False) -> DataFrame:
+    """(v, w, c): edges with a distance and without self-loops."""
+    e = (edges.where(F.col("src") != F.col("dst"))
+              .select(F.col("src").alias("v"), F.col("dst").alias("w"),
+                      F.col(distance_col).cast("double").alias("c"))
+              .where(F.col("c").isNotNull() & ~F.isnan("c")))
+    low = e.agg(F.min("c")).first()[0]
+    if low is not None and (low < least or open_end and low == least):
+        raise ValueError(f"distances must be {'above' if open_end else 'at least'} {least}, "
+                         f"got {low}")
+    return e
 
 
-def shortest_paths(edges: DataFrame, distance_col: str = "weight", sources: int | None = None,
-                   seed: int = 42, max_rounds: int = 10_000,
-                   checkpoint_every: int = 3) -> DataFrame:
-    """(s, t, d): shortest distance from s to every node t reachable from s
-    (d(s,s) = 0).  Self-loops never shorten a path and are dropped."""
-    loop = Loop(checkpoint_every)
-    edges = loop.hold(edges.select("src", "dst", distance_col))
-    e = loop.hold(edges.where(F.col("src") != F.col("dst"))
-                       .select(F.col("src").alias("t"), F.col("dst").alias("t2"),
-                               F.col(distance_col).cast("double").alias("w")))
-    n_e = e.count()
-    eb = bounded(e, n_e)
-    src = _source_set(vertices(edges), sources, seed)
-    dist = loop.keep(src.select("s", F.col("s").alias("t"), F.lit(0.0).alias("d")), 1)
-    frontier = dist
-    for i in range(2, max_rounds + 2):
-        cand = (frontier.join(eb, "t")
-                        .groupBy("s", F.col("t2").alias("t"))
-                        .agg(F.min(F.col("d") + F.col("w")).alias("d")))
-        better = (cand.join(dist.withColumnRenamed("d", "_old"), ["s", "t"], "left")
-                      .where(F.col("_old").isNull() | (F.col("d") < F.col("_old")))
-                      .select("s", "t", "d"))
-        better = better.persist()
+def _distances(e: DataFrame, n_e: int, sources: DataFrame, loop: Loop) -> DataFrame:
+    eb = bounded(e, n_e).withColumnRenamed("v", "t")
+    dist = loop.keep(sources.select("s", F.col("s").alias("t"), F.lit(0.0).alias("d")), 1)
+    frontier, i = dist, 1
+    while True:
+        i += 1
+        cand = (frontier.join(eb, "t").groupBy("s", F.col("w").alias("t"))
+                        .agg(F.min(F.col("d") + F.col("c")).alias("d")))
+        old = dist.select("s", "t", F.col("d").alias("_old"), F.lit(True).alias("_seen"))
+        better = (cand.join(old, ["s", "t"], "left")
+                      .where(F.col("_seen").isNull() | (F.col("d") < F.col("_old")))
+                      .select("s", "t", "d")).persist()
         if better.isEmpty():
             better.unpersist()
-            break
+            return dist
         dist = loop.keep(dist.join(better.select("s", "t"), ["s", "t"], "left_anti")
                              .unionByName(better), i)
-        frontier.unpersist() if frontier is not dist else None
+        if frontier is not dist:
+            frontier.unpersist()
         frontier = better
-    return dist
-
-
-def closeness(edges: DataFrame, distance_col: str = "weight",
-              dist: DataFrame | None = None) -> DataFrame:
-    """Closeness on incoming distances with the Wasserman–Faust correction:
-    r/Σd · r/(N−1), r = number of other nodes that reach the node."""
-    edges = Loop().hold(edges.select("src", "dst", distance_col))
-    nodes = vertices(edges)
-    n = nodes.count()
-    d = dist if dist is not None else shortest_paths(edges, distance_col)
-    agg = (d.where(F.col("s") != F.col("t"))
-            .groupBy(F.col("t").alias("facility"))
-            .agg(F.count(F.lit(1)).alias("_r"), F.sum("d").alias("_tot")))
-    c = F.when((F.col("_tot") > 0) & (F.lit(n) > 1),
-               (F.col("_r") / F.col("_tot")) * (F.col("_r") / F.lit(max(n - 1, 1))))
-    return (nodes.join(agg, "facility", "left")
-                 .select("facility", F.coalesce(c, F.lit(0.0)).alias("closeness")))
 
 
-def betweenness(edges: DataFrame, distance_col: str = "weight", normalized: bool = True,
-                sources: int | None = None, seed: int = 42,
-                dist: DataFrame | None = None, checkpoint_every: int = 3) -> DataFrame:
-    """Directed betweenness (Brandes), normalised by 1/((N−1)(N−2))."""
+def shortest_paths(edges: DataFrame, distance_col: str = "weight",
+                   sources: DataFrame | None = None, checkpoint_every: int = 3) -> DataFrame:
+    """(s, t, d): shortest distance from each source (column ``s``; all nodes by
+    default) to every node t it reaches (d(s,s) = 0).  All sources at once."""
     loop = Loop(checkpoint_every)
     edges = loop.hold(edges.select("src", "dst", distance_col))
-    nodes = vertices(edges)
-    n = nodes.count()
-    d = dist if dist is not None else shortest_paths(edges, distance_col, sources, seed)
-    d = loop.hold(d)
-    e = (edges.where(F.col("src") != F.col("dst"))
-              .select(F.col("src").alias("v"), F.col("dst").alias("w"),
-                      F.col(distance_col).cast("double").alias("c")))
+    e = loop.hold(_usable(edges, distance_col))
+    src = sources if sources is not None else vertices(edges).select(F.col("facility").alias("s"))
+    return _distances(e, e.count(), src, loop)
+
+
+def _dependencies(e: DataFrame, n_e: int, d: DataFrame, loop: Loop) -> DataFrame:
+    """(facility, b): Σ_s δ(s, v) over the sources in ``d``."""
     dv = d.select("s", F.col("t").alias("v"), F.col("d").alias("dv"))
     dw = d.select("s", F.col("t").alias("w"), F.col("d").alias("dw"))
-    tight = loop.hold(dv.join(bounded(e, edges.count()), "v").join(dw, ["s", "w"])
+    tight = loop.hold(dv.join(bounded(e, n_e), "v").join(dw, ["s", "w"])
                         .where(F.col("dv") + F.col("c") == F.col("dw"))
                         .select("s", "v", "w"))
     # σ(s,w) = [w = s] + Σ_{tight (s,v,w)} σ(s,v), iterated to its fixed point
     seed_sigma = d.where(F.col("s") == F.col("t")).select("s", F.col("t").alias("w"),
                                                           F.lit(1.0).alias("sigma"))
-    sigma = loop.keep(seed_sigma, 1)
-    i = 1
+    sigma, i = loop.keep(seed_sigma, 1), 1
     while True:
         i += 1
         prop = (sigma.withColumnRenamed("w", "v").join(tight, ["s", "v"])
                      .groupBy("s", "w").agg(F.sum("sigma").alias("sigma")))
-        new = loop.keep(seed_sigma.unionByName(prop), i)
+        new = loop.keep(seed_sigma.unionByName(prop), i, release=False)
         changed = (new.join(sigma.withColumnRenamed("sigma", "_o"), ["s", "w"], "full_outer")
                       .where(F.col("_o").isNull() | F.col("sigma").isNull()
-                             | (F.col("sigma") != F.col("_o"))))
+                             | (F.col("sigma") != F.col("_o")))).isEmpty()
         sigma = new
-        if changed.isEmpty():
+        loop.release_but(new)
+        if changed:
             break
     sv = sigma.select("s", F.col("w").alias("v"), F.col("sigma").alias("sv"))
     sw = sigma.select("s", "w", F.col("sigma").alias("sw"))
     ratio = loop.hold(tight.join(sv, ["s", "v"]).join(sw, ["s", "w"])
                            .select("s", "v", "w", (F.col("sv") / F.col("sw")).alias("q")))
     # δ(s,v) = Σ_{tight (s,v,w)} σ(s,v)/σ(s,w) · (1 + δ(s,w))
-    delta = None
-    j = 0
+    delta, j = loop.keep(ratio.groupBy("s", "v").agg(F.sum("q").alias("delta")), 1), 1
     while True:
         j += 1
-        if delta is None:
-            new = ratio.groupBy("s", "v").agg(F.sum("q").alias("delta"))
-        else:
-            dw_ = delta.select("s", F.col("v").alias("w"), F.col("delta").alias("_dw"))
-            new = (ratio.join(dw_, ["s", "w"], "left")
-                        .groupBy("s", "v")
+        later = delta.select("s", F.col("v").alias("w"), F.col("delta").alias("_dw"))
+        new = loop.keep(ratio.join(later, ["s", "w"], "left").groupBy("s", "v")
                         .agg(F.sum(F.col("q") * (1 + F.coalesce("_dw", F.lit(0.0))))
-                             .alias("delta")))
-        new = loop.keep(new, j)
-        if delta is not None:
-            changed = (new.join(delta.withColumnRenamed("delta", "_o"), ["s", "v"], "full_outer")
-                          .where(F.col("_o").isNull() | F.col("delta").isNull()
-                                 | (F.abs(F.col("delta") - F.col("_o"))
-                                    > 1e-12 * F.abs(F.col("delta")))))
-            if changed.isEmpty():
-                delta = new
-                break
+                             .alias("delta")), j, release=False)
+        settled = (new.join(delta.withColumnRenamed("delta", "_o"), ["s", "v"])
+                      .where(F.abs(F.col("delta") - F.col("_o"))
+                             > 1e-12 * F.abs(F.col("delta")))).isEmpty()
         delta = new
-    bc = (delta.where(F.col("s") != F.col("v"))
-               .groupBy(F.col("v").alias("facility")).agg(F.sum("delta").alias("_b")))
-    scale = 1.0
-    if normalized and n > 2:
-        scale = 1.0 / ((n - 1) * (n - 2))
-    if sources is not None and sources < n:
-        scale *= n / sources
-    return (nodes.join(bc, "facility", "left")
-                 .select("facility",
-                         (F.coalesce("_b", F.lit(0.0)) * F.lit(scale)).alias("betweenness")))
+        loop.release_but(new)
+        if settled:
+            break
+    return (delta.where(F.col("s") != F.col("v"))
+                 .groupBy(F.col("v").alias("facility")).agg(F.sum("delta").alias("b")))
+
+
+def path_centralities(edges: DataFrame, distance_col: str = "weight", normalized: bool = True,
+                      block: int = BLOCK, count_paths: bool = True,
+                      checkpoint_every: int = 3) -> DataFrame:
+    """(facility, closeness, betweenness) of every vertex.
+
+    Closeness is on incoming distances with the Wasserman–Faust correction:
+    r/Σd · r/(N−1), r = number of other nodes that reach the node.
+    Betweenness is directed, normalised by 1/((N−1)(N−2)); without
+    ``count_paths`` it is left out (NULL).
+    """
+    loop = Loop(checkpoint_every)
+    edges = loop.hold(edges.select("src", "dst", distance_col))
+    nodes = loop.hold(vertices(edges))
+    n = nodes.count()
+    e = loop.hold(_usable(edges, distance_col, 0.0, open_end=count_paths))
+    n_e, blocks = e.count(), -(-n // block)
+    total = None
+    for i in range(blocks):
+        src = nodes.where(F.pmod(F.xxhash64("facility"), F.lit(blocks)) == i).select(
+            F.col("facility").alias("s"))
+        d = loop.hold(_distances(e, n_e, src, loop))
+        part = (d.where(F.col("s") != F.col("t")).groupBy(F.col("t").alias("facility"))
+                 .agg(F.count(F.lit(1)).alias("r"), F.sum("d").alias("tot"))
+                 .withColumn("b", F.lit(0.0)))
+        if count_paths:
+            part = part.unionByName(_dependencies(e, n_e, d, loop).select(
+                "facility", F.lit(0).cast("long").alias("r"), F.lit(0.0).alias("tot"), "b"))
+        part = part if total is None else total.unionByName(part)
+        total = loop.hold(part.groupBy("facility").agg(
+            F.sum("r").alias("r"), F.sum("tot").alias("tot"), F.sum("b").alias("b")))
+        loop.close()
+    if total is None:
+        return nodes.select("facility", F.lit(0.0).alias("closeness"),
+                            F.lit(0.0).alias("betweenness"))
+    c = F.when((F.col("tot") > 0) & (F.lit(n) > 1),
+               (F.col("r") / F.col("tot")) * (F.col("r") / F.lit(max(n - 1, 1))))
+    scale = 1.0 / ((n - 1) * (n - 2)) if normalized and n > 2 else 1.0
+    b = F.coalesce("b", F.lit(0.0)) * F.lit(scale) if count_paths else F.lit(None).cast("double")
+    return nodes.join(total, "facility", "left").select(
+        "facility", F.coalesce(c, F.lit(0.0)).alias("closeness"), b.alias("betweenness"))
+
+
+def closeness(edges: DataFrame, distance_col: str = "weight", block: int = BLOCK) -> DataFrame:
+    return path_centralities(edges, distance_col, block=block, count_paths=False).select(
+        "facility", "closeness")
+
+
+def betweenness(edges: DataFrame, distance_col: str = "weight", normalized: bool = True,
+                block: int = BLOCK) -> DataFrame:
+    return path_centralities(edges, distance_col, normalized, block).select(
+        "facility", "betweenness")

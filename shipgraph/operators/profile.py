@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clip, exact_mean, flag, hist_bin, rate
-from ..functions.quantile import global_quantiles, quantile_expr
+from ..functions.quantile import global_quantiles
 from .clean import REALISTIC_CUTOFF_FACTOR
 
 
@@ -25,7 +25,7 @@ def _stack(row: DataFrame, names: list[str], value_cols: list[list[str]],
 def dataset_summary(derived: DataFrame, exact: bool = True) -> DataFrame:
     """AGG9+AGG15: row counts, distinct facility/trip/corridor counts, rates."""
     dc = F.count_distinct if exact else F.approx_count_distinct
-    return derived.agg(
+    return global_quantiles(derived, [("delay_ratio", 0.5, "median_delay_ratio")], (
         F.count(F.lit(1)).alias("total_rows"),
         F.count(F.when(F.col("data") == "training", 1)).alias("train_rows"),
         F.count(F.when(F.col("data") == "test", 1)).alias("test_rows"),
@@ -36,8 +36,7 @@ def dataset_summary(derived: DataFrame, exact: bool = True) -> DataFrame:
         dc("corridor").alias("unique_corridors"),
         F.avg(F.col("is_sla_breach").cast("double")).alias("sla_breach_rate"),
         F.avg(F.col("is_delayed").cast("double")).alias("chronic_delay_rate"),
-        quantile_expr(F.col("delay_ratio"), 0.5).alias("median_delay_ratio"),
-        F.avg("delay_ratio").alias("mean_delay_ratio"))
+        F.avg("delay_ratio").alias("mean_delay_ratio")), method="distributed")
 
 
 def value_share(df: DataFrame, column: str) -> DataFrame:
@@ -94,7 +93,7 @@ def iqr_outliers(derived: DataFrame, columns=OUTLIER_COLUMNS, k: float = 3.0) ->
     specs = []
     for c in columns:
         specs += [(c, 0.25, f"{c}__q1"), (c, 0.75, f"{c}__q3")]
-    q = global_quantiles(derived, specs)
+    q = global_quantiles(derived, specs, method="distributed")
     aggs = []
     for c in columns:
         iqr = F.col(f"{c}__q3") - F.col(f"{c}__q1")
@@ -120,10 +119,9 @@ def describe_numeric(derived: DataFrame, columns=DESCRIBE_COLUMNS, digits: int =
         aggs += [F.count(x).cast("double").alias(f"{c}__count"),
                  exact_mean(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 quantile_expr(x, 0.25).alias(f"{c}__p25"),
-                 quantile_expr(x, 0.5).alias(f"{c}__p50"),
-                 quantile_expr(x, 0.75).alias(f"{c}__p75"), F.max(x).alias(f"{c}__max")]
-    row = derived.agg(*aggs)
+                 F.max(x).alias(f"{c}__max")]
+    specs = [(c, q / 100, f"{c}__p{q}") for c in columns for q in (25, 50, 75)]
+    row = global_quantiles(derived, specs, aggs, method="distributed")
     long = _stack(row, list(columns), [[f"{c}__{s}" for s in stats] for c in columns],
                   ["column", *stats])
     return long.select("column", *[F.round(s, digits).alias(s) for s in stats])
@@ -170,13 +168,12 @@ def histogram(df: DataFrame, column: str, lo: float, hi: float, bins: int,
 
 def network_kpis(derived: DataFrame, corridors: DataFrame) -> DataFrame:
     """AGG23: dashboard KPIs (facilities counted two ways, see SURVEY §8 #14)."""
-    k = derived.agg(
+    k = global_quantiles(derived, [("delay_ratio", 0.5, "median_delay_ratio")], (
         F.count(F.lit(1)).alias("shipments"),
         F.count_distinct("source_center").alias("source_facilities"),
-        quantile_expr(F.col("delay_ratio"), 0.5).alias("median_delay_ratio"),
         (F.avg(F.col("is_sla_breach").cast("double")) * 100).alias("sla_breach_pct"),
         (rate(F.col("actual_time") > F.col("cutoff_factor") * REALISTIC_CUTOFF_FACTOR) * 100)
-        .alias("realistic_breach_pct"))
+        .alias("realistic_breach_pct")), method="distributed")
     fac = (derived.select(F.col("source_center").alias("f"))
                   .union(derived.select(F.col("destination_center").alias("f")))
                   .agg(F.count_distinct("f").alias("all_facilities")))

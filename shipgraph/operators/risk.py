@@ -10,7 +10,7 @@ from ..session import cut_lineage
 from .corridor import KEYS, top_k
 from .graph.edges import degrees, induced_subgraph, neighbourhood, vertices
 from .graph.pagerank import hits, pagerank
-from .graph.paths import betweenness, closeness, shortest_paths
+from .graph.paths import path_centralities
 
 # fixed values: default structural-risk weights
 RISK_WEIGHTS = {
@@ -29,20 +29,15 @@ RISK_INPUTS = {
 }
 
 
-def node_centrality(edges: DataFrame, iterations: int | None = None,
-                    distance_col: str = "weight", sources: int | None = None) -> DataFrame:
+def node_centrality(edges: DataFrame, pagerank_tol: float = 1e-6, hits_tol: float = 1e-8,
+                    distance_col: str = "weight") -> DataFrame:
     """GRF16: degrees, weighted degrees, betweenness, PageRank, closeness, HITS
-    — one row per vertex, missing values 0.  ``iterations`` fixes the power
-    iteration count of PageRank/HITS (otherwise run to tolerance)."""
+    — one row per vertex, missing values 0; PageRank and HITS run to tolerance."""
     from .graph.iterate import Loop
     edges = Loop().hold(edges.select("src", "dst", "weight"))
     nodes = vertices(edges)
-    dist = shortest_paths(edges, distance_col, sources)
-    parts = [degrees(edges),
-             betweenness(edges, distance_col, sources=sources, dist=dist),
-             pagerank(edges, iterations=iterations),
-             closeness(edges, distance_col, dist=dist if sources is None else None),
-             hits(edges, iterations=iterations)]
+    parts = [degrees(edges), path_centralities(edges, distance_col),
+             pagerank(edges, tol=pagerank_tol), hits(edges, tol=hits_tol)]
     out = nodes
     for p in parts:
         out = out.join(p, "facility", "left")

@@ -513,7 +513,9 @@ from ..operators.graph import pagerank as gp  # noqa: E402
 from ..operators.graph import paths as gpaths  # noqa: E402
 from ..sources.tables import region_communities  # noqa: E402
 
-ITERS = 10   # power-iteration steps of the checked PageRank/HITS queries
+# PageRank and HITS run to a tolerance far below the compared digits; the oracle
+# unrolls more steps than that takes on its small dense graph
+TIGHT, UNROLLED = 1e-13, 40
 
 
 def _wr(body: str, *ctes) -> str:
@@ -521,19 +523,19 @@ def _wr(body: str, *ctes) -> str:
 
 
 GRAPH = [*COARSE_CORR, BASE_EDGES, BASE_NODES]
-CENT = GRAPH + O.centrality_ctes("e", "nodes", ITERS)
+CENT = GRAPH + O.centrality_ctes("e", "nodes", UNROLLED)
 NODEF = CENT + [("fac", FAC_SQL), ("comm", O.REGION_COMMUNITY), ("nf", O.NODE_FEATURES),
                 ("risk", O.RISK)]
 
 
-@query("pagerank", _wr("SELECT * FROM pr", *GRAPH, *O.pagerank_ctes("e", "nodes", ITERS)))
+@query("pagerank", _wr("SELECT * FROM pr", *GRAPH, *O.pagerank_ctes("e", "nodes", UNROLLED)))
 def q_pagerank(spark, sf_dir):
-    return gp.pagerank(base_edges(spark, sf_dir), iterations=ITERS)
+    return gp.pagerank(base_edges(spark, sf_dir), tol=TIGHT)
 
 
-@query("hits", _wr("SELECT * FROM hits", *GRAPH, *O.hits_ctes("e", "nodes", ITERS)))
+@query("hits", _wr("SELECT * FROM hits", *GRAPH, *O.hits_ctes("e", "nodes", UNROLLED)))
 def q_hits(spark, sf_dir):
-    return gp.hits(base_edges(spark, sf_dir), iterations=ITERS)
+    return gp.hits(base_edges(spark, sf_dir), tol=TIGHT)
 
 
 @query("closeness", _wr(O.closeness_sql("dist", "nodes"), *GRAPH, *O.apsp_ctes("e", "nodes")))
@@ -549,14 +551,14 @@ def q_betweenness(spark, sf_dir):
 
 @query("node_centrality", _wr("SELECT * FROM cent", *CENT))
 def q_node_centrality(spark, sf_dir):
-    return rk.node_centrality(base_edges(spark, sf_dir), iterations=ITERS)
+    return rk.node_centrality(base_edges(spark, sf_dir), pagerank_tol=TIGHT, hits_tol=TIGHT)
 
 
 def risk_nodes(spark, sf_dir, community=None):
     """Centralities ⋈ facility stats ⋈ communities → risk score (coarse view)."""
     d = derived(spark, sf_dir)
     e = ge.corridor_edges(co.corridor_stats(d))
-    cent = rk.node_centrality(e, iterations=ITERS)
+    cent = rk.node_centrality(e, pagerank_tol=TIGHT, hits_tol=TIGHT)
     comm = community if community is not None else region_communities(spark, sf_dir)
     return cut_lineage(rk.structural_risk(rk.node_features(cent, fa.facility_stats(d), comm)))
 
@@ -565,7 +567,7 @@ def risk_nodes(spark, sf_dir, community=None):
 def q_node_features(spark, sf_dir):
     d = derived(spark, sf_dir)
     e = ge.corridor_edges(co.corridor_stats(d))
-    return rk.node_features(rk.node_centrality(e, iterations=ITERS), fa.facility_stats(d),
+    return rk.node_features(rk.node_centrality(e, pagerank_tol=TIGHT, hits_tol=TIGHT), fa.facility_stats(d),
                             region_communities(spark, sf_dir))
 
 
@@ -693,7 +695,7 @@ def feature_inputs(spark, sf_dir, community=None):
     executor is lost)."""
     c = cleaned(spark, sf_dir).persist()
     corr = co.corridor_stats(c)
-    cent = rk.node_centrality(ge.corridor_edges(corr), iterations=ITERS)
+    cent = rk.node_centrality(ge.corridor_edges(corr), pagerank_tol=TIGHT, hits_tol=TIGHT)
     comm = community if community is not None else region_communities(spark, sf_dir)
     nodes = cut_lineage(rk.structural_risk(rk.node_features(cent, fa.facility_stats(c), comm)))
     return c, nodes, cut_lineage(rk.corridor_enriched(corr, nodes))
@@ -705,7 +707,7 @@ def features(spark, sf_dir, community=None) -> DataFrame:
 
 
 CLEAN_GRAPH = [*O.base_ctes("coarse", clean=True, corridor=True), BASE_EDGES, BASE_NODES]
-FEAT_CTES = (CLEAN_GRAPH + O.centrality_ctes("e", "nodes", ITERS)
+FEAT_CTES = (CLEAN_GRAPH + O.centrality_ctes("e", "nodes", UNROLLED)
              + [("fac", O.FACILITY.format(src="cln")), ("comm", O.REGION_COMMUNITY),
                 ("nf", O.NODE_FEATURES), ("risk", O.RISK), ("enr", ENRICHED_SQL),
                 ("feat", O.feature_store_sql())])
@@ -1079,8 +1081,7 @@ def q_graph_lift(spark, sf_dir):
     return ev.graph_advantage(base, graph)
 
 
-def _embeddings(spark, sf_dir, dim=8):
-    c = cached_features(spark, sf_dir)
+def _embeddings(spark, sf_dir, dim=32):
     d = derived(spark, sf_dir)
     e = ge.corridor_edges(co.corridor_stats(d), "median_delay_ratio")
     return emb.svd_embedding(e, dim)
@@ -1094,7 +1095,7 @@ def q_node_embeddings(spark, sf_dir):
 @query("embedding_lift")
 def q_embedding_lift(spark, sf_dir):
     tr, te = _split(spark, sf_dir)
-    dim = 8
+    dim = 32
     em = _embeddings(spark, sf_dir, dim)
     cols = fe.ALL_FEATURES + [f"src_emb_{i}" for i in range(dim)] + [f"dst_emb_{i}"
                                                                     for i in range(dim)]

@@ -89,7 +89,7 @@ def main(names=None, sf_dir="/root/testdata/sf0.01"):
     sys.path.insert(0, ".")
     from __spark_entry__ import oracle_sql, queries
     from shipgraph.session import build_session
-    spark = build_session("local[8]", shuffle_partitions=8)
+    spark = build_session("local[8]", shuffle_partitions=8, extra={"spark.driver.memory": "12g"})
     con = duck(sf_dir)
     qs, sqls = queries(), oracle_sql()
     bad = 0

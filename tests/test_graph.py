@@ -13,9 +13,9 @@ def as_dict(df, col):
     return {r.facility: r[col] for r in df.collect()}
 
 
-def test_cycle_sizes(edges):
-    e = edges([("A", "B", 10), ("B", "C", 20), ("C", "A", 5)])
-    assert vertices(e).count() == 3 and e.count() == 3
+def test_vertices_of_a_square_with_a_tail(edges):
+    e = edges([("p", "q", 3), ("q", "r", 8), ("r", "s", 2), ("s", "p", 6), ("s", "tail", 1)])
+    assert sorted(r.facility for r in vertices(e).collect()) == ["p", "q", "r", "s", "tail"]
 
 
 def test_self_loop_degrees(edges):
@@ -58,7 +58,7 @@ def test_pagerank_dangling_and_sum(edges):
 
 def test_star_hits(edges):
     e = edges([(f"L{i}", "H", 1) for i in range(4)] + [("H", f"R{i}", 1) for i in range(4)])
-    h = hits(e, iterations=30)
+    h = hits(e)
     hub = as_dict(h, "hub_score")
     auth = as_dict(h, "authority_score")
     assert sum(hub.values()) == pytest.approx(1.0) and sum(auth.values()) == pytest.approx(1.0)
@@ -87,3 +87,76 @@ def test_undirected_and_subgraph(edges):
     assert u[("A", "B")] == 5.0
     keep = vertices(e).where("facility != 'C'")
     assert induced_subgraph(e, keep).count() == 2
+
+
+def test_pagerank_is_a_fixed_point(edges):
+    rows = [(f"n{i}", f"n{(i * i + 3) % 23}", 1 + i % 4) for i in range(23)]
+    x = as_dict(pagerank(edges(rows), tol=1e-12), "pagerank")
+    out = {}
+    for a, _, w in rows:
+        out[a] = out.get(a, 0) + w
+    loose = sum(v for k, v in x.items() if k not in out)
+    for n in x:
+        into = sum(x[a] * w / out[a] for a, b, w in rows if b == n)
+        assert x[n] == pytest.approx(0.85 * (into + loose / len(x)) + 0.15 / len(x), abs=1e-10)
+
+
+def test_null_zero_and_negative_distances(spark, edges):
+    e = spark.createDataFrame([("A", "B", 1.0), ("B", "C", None)],
+                              "src string, dst string, weight double")
+    assert {(r.s, r.t) for r in shortest_paths(e).collect()} == {
+        ("A", "A"), ("B", "B"), ("C", "C"), ("A", "B")}
+    with pytest.raises(ValueError):
+        shortest_paths(edges([("A", "B", -1)]))
+    with pytest.raises(ValueError):
+        betweenness(edges([("A", "B", 0), ("B", "A", 0)]))
+
+
+def test_blocks_of_sources_give_the_same(edges):
+    rows = [(f"n{i}", f"n{j}", 1 + (i * j) % 3) for i in range(9) for j in range(9)
+            if i != j and (i * 5 + j * 3) % 4 == 0]
+    e = edges(rows)
+    for f, c in ((betweenness, "betweenness"), (closeness, "closeness")):
+        one, many = as_dict(f(e), c), as_dict(f(e, block=2), c)
+        assert one == pytest.approx(many)
+
+
+def test_communities_of_a_ring_of_cliques_are_settled(edges):
+    """No single node gains modularity by moving to a neighbouring community."""
+    rows = []
+    for c in range(12):
+        ns = [f"c{c}n{i}" for i in range(4)]
+        rows += [(x, y, 1) for x in ns for y in ns if x < y]
+        rows.append((f"c{c}n0", f"c{(c + 1) % 12}n1", 1))
+    e = edges(rows)
+    got = {r.facility: r.community_id for r in communities(e).collect()}
+
+    def q(assign):
+        m, inner, deg = len(rows), 0, {}
+        for a, b, _ in rows:
+            inner += assign[a] == assign[b]
+            for x in (a, b):
+                deg[assign[x]] = deg.get(assign[x], 0) + 1
+        return inner / m - sum((d / (2 * m)) ** 2 for d in deg.values())
+
+    best = q(got)
+    assert best == pytest.approx(modularity(e, communities(e)).first().modularity)
+    for x in got:
+        for c in {got[b] for a, b, _ in rows if a == x} | {got[a] for a, b, _ in rows if b == x}:
+            assert q({**got, x: c}) <= best + 1e-9
+
+
+def test_embedding_keeps_the_singular_values(edges, spark):
+    import numpy as np
+    from shipgraph.operators.graph.embedding import svd_embedding
+    rows = [(f"n{i}", f"n{(i * 3 + 1) % 8}", 1.0 + i) for i in range(8)] + [("n0", "n5", 2.5)]
+    a = np.zeros((8, 8))
+    for s, d, w in rows:
+        a[int(s[1]), int(d[1])] += w
+    got = {r.facility: r.embedding for r in svd_embedding(edges(rows), 3).collect()}
+    us = np.array([got[f"n{i}"] for i in range(8)])
+    assert np.linalg.norm(us, axis=0) == pytest.approx(np.linalg.svd(a)[1][:3], rel=1e-5)
+    null = spark.createDataFrame([("A", "B", None), ("B", "C", 2.0), ("C", "D", 1.0)],
+                                 "src string, dst string, weight double")
+    kept = {r.facility: r.embedding for r in svd_embedding(null, 2).collect()}
+    assert np.linalg.norm([kept[x] for x in kept], axis=0) == pytest.approx([2.0, 1.0])

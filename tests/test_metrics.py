@@ -1,4 +1,4 @@
-"""Metric, lift, winsorize and entropy checks (the reference's unit-test intents)."""
+"""Metrics, lift, winsorizing, entropy and quantiles against results worked out by hand."""
 
 import math
 
@@ -16,78 +16,79 @@ def metrics(spark, y, p, **kw):
     return regression_metrics(df, **kw).first().asDict()
 
 
-def test_perfect(spark):
-    m = metrics(spark, [100, 200, 300, 400], [100, 200, 300, 400])
-    assert m["mae"] == 0 and m["rmse"] == 0 and m["r2"] == 1 and m["within_15pct"] == 100
+def test_exact_prediction(spark):
+    m = metrics(spark, [12, 75, 310], [12, 75, 310])
+    assert (m["mae"], m["rmse"], m["r2"], m["within_15pct"]) == (0, 0, 1, 100)
 
 
-def test_known_mae(spark):
-    assert metrics(spark, [100, 200], [110, 190])["mae"] == 10
+def test_errors_by_hand(spark):
+    m = metrics(spark, [50, 80, 120], [44, 80, 129])
+    assert m["mae"] == 5 and m["rmse"] == round(math.sqrt(39), 3)   # errors 6, 0, 9
+    # label mean 250/3: squared deviations sum to 7400/3
+    assert m["r2"] == pytest.approx(1 - 117 / (7400 / 3), abs=1e-3)
 
 
-def test_known_rmse_constant_label(spark):
-    m = metrics(spark, [0, 0], [3, 4])
-    assert m["rmse"] == round(math.sqrt(12.5), 3)
-    assert m["r2"] == 0.0          # constant label, imperfect fit
+def test_constant_label(spark):
+    m = metrics(spark, [7, 7], [5, 8])
+    assert m["rmse"] == round(math.sqrt(2.5), 3) and m["r2"] == 0.0
 
 
-def test_within_tolerance(spark):
-    m = metrics(spark, [100, 200, 300], [110, 220, 330])
-    assert m["within_15pct"] == 100 and m["within_20pct"] == 100
+def test_tolerances(spark):
+    m = metrics(spark, [100, 100, 100, 100], [86, 118, 119, 150])
+    assert m["within_15pct"] == 25 and m["within_20pct"] == 75
 
 
 def test_keys_and_label(spark):
-    m = metrics(spark, range(1, 101), [v * 1.1 for v in range(1, 101)], model="lbl")
-    assert m["model"] == "lbl"
+    m = metrics(spark, [3, 6, 9], [4, 5, 9], model="third")
+    assert m["model"] == "third"
     assert {"mae", "rmse", "mape", "r2", "within_15pct", "within_20pct"} <= set(m)
 
 
 def test_lift(spark):
-    b = spark.createDataFrame([(100.0, 50.0, 50.0)], "rmse double, mae double, within_15pct double")
-    g = spark.createDataFrame([(90.0, 45.0, 55.0)], "rmse double, mae double, within_15pct double")
-    r = graph_advantage(b, g).first()
-    assert r.rmse_improvement_pct == 10 and r.mae_improvement_pct == 10
-    assert r.within15_improvement_pp == 5
-    z = graph_advantage(b, b).first()
-    assert z.rmse_improvement_pct == 0 and z.within15_improvement_pp == 0
-    assert len(r.asDict()) == 9
+    cols = "rmse double, mae double, within_15pct double"
+    plain = spark.createDataFrame([(80.0, 40.0, 30.0)], cols)
+    better = spark.createDataFrame([(60.0, 38.0, 42.0)], cols)
+    r = graph_advantage(plain, better).first()
+    assert (r.rmse_improvement_pct, r.mae_improvement_pct) == (25, 5)
+    assert r.within15_improvement_pp == 12 and len(r.asDict()) == 9
+    same = graph_advantage(plain, plain).first()
+    assert same.rmse_improvement_pct == 0 and same.within15_improvement_pp == 0
 
 
 def test_winsorize_single_group(spark):
-    df = spark.createDataFrame([(v, "A") for v in [1, 2, 3, 4, 5, 9999]], "v long, g string")
-    out = winsorize_by_group(df, "v", "g", 0.0, 0.9)
-    assert out.agg(F.max("v")).first()[0] < 9999
+    df = spark.createDataFrame([(v, "solo") for v in (12, 14, 15, 17, 640)], "v long, g string")
+    out = winsorize_by_group(df, "v", "g", 0.25, 0.75)
+    # five values: the quartiles are the second and the fourth
+    assert sorted(r.v for r in out.collect()) == [14, 14, 15, 17, 17]
     assert dict(out.dtypes)["v"] == "double"
-    assert df.agg(F.max("v")).first()[0] == 9999          # input unchanged
+    assert df.agg(F.max("v")).first()[0] == 640          # input unchanged
 
 
 def test_winsorize_per_group(spark):
-    rows = [(float(v), "FTL") for v in [10, 20, 30, 9999]] + [(float(v), "Carting") for v in [1, 2, 3, 8888]]
+    rows = [(4.0, "sea"), (8.0, "sea"), (100.0, "sea"), (1.0, "air"), (2.0, "air"),
+            (7.0, None), (9.0, None), (None, "sea")]
     df = spark.createDataFrame(rows, "v double, g string")
-    out = winsorize_by_group(df, "v", "g", 0.0, 0.75)
-    mx = {r.g: r.m for r in out.groupBy("g").agg(F.max("v").alias("m")).collect()}
-    assert mx["FTL"] < 9999 and mx["Carting"] < 8888
-    # pandas quantile(0.75) of [10,20,30,9999] = 30 + 0.25*(9999-30)
-    assert mx["FTL"] == pytest.approx(30 + 0.25 * 9969)
+    out = winsorize_by_group(df, "v", "g", None, 0.5)
+    assert sorted(((r.g or "", r.v) for r in out.collect()), key=str) == sorted(
+        [("sea", 4.0), ("sea", 8.0), ("sea", 8.0), ("air", 1.0), ("air", 1.5), ("", 7.0),
+         ("", 8.0), ("sea", None)], key=str)
 
 
-def test_winsorize_idempotent(spark):
-    df = spark.createDataFrame([(float(v), "A") for v in range(100)], "v double, g string")
-    once = winsorize_by_group(df, "v", "g", 0.1, 0.9)
-    bounds = once.agg(F.min("v"), F.max("v")).first()
-    twice = winsorize_by_group(once, "v", "g", 0.0, 1.0)
-    assert twice.agg(F.min("v"), F.max("v")).first() == bounds
+def test_winsorize_again_changes_nothing(spark):
+    df = spark.createDataFrame([(float(v * v), "q") for v in range(41)], "v double, g string")
+    once = winsorize_by_group(df, "v", "g", 0.05, 0.95)
+    assert once.agg(F.min("v"), F.max("v")).first() == (4.0, 1444.0)   # ranks 2 and 38
+    twice = winsorize_by_group(once, "v", "g", 0.05, 0.95)
+    assert twice.agg(F.sum("v")).first() == once.agg(F.sum("v")).first()
 
 
 def test_entropy(spark):
-    u = spark.createDataFrame([("k", t) for t in ["FTL", "Carting", "FTL", "Carting"]],
-                              "k string, route_type string")
-    c = spark.createDataFrame([("k", "FTL")] * 3, "k string, route_type string")
-    assert u.groupBy("k").agg(route_type_entropy().alias("e")).first().e == pytest.approx(1.0)
-    e0 = c.groupBy("k").agg(route_type_entropy().alias("e")).first().e
-    assert e0 == pytest.approx(-1.4427e-10, rel=1e-3)       # golden: not exactly 0
-    g = categorical_entropy(u, ["k"], "route_type", "e").first().e
-    assert g == pytest.approx(1.0)
+    rows = [("mixed", "FTL")] * 1 + [("mixed", "Carting")] * 3 + [("pure", "Carting")] * 2
+    df = spark.createDataFrame(rows, "k string, route_type string")
+    want = {"mixed": 0.25 * math.log2(4) + 0.75 * math.log2(4 / 3), "pure": 0.0}
+    for out in (df.groupBy("k").agg(route_type_entropy().alias("e")),
+                categorical_entropy(df, ["k"], "route_type", "e")):
+        assert {r.k: r.e for r in out.collect()} == pytest.approx(want, abs=1e-8)
 
 
 def test_blend_one_pass(spark):
@@ -106,3 +107,23 @@ def test_distributed_quantile_matches_percentile(spark):
         a = global_quantiles(df, [("x", p, "q")], method="distributed").first().q
         b = df.agg(F.percentile("x", p)).first()[0]
         assert a == pytest.approx(b, rel=1e-12)
+
+
+def test_distributed_group_quantiles(spark):
+    from shipgraph.functions.quantile import group_quantiles
+    df = spark.range(0, 2000).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise("cold")
+        .alias("g"), ((F.col("id") * 7919) % 503 / 7.0).alias("x"),
+        F.when(F.col("id") % 5 > 0, F.col("id") * 1.0).alias("y")).repartition(6)
+    specs = [("x", 0.01, "a"), ("x", 0.5, "b"), ("y", 0.99, "c"), ("y", 1.0, "d")]
+    how = {m: {r.g: r for r in group_quantiles(df, ["g"], specs, [F.count("y").alias("n")],
+                                               method=m).collect()}
+           for m in ("exact", "distributed")}
+    assert set(how["exact"]) == set(how["distributed"]) == {"hot", "cold", None}
+    for g, want in how["exact"].items():
+        got = how["distributed"][g]
+        assert got.n == want.n
+        for c in "abcd":
+            assert got[c] == pytest.approx(want[c], rel=1e-13)
+    empty = group_quantiles(df.where("false"), ["g"], specs, method="distributed")
+    assert empty.count() == 0
