@@ -1,7 +1,5 @@
-from .exprs import (safe_div, clip, flag, rate, hist_bin, pandas_rank_desc, round_all,
-                    normalise_output, entropy_terms)
-from .quantile import group_quantiles, global_quantiles
+from .exprs import clip, entropy_terms, flag, hist_bin, normalise_output, rate, safe_div
+from .quantile import global_quantiles, group_quantiles
 
-__all__ = ["safe_div", "clip", "flag", "rate", "hist_bin", "pandas_rank_desc",
-           "round_all", "normalise_output", "entropy_terms", "group_quantiles",
-           "global_quantiles"]
+__all__ = ["safe_div", "clip", "flag", "rate", "hist_bin", "normalise_output", "entropy_terms",
+           "group_quantiles", "global_quantiles"]

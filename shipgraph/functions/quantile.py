@@ -93,7 +93,8 @@ def distributed_quantiles(df: DataFrame, keys: list[str], specs, aggs=()) -> Dat
     out = []
     for _, _, a in specs:
         at, lo, hi = F.col(f"_at_{a}"), F.col(f"_lo_{a}"), F.col(f"_hi_{a}")
-        out.append(F.when(F.floor(at) == F.ceil(at), lo).otherwise(
+        # equal neighbours need no arithmetic (and get no rounding)
+        out.append(F.when(lo == hi, lo).otherwise(
             (F.ceil(at) - at) * lo + (at - F.floor(at)) * hi).alias(a))
     found = found.select("_key", *out)
     names = [x[2] for x in specs]

@@ -74,20 +74,6 @@ def corridor_stats(df: DataFrame, method: str = "exact") -> DataFrame:
         (F.col("median_delay_ratio") > BOTTLENECK_RATIO).alias("is_bottleneck_corridor"))
 
 
-def corridor_stats_reduced(df: DataFrame, method: str = "exact") -> DataFrame:
-    """The reduced corridor table of the end-to-end feature build."""
-    aggs = [
-        F.count("trip_uuid").alias("trip_count"),
-        F.avg(F.col("is_sla_breach").cast("double")).alias("sla_breach_rate"),
-        F.avg(F.col("is_delayed").cast("double")).alias("chronic_delay_rate"),
-        F.avg((F.col("route_type") == "FTL").cast("double")).alias("ftl_share"),
-        route_type_entropy().alias("route_type_entropy"),
-    ]
-    specs = [("delay_ratio", 0.5, "median_delay_ratio"),
-             ("actual_distance_to_destination", 0.5, "median_distance")]
-    return group_quantiles(df, KEYS, specs, aggs, method)
-
-
 def delayed_corridors(corridors: DataFrame, ratio: float = DELAYED_RATIO,
                       min_trips: int = MIN_TRIPS) -> DataFrame:
     """FLT4 + FEA12: chronically delayed corridors with audit columns."""

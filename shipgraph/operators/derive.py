@@ -59,16 +59,17 @@ def split(df: DataFrame, column: str = "data"):
     return (df.where(F.col(column) == "training"), df.where(F.col(column) == "test"))
 
 
-def leakage_audit(spark) -> DataFrame:
-    """The static leakage-risk table (column, risk, note)."""
-    # fixed values: leakage assessment of the raw columns
-    rows = [
-        ("factor", "HIGH", "ratio of actual to planned time; reveals the target"),
-        ("segment_factor", "HIGH", "segment ratio; reveals the target"),
-        ("start_scan_to_end_scan", "MEDIUM", "only partly known before delivery"),
-        ("od_end_time", "HIGH", "known only after delivery"),
-        ("cutoff_timestamp", "MEDIUM", "derived from the cutoff event"),
-        ("actual_distance_to_destination", "LOW", "physical distance"),
-        ("osrm_time", "LOW", "planned time; main predictor"),
-    ]
-    return spark.createDataFrame(rows, "column string, risk string, note string")
+# columns judged against the target; a fixed list of the table's numeric ones
+AUDITED = ("factor", "segment_factor", "start_scan_to_end_scan", "segment_actual_time",
+           "actual_distance_to_destination", "osrm_time", "osrm_distance")
+
+
+def leakage_audit(df: DataFrame, target: str = "actual_time", columns=AUDITED,
+                  high: float = 0.95, medium: float = 0.6) -> DataFrame:
+    """PRJ14: (column, correlation, risk) of each column with the target, in one
+    pass; risk HIGH / MEDIUM / LOW by the correlation's size (rounded to 6 digits)."""
+    row = df.agg(*[F.round(F.corr(c, target), 6).alias(c) for c in columns])
+    pairs = ", ".join(f"'{c}', `{c}`" for c in columns)
+    size = F.abs("correlation")
+    return row.selectExpr(f"stack({len(columns)}, {pairs}) AS (column, correlation)").withColumn(
+        "risk", F.when(size >= high, "HIGH").when(size >= medium, "MEDIUM").otherwise("LOW"))

@@ -5,9 +5,11 @@ nodes fall into hash classes; in each round every node of one class evaluates
 in parallel the modularity gain of joining each neighbouring community, and
 moves to the best one if that gains.  A sweep is a round of each class.  Moves
 made side by side can undo each other's gain, so a sweep that doesn't raise
-the modularity is taken back and repeated with twice as many classes, down to
-moves one by one; sweeps end when a whole one moves nothing.  Communities then
-become super-nodes and the procedure repeats until a level moves nothing.
+the modularity is taken back; instead only moves are made that are the best
+one of both communities they touch.  Such moves share no community, so their
+gains add up: every step raises the modularity, and sweeps end when a whole
+one moves nothing.  Communities then become super-nodes and the procedure
+repeats until a level moves nothing.
 """
 
 from __future__ import annotations
@@ -59,49 +61,68 @@ def _local_moving(und: DataFrame, m: float, loop: Loop, resolution: float,
     n = k.count()
     label = loop.hold(k.select("i", F.col("i").alias("c"), "k"))
     g = resolution / (2 * m * m)
-    classes, sweep, moved = 2, 0, False
+
+    def gains(label: DataFrame, mine) -> DataFrame:
+        """(i, own, to, gain): each node's best move, where it gains."""
+        tot = label.groupBy("c").agg(F.sum("k").alias("tot"))
+        me = bounded(label.where(mine).select("i", F.col("c").alias("own"), "k")
+                     .join(tot.select(F.col("c").alias("own"), F.col("tot").alias("tot_own")),
+                           "own"), n)
+        nb = (adj.join(me, "i").join(bounded(label.select(F.col("i").alias("j"), "c"), n), "j")
+              .groupBy("i", "c", "own", "k", "tot_own").agg(F.sum("weight").alias("w_ic")))
+        cand = nb.join(bounded(tot, n), "c")
+        move_score = F.col("w_ic") / m - g * F.col("k") * F.col("tot")
+        stay_score = F.col("w_ic") / m - g * F.col("k") * (F.col("tot_own") - F.col("k"))
+        other = F.col("c") != F.col("own")
+        best = cand.groupBy("i", "own", "k", "tot_own").agg(
+            F.max_by(F.when(other, F.col("c")),
+                     F.struct(F.when(other, move_score), -F.hash("c"))).alias("to"),
+            F.max(F.when(other, move_score)).alias("best"),
+            F.max(F.when(~other, stay_score)).alias("stay"))
+        stay0 = -g * F.col("k") * (F.col("tot_own") - F.col("k"))
+        return (best.where("to IS NOT NULL")
+                .select("i", "own", "to", (F.col("best") - F.coalesce("stay", stay0)).alias("gain"))
+                .where(F.col("gain") > 1e-12))
+
+    steps = 0
+
+    def moved_by(label: DataFrame, moves: DataFrame) -> DataFrame:
+        nonlocal steps
+        steps += 1
+        return loop.keep(label.join(bounded(moves.select("i", "to"), n), "i", "left")
+                         .select("i", F.coalesce("to", "c").alias("c"), "k"), steps, release=False)
+
+    sweep, moved = 0, False
     quality = _quality(adj, label, m, resolution, n)
     while True:
         sweep += 1
         if max_sweeps is not None and sweep > max_sweeps:
             raise RuntimeError(f"communities still move after {max_sweeps} sweeps")
         before, n_moves = label, 0
-        for turn in range(classes):
-            mine = F.pmod(F.xxhash64("i"), F.lit(classes)) == turn
-            tot = label.groupBy("c").agg(F.sum("k").alias("tot"))
-            me = bounded(label.where(mine).select("i", F.col("c").alias("own"), "k")
-                         .join(tot.select(F.col("c").alias("own"), F.col("tot").alias("tot_own")),
-                               "own"), n)
-            nb = (adj.join(me, "i").join(bounded(label.select(F.col("i").alias("j"), "c"), n), "j")
-                  .groupBy("i", "c", "own", "k", "tot_own").agg(F.sum("weight").alias("w_ic")))
-            cand = nb.join(bounded(tot, n), "c")
-            move_score = F.col("w_ic") / m - g * F.col("k") * F.col("tot")
-            stay_score = F.col("w_ic") / m - g * F.col("k") * (F.col("tot_own") - F.col("k"))
-            other = F.col("c") != F.col("own")
-            per_node = cand.groupBy("i", "k", "tot_own").agg(
-                F.max_by(F.when(other, F.col("c")),
-                         F.struct(F.when(other, move_score), -F.hash("c"))).alias("to"),
-                F.max(F.when(other, move_score)).alias("best"),
-                F.max(F.when(~other, stay_score)).alias("stay"))
-            stay0 = -g * F.col("k") * (F.col("tot_own") - F.col("k"))
-            moves = loop.hold(per_node.where(
-                F.col("to").isNotNull() & (F.col("best") > F.coalesce("stay", stay0) + 1e-12))
-                .select("i", "to"))
+        for turn in range(2):
+            moves = gains(label, F.pmod(F.xxhash64("i"), F.lit(2)) == turn).persist()
             some = moves.count()
             if some:
-                label = loop.hold(label.join(bounded(moves, n), "i", "left")
-                                  .select("i", F.coalesce("to", "c").alias("c"), "k"))
+                label = moved_by(label, moves)
+            moves.unpersist()
             n_moves += some
         if n_moves == 0:
             return label.select("i", "c"), moved
         now = _quality(adj, label, m, resolution, n)
-        if now > quality + 1e-12:
-            quality, moved = now, True
-        else:   # side-by-side moves undid each other: fewer of them at a time
-            label = before
-            if classes > 4 * n:
-                return label.select("i", "c"), moved
-            classes *= 2
+        if now <= quality + 1e-12:   # side-by-side moves undid each other
+            moves = gains(before, F.lit(True)).persist()
+            rank = F.struct("gain", "i")
+            best = (moves.select(F.explode(F.array("own", "to")).alias("c"), rank.alias("r"))
+                    .groupBy("c").agg(F.max("r").alias("r"))
+                    .select(F.col("r.i").alias("i")).groupBy("i")
+                    .agg(F.count(F.lit(1)).alias("_n")).where("_n = 2"))
+            label = moved_by(before, moves.join(best, "i"))
+            moves.unpersist()
+            now = _quality(adj, label, m, resolution, n)
+            if now <= quality:       # gains below the arithmetic's resolution
+                return before.select("i", "c"), moved
+        loop.release_but(label)
+        quality, moved = now, True
 
 
 def communities(edges: DataFrame, max_sweeps: int | None = None, resolution: float = 1.0,

@@ -511,7 +511,8 @@ from ..operators import risk as rk  # noqa: E402
 from ..operators.graph import community as cm  # noqa: E402
 from ..operators.graph import pagerank as gp  # noqa: E402
 from ..operators.graph import paths as gpaths  # noqa: E402
-from ..sources.tables import region_communities  # noqa: E402
+from ..operators.derive import AUDITED, leakage_audit  # noqa: E402
+from ..sources.tables import region_communities, supplier_chain_edges  # noqa: E402
 
 # PageRank and HITS run to a tolerance far below the compared digits; the oracle
 # unrolls more steps than that takes on its small dense graph
@@ -576,6 +577,45 @@ def q_structural_risk(spark, sf_dir):
     return risk_nodes(spark, sf_dir)
 
 
+# a second graph, whose nodes (suppliers) and edges grow with the data
+CHAIN = [("e", """
+SELECT 'SUP' || lpad(CAST(s AS VARCHAR), 7, '0') AS src, 'SUP' || lpad(CAST(d AS VARCHAR), 7, '0') AS dst,
+       CAST(count(*) AS DOUBLE) AS weight
+FROM (SELECT l_suppkey AS s, lead(l_suppkey) OVER (PARTITION BY l_orderkey
+        ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS d FROM lineitem)
+WHERE d IS NOT NULL GROUP BY s, d"""), BASE_NODES]
+
+
+def chain_edges(spark, sf_dir) -> DataFrame:
+    return supplier_chain_edges(spark, sf_dir).select(
+        "src", "dst", F.col("trip_count").cast("double").alias("weight"))
+
+
+@query("supplier_degrees", _w(O.DEGREES.format(nodes="nodes", e="e"), *CHAIN))
+def q_supplier_degrees(spark, sf_dir):
+    return ge.degrees(chain_edges(spark, sf_dir))
+
+
+@query("supplier_pagerank", _wr("SELECT * FROM pr", *CHAIN,
+                                *O.pagerank_ctes("e", "nodes", UNROLLED)))
+def q_supplier_pagerank(spark, sf_dir):
+    return gp.pagerank(chain_edges(spark, sf_dir), tol=TIGHT)
+
+
+@query("supplier_hits", _wr("SELECT * FROM hits", *CHAIN, *O.hits_ctes("e", "nodes", UNROLLED)))
+def q_supplier_hits(spark, sf_dir):
+    return gp.hits(chain_edges(spark, sf_dir), tol=TIGHT)
+
+
+@query("leakage_audit", _w(" UNION ALL ".join(f"""
+SELECT '{c}' AS "column", round(corr({c}, actual_time), 6) AS correlation,
+  CASE WHEN abs(round(corr({c}, actual_time), 6)) >= 0.95 THEN 'HIGH'
+       WHEN abs(round(corr({c}, actual_time), 6)) >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS risk
+FROM ship""" for c in AUDITED), *COARSE[:1]))
+def q_leakage_audit(spark, sf_dir):
+    return leakage_audit(shipments(spark, sf_dir))
+
+
 @query("risk_rank", _wr("""
 SELECT facility, structural_risk_score,
   CAST(floor(rank() OVER (ORDER BY structural_risk_score DESC)

@@ -111,7 +111,7 @@ def shipments(spark: SparkSession, sf_dir: str, grain: str = "coarse") -> DataFr
 
 
 def supplier_chain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second graph edge source: consecutive suppliers inside an order.
+    """Edges of a graph that grows with the data: consecutive suppliers inside an order.
 
     Returns one row per (src, dst) supplier pair with its ``trip_count``.
     The window is partitioned by order key, so each window partition is one
