@@ -29,8 +29,8 @@ from .words import spans, table, window_hashes, window_starts, word_hashes
 
 #: Words of an item that make a window.
 WINDOW = 10
-#: Bytes of benchmark text in one broadcast part.
-PART_BYTES = 16 << 20
+#: Bytes of benchmark text in one broadcast part (its n-grams take some 40 times that).
+PART_BYTES = 4 << 20
 # fixed values: what is no word character, after lower-casing A-Z
 WORD = table(bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 LOWER = np.arange(256, dtype=np.uint8)
