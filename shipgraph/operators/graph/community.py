@@ -84,13 +84,10 @@ def _local_moving(und: DataFrame, m: float, loop: Loop, resolution: float,
                 .select("i", "own", "to", (F.col("best") - F.coalesce("stay", stay0)).alias("gain"))
                 .where(F.col("gain") > 1e-12))
 
-    steps = 0
-
     def moved_by(label: DataFrame, moves: DataFrame) -> DataFrame:
-        nonlocal steps
-        steps += 1
-        return loop.keep(label.join(bounded(moves.select("i", "to"), n), "i", "left")
-                         .select("i", F.coalesce("to", "c").alias("c"), "k"), steps, release=False)
+        # a checkpoint each time: plans that use a labelling several times would nest
+        return loop.hold(label.join(bounded(moves.select("i", "to"), n), "i", "left")
+                         .select("i", F.coalesce("to", "c").alias("c"), "k"))
 
     sweep, moved = 0, False
     quality = _quality(adj, label, m, resolution, n)
@@ -121,7 +118,6 @@ def _local_moving(und: DataFrame, m: float, loop: Loop, resolution: float,
             now = _quality(adj, label, m, resolution, n)
             if now <= quality:       # gains below the arithmetic's resolution
                 return before.select("i", "c"), moved
-        loop.release_but(label)
         quality, moved = now, True
 
 

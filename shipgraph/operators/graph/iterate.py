@@ -44,9 +44,12 @@ class Loop:
         self._held = [kept]
 
     def hold(self, df: DataFrame) -> DataFrame:
-        """Persist a loop-invariant input (edges) for the whole loop."""
+        """Write a table of the loop once; computed once, as it is cached until written."""
         checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
+        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = cached.checkpoint(eager=True)
+        cached.unpersist()
+        return out
 
     def close(self) -> None:
         for o in self._held:
