@@ -63,7 +63,10 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 def located(docs: DataFrame) -> DataFrame:
     """``docs`` with its rows' addresses (FILE, ROW): the parquet file and the
     row number in it.  A frame that isn't a plain parquet scan is written to
-    the shared folder first, so that addresses stay the same on every read."""
+    the shared folder first, so that addresses stay the same on every read.
+    A frame that has addresses keeps them."""
+    if FILE in docs.columns and ROW in docs.columns:
+        return docs
     try:
         m = docs.metadataColumn("_metadata")
         return docs.select("*", m.getField("file_path").alias(FILE),

@@ -70,7 +70,7 @@ def run_state(keys: DataFrame, files_per_batch: int | None = None) -> DataFrame:
 def classes(docs: DataFrame, files_per_batch: int | None = None) -> DataFrame:
     """One row per document: doc_id, FILE, ROW, keep_id, group_size, kept, text_sha256."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = located(docs.select("doc_id", "text")).select(
+    rows = located(docs).select(
         "doc_id", FILE, ROW, text.alias("__text"), F.sha2(text, 256).alias("__digest"))
     own = F.struct(F.col("doc_id"), F.col(FILE), F.col(ROW))
     keys = stored(rows.select("__digest", own.alias("__id")), "keys")
@@ -114,8 +114,9 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their own columns."""
-    gone = stored(classes(docs).where("not kept").select(FILE, ROW), "dropped")
-    return located(docs).join(gone, [FILE, ROW], "left_anti").select(
+    rows = located(docs)
+    gone = stored(classes(rows).where("not kept").select(FILE, ROW), "dropped")
+    return rows.join(gone, [FILE, ROW], "left_anti").select(
         *[F.col(f"`{c}`") for c in docs.columns])
 
 

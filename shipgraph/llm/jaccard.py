@@ -263,7 +263,7 @@ def joined(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD,
     """One row per document: doc_id, FILE, ROW, class_id (smallest doc_id of the
     class), class_size, n_links (other documents at or above the threshold),
     n_linked_sets, kept (one row per class: its smallest doc_id's first row)."""
-    rows = located(docs.select("doc_id", "text"))
+    rows = located(docs).select("doc_id", "text", FILE, ROW)
     a = stored(signatures(rows, k).withColumn("uid", F.monotonically_increasing_id()), "sets")
     # equal sets are one class; the first row of each stands for it
     sets = stored(a.groupBy("d1", "d2", "n").agg(
@@ -313,6 +313,7 @@ def similar_documents(docs: DataFrame, **how) -> DataFrame:
 
 def drop_similar(docs: DataFrame, **how) -> DataFrame:
     """One document of each class, with the documents' own columns."""
-    gone = stored(joined(docs, **how).where("not kept").select(FILE, ROW), "dropped")
-    return located(docs).join(gone, [FILE, ROW], "left_anti").select(
+    rows = located(docs)
+    gone = stored(joined(rows, **how).where("not kept").select(FILE, ROW), "dropped")
+    return rows.join(gone, [FILE, ROW], "left_anti").select(
         *[F.col(f"`{c}`") for c in docs.columns])
