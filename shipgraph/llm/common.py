@@ -115,7 +115,7 @@ def bytes_of(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0]:off[-1]], off - off[0]
 
 
-def doc_runs(off: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def doc_runs(off: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of documents of at most ``most`` bytes together (one, if longer)."""
     i, n = 0, len(off) - 1
     while i < n:

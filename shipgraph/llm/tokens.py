@@ -21,7 +21,7 @@ from .common import bytes_of, doc_runs
 from .words import LETTERS, TWIN, word_hashes
 
 #: Chunks that a worker remembers; beyond, it starts afresh (memory only).
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x0A]] = True
 #: ASCII white space other than the two above, and lead bytes of other white space.

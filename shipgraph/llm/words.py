@@ -32,7 +32,7 @@ class Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 1 << 16)
+            size = max(n, 2 * len(self.up), 1 << 16)
             for name, b in (("up", self.base), ("down", self.inv)):
                 p = np.full(size, b, U)
                 p[0] = 1
