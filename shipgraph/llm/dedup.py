@@ -22,7 +22,8 @@ from .common import FILE, ROW, located, stored, work_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Session settings while the stream runs: keyed state on disk, without
-#: preallocated files, as most partitions' state is small.
+#: preallocated files, as most partitions' state is small (with them, 211
+#: partitions of 0.03 GB of input take over 0.6 GB of disk).
 STATE = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
          "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 #: Ways over which texts of one digest are spread before they are compared.
