@@ -1049,7 +1049,6 @@ from ..operators import score as sc  # noqa: E402
 from ..operators.graph import embedding as emb  # noqa: E402
 from ..session import checkpoint_dir  # noqa: E402
 
-PROFILE = "fast"      # registered model queries use the fast profile (README)
 _STORE: dict = {}
 
 
@@ -1095,7 +1094,7 @@ def q_rf_eval(spark, sf_dir):
     for kind, name, feats in (("rf_base", "Random Forest", fe.BASE_FEATURES),
                               ("et_base", "Extra Trees (substitute)", fe.BASE_FEATURES),
                               ("rf_v2", "RF v2", fe.ALL_FEATURES)):
-        m = ml.evaluate(ml.fit(tr, feats, ml.estimator(kind, PROFILE)), te, name, kind)
+        m = ml.evaluate(ml.fit(tr, feats, ml.estimator(kind)), te, name, kind)
         out = m if out is None else out.unionByName(m)
     return out
 
@@ -1106,7 +1105,7 @@ def q_gbt_eval(spark, sf_dir):
     out = None
     for kind, feats in (("gbt_base", fe.BASE_FEATURES), ("hgb_base", fe.BASE_FEATURES),
                         ("hgb_graph", fe.ALL_FEATURES)):
-        m = ml.evaluate(ml.fit(tr, feats, ml.estimator(kind, PROFILE)), te, kind, kind)
+        m = ml.evaluate(ml.fit(tr, feats, ml.estimator(kind)), te, kind, kind)
         out = m if out is None else out.unionByName(m)
     return out
 
@@ -1114,9 +1113,9 @@ def q_gbt_eval(spark, sf_dir):
 @query("graph_lift")
 def q_graph_lift(spark, sf_dir):
     tr, te = _split(spark, sf_dir)
-    base = ml.evaluate(ml.fit(tr, fe.BASE_FEATURES, ml.estimator("rf_base", PROFILE)), te,
+    base = ml.evaluate(ml.fit(tr, fe.BASE_FEATURES, ml.estimator("rf_base")), te,
                        "RF base")
-    graph = ml.evaluate(ml.fit(tr, fe.ALL_FEATURES, ml.estimator("rf_graph", PROFILE)), te,
+    graph = ml.evaluate(ml.fit(tr, fe.ALL_FEATURES, ml.estimator("rf_graph")), te,
                         "RF + graph")
     return ev.graph_advantage(base, graph)
 
@@ -1140,9 +1139,9 @@ def q_embedding_lift(spark, sf_dir):
     cols = fe.ALL_FEATURES + [f"src_emb_{i}" for i in range(dim)] + [f"dst_emb_{i}"
                                                                     for i in range(dim)]
     tr2, te2 = emb.add_embeddings(tr, em, dim), emb.add_embeddings(te, em, dim)
-    g = ml.evaluate(ml.fit(tr, fe.ALL_FEATURES, ml.estimator("rf_graph", PROFILE)), te,
+    g = ml.evaluate(ml.fit(tr, fe.ALL_FEATURES, ml.estimator("rf_graph")), te,
                     "RF + graph")
-    ge_ = ml.evaluate(ml.fit(tr2, cols, ml.estimator("rf_graph", PROFILE)), te2,
+    ge_ = ml.evaluate(ml.fit(tr2, cols, ml.estimator("rf_emb")), te2,
                       "RF + graph + embeddings")
     return ev.graph_advantage(g, ge_)
 
@@ -1150,7 +1149,7 @@ def q_embedding_lift(spark, sf_dir):
 @query("per_route_eval")
 def q_per_route_eval(spark, sf_dir):
     tr, te = _split(spark, sf_dir)
-    preds = ml.per_route(tr, te, fe.ALL_FEATURES, profile=PROFILE)
+    preds = ml.per_route(tr, te, fe.ALL_FEATURES)
     return (ev.regression_metrics(preds, model="per-route GBT", by=["route_type"])
               .unionByName(ev.regression_metrics(preds, model="per-route GBT")
                              .withColumn("route_type", F.lit("all"))))
@@ -1159,7 +1158,7 @@ def q_per_route_eval(spark, sf_dir):
 @query("stacking_eval")
 def q_stacking_eval(spark, sf_dir):
     tr, te = _split(spark, sf_dir)
-    st = ml.stacking(tr, te, fe.ALL_FEATURES, profile=PROFILE)
+    st = ml.stacking(tr, te, fe.ALL_FEATURES)
     return ev.regression_metrics(st, model="3-fold stack → ridge")
 
 
@@ -1168,7 +1167,7 @@ def q_boosted_eval(spark, sf_dir):
     tr, te = _split(spark, sf_dir)
     out = None
     for kind in ("xgb_like", "lgbm_like", "hgb_graph"):
-        m = ml.evaluate(ml.fit(tr, fe.ALL_FEATURES, ml.estimator(kind, PROFILE)), te, kind,
+        m = ml.evaluate(ml.fit(tr, fe.ALL_FEATURES, ml.estimator(kind)), te, kind,
                         "boosted")
         out = m if out is None else out.unionByName(m)
     return out
@@ -1177,7 +1176,7 @@ def q_boosted_eval(spark, sf_dir):
 @query("feature_importance")
 def q_feature_importance(spark, sf_dir):
     tr, _ = _split(spark, sf_dir)
-    m = ml.fit(tr, fe.ALL_FEATURES, ml.estimator("rf_graph", PROFILE))
+    m = ml.fit(tr, fe.ALL_FEATURES, ml.estimator("rf_graph"))
     return ml.importances(m, fe.ALL_FEATURES).orderBy(F.col("importance").desc(), "feature")
 
 
@@ -1188,10 +1187,10 @@ def q_benchmark_table(spark, sf_dir):
                                   model="Planned time (naive)").withColumn("phase", F.lit("base"))
     rows = [naive,
             ml.evaluate(ml.linear(tr, fe.BASE_FEATURES), te, "Linear Regression", "base"),
-            ml.evaluate(ml.fit(tr, fe.ALL_FEATURES, ml.estimator("hgb_graph", PROFILE)), te,
+            ml.evaluate(ml.fit(tr, fe.ALL_FEATURES, ml.estimator("hgb_graph")), te,
                         "GBT + graph", "graph"),
             ml.evaluate(ml.fit(tr.where("route_type = 'FTL'"), fe.ALL_FEATURES,
-                               ml.estimator("hgb_ftl", PROFILE)),
+                               ml.estimator("hgb_ftl")),
                         te.where("route_type = 'FTL'"), "FTL-only slice", "FTL-only")]
     out = rows[0]
     for r in rows[1:]:
@@ -1204,7 +1203,7 @@ def q_benchmark_table(spark, sf_dir):
 @query("residual_sample")
 def q_residual_sample(spark, sf_dir):
     tr, te = _split(spark, sf_dir)
-    m = ml.fit(tr, fe.ALL_FEATURES, ml.estimator("hgb_graph", PROFILE))
+    m = ml.fit(tr, fe.ALL_FEATURES, ml.estimator("hgb_graph"))
     r = ev.residuals(m.transform(te), pred="prediction")
     return ev.deterministic_sample(r.select("row_key", "route_type", "actual_time", "prediction",
                                             "residual"), 3000, ["row_key"])
@@ -1299,7 +1298,7 @@ def q_score_eta(spark, sf_dir):
     tr, _ = _split(spark, sf_dir)
     _, nodes, enr = feature_inputs(spark, sf_dir)
     models = {rt: ml.fit(tr.where(F.col("route_type") == rt), fe.ALL_FEATURES,
-                         ml.estimator(kind, PROFILE))
+                         ml.estimator(kind))
               for rt, kind in (("FTL", "hgb_ftl"), ("Carting", "hgb_carting"))}
     feats = sc.score_features(requests(spark, sf_dir), nodes, enr)
     return sc.score_eta(feats, models)
