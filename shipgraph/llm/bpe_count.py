@@ -94,7 +94,7 @@ class Counter:
         for i, j in doc_runs(off_all):
             data = data_all[off_all[i]:off_all[j]]
             st, en, doc = chunk_bounds(data, off_all[i:j + 1] - off_all[i], BLANK)
-            n, _ = self.chunks.runs(self.chunks.entries(data, st, en))
+            n, _ = self.chunks.of(data, st, en)
             total = np.append(0, np.cumsum(n))
             out[i:j] = total[doc[1:]] - total[doc[:-1]]
         out[empty] = 0

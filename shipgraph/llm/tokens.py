@@ -125,6 +125,19 @@ class Chunks:
             e[lack] = first + back
         return e
 
+    def of(self, data: np.ndarray, st: np.ndarray, en: np.ndarray
+           ) -> tuple[np.ndarray, np.ndarray]:
+        """All runs of the chunks, one after another, and their lengths; in portions
+        that fit the memory even if all their chunks are new and distinct."""
+        most, got = self.seen.most, []
+        for k in range(0, max(len(st), 1), most):
+            s, t = st[k:k + most], en[k:k + most]
+            lo, hi = (int(s[0]), int(t[-1])) if len(s) else (0, 0)
+            got.append(self.runs(self.entries(data[lo:hi], s - lo, t - lo)))
+        if len(got) == 1:
+            return got[0]
+        return np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
+
     def runs(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All runs of the entries, one after another, and their lengths."""
         size = self.size[e].astype(np.int64)
@@ -195,7 +208,7 @@ class Encoder:
                     use[doc[d]:doc[d + 1]] = False
                 doc = np.append(0, np.cumsum(use))[doc]
                 st, en = st[use], en[use]
-            ids, size = self.chunks.runs(self.chunks.entries(data, st, en))
+            ids, size = self.chunks.of(data, st, en)
             at = np.append(0, np.cumsum(size))[doc]
             if odd:
                 raw = data.tobytes()

@@ -1,5 +1,6 @@
 """Operators 1, 6 and 8 against the tokenizer libraries."""
 
+import signal
 import zlib
 from math import ceil
 
@@ -55,6 +56,33 @@ def test_repeated_chunks_and_a_full_memory(monkeypatch):
         assert got == [ids(t) for t in texts]
 
 
+@pytest.fixture
+def a_minute():
+    """Ends a test that would never end."""
+    def stop(*_):
+        raise TimeoutError
+    old = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(60)
+    yield
+    signal.alarm(0)
+    signal.signal(signal.SIGALRM, old)
+
+
+def test_a_text_of_more_chunks_than_the_memory_has_slots(a_minute):
+    import pyarrow as pa
+    enc, cnt = tokens.Encoder(BPE), bpe_count.Counter(PIECES)
+    enc.chunks = tokens.Chunks(enc._new, np.uint32, 8)
+    cnt.chunks = tokens.Chunks(cnt._new, np.int32, 8)
+    assert len(enc.chunks.seen.slot) == 16
+    texts = ["a b", " ".join(f"w{i}é" for i in range(500)), "w3é", " ".join("ab" * 300), "\t", ""]
+    got = [flat[x:y].tolist() for flat, at in enc.encode(pa.array(texts))
+           for x, y in zip(at, at[1:])]
+    assert got == [ids(t) for t in texts]
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    few = [t for t in texts if "\t" not in t]
+    assert cnt.count(pa.array(few)).tolist() == [len(lib.encode(t)) for t in few]
+
+
 def test_packing(docs):
     rows = odd_rows() + [(100 + i, "some words " * (i % 37)) for i in range(200)]
     got = packing.packed_documents(docs(rows), BPE, 256, 2).collect()
