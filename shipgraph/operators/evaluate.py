@@ -39,6 +39,12 @@ def regression_metrics(df: DataFrame, label: str = "actual_time", pred: str = "p
     return m.select(*cols, "n_rows")
 
 
+def best_per_phase(table: DataFrame) -> DataFrame:
+    """AGG28: lowest RMSE and MAE and highest ±15 % share of each phase's models."""
+    return table.groupBy("phase").agg(F.min("rmse").alias("rmse"), F.min("mae").alias("mae"),
+                                      F.max("within_15pct").alias("within_15pct"))
+
+
 def graph_advantage(baseline: DataFrame, graph: DataFrame) -> DataFrame:
     """EVL2: RMSE and MAE improvement %, ±15 % improvement in points."""
     b = baseline.select(F.col("rmse").alias("baseline_rmse"), F.col("mae").alias("baseline_mae"),

@@ -1110,14 +1110,37 @@ def q_gbt_eval(spark, sf_dir):
     return out
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _base_and_graph(tr, te) -> list[DataFrame]:
+    """ML1-ML9: metrics of the phases Baseline and Graph-Enhanced."""
+    naive = ev.regression_metrics(te.withColumn("prediction", F.expm1("log_osrm_time")),
+                                  model="Planned time (naive)") \
+        .withColumn("phase", F.lit("Baseline"))
+    rows = [naive,
+            ml.evaluate(ml.linear(tr, fe.BASE_FEATURES), te, "Linear Regression", "Baseline"),
+            ml.evaluate(ml.linear(tr, fe.BASE_FEATURES, alpha=10.0), te, "Ridge", "Baseline")]
+    for kind, name in (("rf", "Random Forest"), ("gbt", "GBT"),
+                       ("et", "Extra Trees (substitute)")):
+        k = f"{kind}_base"
+        rows.append(ml.evaluate(ml.fit(tr, fe.BASE_FEATURES, ml.estimator(k)), te, name,
+                                "Baseline"))
+        k = f"{kind}_graph"
+        rows.append(ml.evaluate(ml.fit(tr, fe.ALL_FEATURES, ml.estimator(k)), te,
+                                f"{name} + graph", "Graph-Enhanced"))
+    return rows
+
+
 @query("graph_lift")
 def q_graph_lift(spark, sf_dir):
-    tr, te = _split(spark, sf_dir)
-    base = ml.evaluate(ml.fit(tr, fe.BASE_FEATURES, ml.estimator("rf_base")), te,
-                       "RF base")
-    graph = ml.evaluate(ml.fit(tr, fe.ALL_FEATURES, ml.estimator("rf_graph")), te,
-                        "RF + graph")
-    return ev.graph_advantage(base, graph)
+    best = ev.best_per_phase(_union(_base_and_graph(*_split(spark, sf_dir))))
+    return ev.graph_advantage(best.where("phase = 'Baseline'"),
+                              best.where("phase = 'Graph-Enhanced'"))
 
 
 def _embeddings(spark, sf_dir, dim=32):
@@ -1158,19 +1181,32 @@ def q_per_route_eval(spark, sf_dir):
 @query("stacking_eval")
 def q_stacking_eval(spark, sf_dir):
     tr, te = _split(spark, sf_dir)
-    st = ml.stacking(tr, te, fe.ALL_FEATURES)
-    return ev.regression_metrics(st, model="3-fold stack → ridge")
+    return _union([ev.regression_metrics(ml.stacking(tr, te, fe.ALL_FEATURES, kinds), model=name)
+                   for kinds, name in ((ml.STACK, "3-fold stack → ridge"),
+                                       (ml.STACK_BOOSTED, "3-fold stack of five → ridge"))])
 
 
 @query("boosted_eval")
 def q_boosted_eval(spark, sf_dir):
+    """ML17-ML22: boosted models, per route, stack of five, blend with the better route models."""
     tr, te = _split(spark, sf_dir)
-    out = None
-    for kind in ("xgb_like", "lgbm_like", "hgb_graph"):
-        m = ml.evaluate(ml.fit(tr, fe.ALL_FEATURES, ml.estimator(kind)), te, kind,
-                        "boosted")
-        out = m if out is None else out.unionByName(m)
-    return out
+    rows = [ml.evaluate(ml.fit(tr, fe.ALL_FEATURES, ml.estimator(kind)), te, kind, phase)
+            for kind, phase in (("hgb_boosted", "existing"), ("xgb_like", "boosted"),
+                                ("lgbm_like", "boosted"))]
+    routes = []
+    for kind in ("xgb_route", "lgbm_route"):
+        p = ml.per_route(tr, te, fe.ALL_FEATURES, (("FTL", kind), ("Carting", kind)))
+        m = ev.regression_metrics(p, model=f"per-route {kind}")
+        routes.append((m.first()["rmse"], p))
+        rows.append(m.withColumn("phase", F.lit("boosted")))
+    stack = ml.stacking(tr, te, fe.ALL_FEATURES, ml.STACK_BOOSTED)
+    rows.append(ev.regression_metrics(stack, model="3-fold stack of five → ridge")
+                  .withColumn("phase", F.lit("boosted")))
+    better = routes[0][1] if routes[0][0] <= routes[1][0] else routes[1][1]
+    w, p = ml.best_blend(stack, better, [round(0.30 + 0.05 * i, 2) for i in range(11)])
+    rows.append(ev.regression_metrics(p, model=f"blend v2 (w={w:.2f})")
+                  .withColumn("phase", F.lit("BEST-v2")))
+    return _union(rows)
 
 
 @query("feature_importance")
@@ -1182,22 +1218,29 @@ def q_feature_importance(spark, sf_dir):
 
 @query("benchmark_table")
 def q_benchmark_table(spark, sf_dir):
+    """FLT7 + SRT2: the overall table, without models of one route type's slice, by RMSE."""
     tr, te = _split(spark, sf_dir)
-    naive = ev.regression_metrics(te.withColumn("prediction", F.expm1("log_osrm_time")),
-                                  model="Planned time (naive)").withColumn("phase", F.lit("base"))
-    rows = [naive,
-            ml.evaluate(ml.linear(tr, fe.BASE_FEATURES), te, "Linear Regression", "base"),
-            ml.evaluate(ml.fit(tr, fe.ALL_FEATURES, ml.estimator("hgb_graph")), te,
-                        "GBT + graph", "graph"),
-            ml.evaluate(ml.fit(tr.where("route_type = 'FTL'"), fe.ALL_FEATURES,
-                               ml.estimator("hgb_ftl")),
-                        te.where("route_type = 'FTL'"), "FTL-only slice", "FTL-only")]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    # FLT7 + SRT2: slice phases are hidden from the overall table, sorted by RMSE
-    return out.where(~F.coalesce(F.col("phase").rlike("FTL-only|Cart-only"), F.lit(False))) \
-              .orderBy("rmse")
+    rows, dim = _base_and_graph(tr, te), 32
+    em = _embeddings(spark, sf_dir, dim)
+    tr2, te2 = emb.add_embeddings(tr, em, dim), emb.add_embeddings(te, em, dim)
+    cols = fe.ALL_FEATURES + [f"{e}_emb_{i}" for e in ("src", "dst") for i in range(dim)]
+    for kind, name in (("rf_emb", "Random Forest"), ("gbt_emb", "GBT")):
+        rows.append(ml.evaluate(ml.fit(tr2, cols, ml.estimator(kind)), te2,
+                                f"{name} + graph + embeddings", "Graph-ML"))
+    for kind, name, feats, phase in (("rf_v2", "RF v2", fe.ALL_FEATURES, "v2-Graph"),
+                                     ("hgb_base", "Hist GBT", fe.BASE_FEATURES, "v2-Baseline"),
+                                     ("hgb_graph", "Hist GBT + graph", fe.ALL_FEATURES,
+                                      "v2-Graph")):
+        rows.append(ml.evaluate(ml.fit(tr, feats, ml.estimator(kind)), te, name, phase))
+    route = ml.per_route(tr, te, fe.ALL_FEATURES)
+    stack = ml.stacking(tr, te, fe.ALL_FEATURES)
+    w, best = ml.best_blend(stack, route, [round(0.30 + 0.05 * i, 2) for i in range(10)])
+    for p, name, phase in ((route, "per-route GBT", "v2-PerRoute"),
+                           (stack, "3-fold stack → ridge", "v2-Ensemble"),
+                           (ml.blend(best, 0.5), "stack and per-route, halves", "v2-Ensemble"),
+                           (best, f"blend (w={w:.2f})", "v2-BEST")):
+        rows.append(ev.regression_metrics(p, model=name).withColumn("phase", F.lit(phase)))
+    return _union(rows).orderBy("rmse")
 
 
 @query("residual_sample")
