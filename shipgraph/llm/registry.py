@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bpe_count, decontam, dedup, html_extract, huffman, jaccard, langid, packing,
-               secrets, substring)
+from . import (bpe_codec, bpe_count, conversations, decontam, dedup, html_extract, huffman,
+               jaccard, langid, packing, secrets, substring, whitening)
 from .common import documents
 
 
@@ -60,10 +60,26 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(pages.select("page_id", "url", "html"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    return whitening.whitened(vectors.select("vec_id", "embedding"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return bpe_codec.round_trip(documents(spark, sf_dir, "doc_id", "text"),
+                                tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired_after_damage(
+        spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_exact_dedup, op3_secret_scan, op4_language_id, op5_jaccard_join,
     op6_token_files, op7_decontamination, op8_token_counts, op9_substring_dedup,
-    op10_html_extraction)}
+    op10_html_extraction, op11_embedding_whitening, op12_byte_bpe, op13_conversation_repair)}
 
 ORACLE = {"op2_exact_dedup": dedup.ORACLE, "op7_decontamination": decontam.ORACLE,
           "op9_substring_dedup": substring.ORACLE}
