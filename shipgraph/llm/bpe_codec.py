@@ -8,14 +8,14 @@ joint piece forms with its neighbours.  Ranks are a literal of the plan: maps
 from piece to rank, dealt to buckets by the piece's CRC so that a look-up
 scans few keys.  Bytes are characters U+0000 to U+00FF (ISO-8859-1).
 
-The commonest distinct matches of the corpus, COMMON at most, are folded once;
-their ids are a second literal.  Matches beyond it are folded where they stand, so the
+The commonest distinct matches of the corpus, COMMON at most, are folded once and
+broadcast.  Matches beyond them are folded where they stand, so the
 bound saves work and never changes an id.  Matches of more than LONG bytes,
 where a fold's steps would each copy a long array, go to a heap in Python.
 
-Null and empty texts have no ids.  Repeated rows, ties and other columns stay
-as they are; columns named like the outputs are replaced.  An empty table
-gives an empty result.
+Null and empty texts have no ids.  Repeated rows, and rows of one key, each
+keep their result; columns other than the keys are left out.  An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -24,16 +24,19 @@ import base64
 import heapq
 import json
 import zlib
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import ship_code, stored
 
-#: Distinct matches whose ids are shipped with the plan (bounds its size).
-COMMON = 200_000
+#: Distinct matches whose ids are broadcast at most (some 100 bytes each).
+COMMON = 500_000
 #: Bytes of a match that the fold takes; longer ones go to the heap.
 LONG = 64
 BYTES = "ISO-8859-1"
@@ -130,41 +133,88 @@ def heap_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def _common(split: DataFrame, ranks: Column, most: int, long: int) -> DataFrame:
+    """(w, known) of the commonest distinct matches, each folded once: those in
+    at least t rows, with the lowest t above 1 that leaves at most ``most``."""
+    seen = stored(split.select(F.explode(F.array_distinct("__words")).alias("w"))
+                  .where(F.octet_length("w") <= long).groupBy("w")
+                  .agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "matches")
+    sizes = seen.groupBy(F.least("n", F.lit(10_000)).alias("n")).count()
+    total, least = 0, None
+    for n, count in sorted(sizes.collect(), reverse=True):  # 10,000 rows at most
+        total += count
+        if total > most:
+            break
+        least = n
+    if least is None:
+        seen, least = seen.limit(0), 0
+    return seen.where(F.col("n") >= least).select(
+        "w", _let(ranks, lambda r: fold(F.col("w"), r)).alias("known"))
+
+
 def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text",
-            common: int = COMMON, long: int = LONG) -> DataFrame:
-    """``docs`` without the text, plus ``ids`` (array of int)."""
+            keys: tuple[str, ...] = ("doc_id",), common: int = COMMON, long: int = LONG
+            ) -> DataFrame:
+    """Per row of ``docs`` the key columns and ``ids`` (array of int).
+
+    A text's matches become rows of their own, which meet the common ones'
+    ids in a broadcast join and are folded otherwise; as both keep the order,
+    a text's rows stay together, and a task sets its ids in a row again."""
     spark = docs.sparkSession
-    small_batches(spark)
+    ship_code(spark)
+    # rows of this plan are single matches, so batches of many are small
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     table = read_ranks(path)
     ranks = _buckets({k.decode(BYTES): v for k, v in table.items()}, "int")
     words = F.regexp_extract_all(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")),
                                  F.lit(f"(?U){pattern}"), F.lit(0))
-    kept = [c for c in docs.columns if c not in (text, "ids")]
-    split = docs.select(*[F.col(f"`{c}`") for c in kept], words.alias("__words"))
-    seen = (split.select(F.explode(F.array_distinct("__words")).alias("w"))
-            .where(F.octet_length("w") <= long).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-            .where("n > 1").orderBy(F.desc("n"), "w").limit(common))
-    folded = seen.select("w", _let(ranks, lambda r: fold(F.col("w"), r)))
-    known = _buckets({r[0]: r[1] for r in folded.collect()}, "array<int>")
+    names = [f"__key{i}" for i in range(len(keys))]
+    split = docs.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)],
+                        words.alias("__words"))
+    known = _common(split, ranks, common, long)
+    rows = (split.withColumn("__row", F.monotonically_increasing_id())
+            .select(*names, "__row", F.explode_outer("__words").alias("w"))
+            .join(F.broadcast(known), "w", "left"))
+    far = F.octet_length("w") > long
+    folded = F.when(far | F.col("w").isNull(), F.lit(None)).otherwise(
+        F.coalesce("known", _let(ranks, lambda r: fold(F.col("w"), r))))
+    schema = T.StructType([T.StructField(k, docs.schema[k].dataType) for k in keys]
+                          + [T.StructField("ids", T.ArrayType(T.IntegerType()))])
     sent = spark.sparkContext.broadcast(table)
 
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-    def heaped(s: pd.Series) -> pd.Series:
-        return s.map(lambda ws: [heap_ids(w.encode(), sent.value) for w in ws])
-
-    longs = split.withColumn("__long", F.array_distinct(F.filter(
-        "__words", lambda w: F.octet_length(w) > long)))
-    both = longs.withColumn("__ids", heaped("__long"))
-
-    def ids(w, r, k):
-        at = F.array_position(F.col("__long"), w).cast("int")
-        return F.when(F.octet_length(w) > long, F.get(F.col("__ids"), at - 1)) \
-            .otherwise(F.coalesce(_get(k, w), fold(w, r)))
-
-    # each literal stands in the plan once, bound to a lambda's variable
-    each = _let(ranks, lambda r: _let(known, lambda k: F.flatten(
-        F.transform("__words", lambda w: ids(w, r, k)))))
-    return both.select(*[F.col(f"`{c}`") for c in kept], each.alias("ids"))
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of a row that may go on in the next batch
+        for b in batches:
+            row = b.column("__row").to_numpy()
+            cut = int(np.searchsorted(row, row[-1])) if len(row) else 0
+            if cut:
+                yield whole([*held, b.slice(0, cut)])
+                held = []
+            elif held and len(row) and held[-1].column("__row")[-1].as_py() != row[0]:
+                yield whole(held)
+                held = []
+            if len(row):
+                held.append(b.slice(cut))
+        if held:
+            yield whole(held)
+
+    def whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        ids = t["ids"].combine_chunks()
+        if t["far"].null_count < len(t):
+            got, texts = ids.to_pylist(), t["far"].to_pylist()
+            ids = pa.array([heap_ids(w.encode(), sent.value) if w is not None else i
+                            for i, w in zip(got, texts)], pa.list_(pa.int32()))
+        first = np.flatnonzero(np.diff(t["__row"].to_numpy(), prepend=-1))
+        size = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        at = np.append(0, np.cumsum(size))[np.append(first, len(t))]
+        lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), ids.flatten())
+        some = t.select(names).take(pa.array(first)).combine_chunks()
+        return pa.RecordBatch.from_arrays([*[some[n].combine_chunks() for n in names], lists],
+                                          names=schema.names)
+
+    return rows.select(*names, "__row", folded.alias("ids"),
+                       F.when(far, F.col("w")).alias("far")).mapInArrow(together, schema)
 
 
 def decoded(df: DataFrame, path: str, ids: str = "ids", name: str = "bytes") -> DataFrame:
