@@ -3,8 +3,9 @@
 Method: a configuration linear program over the histogram of piece lengths
 (a configuration is a multiset of lengths that fits one sequence), solved by
 multiplicative weights with a knapsack dynamic program as its pricing step,
-then rounded down; what rounding leaves is filled by the same knapsack on the
-remaining counts.  Only the histogram (at most ``capacity`` numbers, whatever
+then rounded down; what rounding leaves is a smaller program, and at last
+sequences filled one by one with a knapsack of the remaining pieces.  The
+weights' prices also give a lower bound on the number of sequences.  Only the histogram (at most ``capacity`` numbers, whatever
 the corpus) reaches the driver; tokenising, ranking and placing are Spark jobs.
 
 Defined results: null or empty text has only the end id; rows are pieces of
@@ -14,6 +15,7 @@ no pieces; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -85,51 +87,125 @@ def knapsack(value: np.ndarray, lengths: np.ndarray, copies: np.ndarray,
     return counts, float(best[capacity])
 
 
-def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int,
-                   step: float = 1.0, rate: float = 0.1,
-                   rounds: int = 400) -> list[tuple[np.ndarray, int]]:
-    """(copies of each length, number of sequences), covering every count exactly.
+def best_values(price: np.ndarray) -> tuple[list, list, list]:
+    """Unbounded knapsack by dynamic programming: for each capacity the greatest
+    value of a multiset of lengths that fits, the length taken last (0: none)
+    and the capacity that it leaves.  ``price`` is indexed by length; a length
+    that may not be used has -inf."""
+    n = len(price)
+    best, took, rest = np.zeros(n), [0] * n, [0] * n
+    back = price[::-1]  # back[n - 1 - x] is the price of x
+    for w in range(1, n):
+        value = best[:w] + back[n - 1 - w:n - 1]  # by the room r that is left: length w - r
+        r = int(value.argmax())
+        if value[r] > best[w - 1]:
+            best[w], took[w], rest[w] = value[r], w - r, r
+        else:
+            best[w], took[w], rest[w] = best[w - 1], took[w - 1], rest[w - 1]
+    return best.tolist(), took, rest
 
-    Multiplicative weights: a length's price starts at its share of the
-    capacity, tilted to long ones so that short ones stay to fill the gaps,
-    and falls by exp(-rate * covered share); each round the knapsack
-    finds the dearest configuration, which is used until ``step`` of the demand
-    of its scarcest length is met.  ``rounds`` bounds the fractional phase;
-    rounding and the knapsack on the rest always finish the cover.
+
+def covering(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = 0.002,
+             rates: tuple = (0.1, 0.03, 0.01, 0.003), phases: int | None = None
+             ) -> tuple[dict[tuple, float], float]:
+    """A fractional cover of the counts by configurations, and a lower bound of
+    any cover, by multiplicative weights.
+
+    Minimise the sum of x_c subject to sum_c x_c * c_i >= count_i.  A length's
+    price starts at its share of the capacity and falls by
+    exp(-rate) whenever its count is covered once more.  Each phase prices configurations
+    by one knapsack program: its table holds, for every length, the dearest
+    configuration with that length.  Those worth at least 1 - rate / 4 of the
+    dearest of all (prices only fall within a phase, so the table's value
+    stays an upper bound) are taken in turn, the least covered lengths first:
+    x_c grows until its scarcest length is covered once more.  Prices over the
+    dearest configuration's value are feasible for the dual program, so their worth
+    is a lower bound; a cover divided by its least coverage is feasible.  The rate falls
+    from stage to stage, each a new cover that goes on with the prices found.  A cover
+    within ``gap`` of the bound is returned at once; after the last stage its shares,
+    scaled to as many sequences as the bound, are (they leave some counts uncovered).
+    """
+    phases = phases or max(80, min(300, 20_000 // len(lengths)))
+    size = capacity + 1
+    demand, price = np.zeros(size), np.full(size, -np.inf)
+    demand[lengths], price[lengths] = counts, lengths / capacity
+    need, order = demand.tolist(), lengths.tolist()
+    bound = float(lengths @ counts) / capacity
+    for rate in rates:
+        for phase in range(phases):
+            if phase == 0:
+                covered, x, total = [0.0] * size, {}, 0.0
+            best, took, rest = best_values(price)
+            top = best[capacity]
+            bound = max(bound, float(price[lengths] @ counts) / top)
+            now = (price / top).tolist()
+            for first in sorted(order, key=covered.__getitem__):
+                if now[first] + best[capacity - first] / top < 1 - rate / 4:
+                    continue
+                copies, room = {first: 1}, capacity - first
+                while took[room]:
+                    copies[took[room]] = copies.get(took[room], 0) + 1
+                    room = rest[room]
+                if sum(k * now[i] for i, k in copies.items()) < 1 - rate / 4:
+                    continue
+                grow = min(need[i] / k for i, k in copies.items())
+                key = tuple(sorted(copies.items()))
+                x[key] = x.get(key, 0.0) + grow
+                total += grow
+                for i, k in copies.items():
+                    more = grow * k / need[i]
+                    covered[i] += more
+                    now[i] *= math.exp(-rate * more)
+            price = np.array(now)
+            once = min(covered[i] for i in order)
+            if total <= once * (1 + gap) * bound:
+                return {c: v / once for c, v in x.items()}, bound
+    return {c: v * bound / total for c, v in x.items()}, bound
+
+
+def configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int
+                   ) -> tuple[list[tuple[np.ndarray, int]], float]:
+    """(copies of each length, number of sequences), covering every count
+    exactly, and the lower bound of the linear program.
+
+    The fractional cover is rounded down, largest shares first, to what is left of the
+    counts; the rest is a smaller program of the same kind, until rounding
+    gives nothing; then a knapsack over the remaining pieces fills
+    sequence after sequence.
     """
-    demand = counts.astype(float)
     full = lengths == capacity
-    plan = [(np.where(full, 1, 0), int(counts[full].sum()))] if counts[full].sum() else []
-    demand[full] = 0
+    whole = int(counts[full].sum())
+    plan = [(np.where(full, 1, 0), whole)] if whole else []
     left = np.where(full, 0, counts).astype(np.int64)
-    met, worth = np.zeros(len(lengths)), lengths / capacity * (1 + lengths / capacity)
-    share: dict[bytes, float] = {}
-    for _ in range(rounds):
-        rest = demand - met
-        if rest.sum() < 1:
-            break
-        price = np.where(rest >= 1, worth, 0) * np.exp(-rate * met / np.maximum(demand, 1))
-        c, _ = knapsack(price, lengths, np.floor(rest).astype(np.int64), capacity)
-        used = c > 0
-        if not used.any():
+    bound = None
+    while left.sum():
+        here = left > 0
+        x, least = covering(lengths[here], left[here], capacity)
+        bound = least if bound is None else bound
+        at = {int(n): i for i, n in enumerate(lengths)}
+        found = 0
+        for copies, share in sorted(x.items(), key=lambda e: (-e[1], e[0])):
+            m = min(int(share + 1e-9), *(int(left[at[i]]) // k for i, k in copies))
+            if m > 0:
+                c = np.zeros(len(lengths), np.int64)
+                for i, k in copies:
+                    c[at[i]] = k
+                plan.append((c, m))
+                left -= m * c
+                found += m
+        if found * 20 < max(least, 1):  # rounding takes little more
             break
-        x = min(np.min(rest[used] / c[used]), max(1.0, step * np.min(demand[used] / c[used])))
-        met += x * c
-        share[c.tobytes()] = share.get(c.tobytes(), 0.0) + x
-    for key, x in share.items():
-        c = np.frombuffer(key, np.int64)
-        used = c > 0
-        m = int(min(np.floor(x + 1e-9), np.min(left[used] // c[used])))
-        if m > 0:
-            plan.append((c, m))
-            left -= m * c
+    worth = lengths / capacity * (1 + lengths / capacity)
     while left.sum():
-        c, _ = knapsack(worth, lengths, left, capacity)
+        here = np.flatnonzero(left)
+        some, _ = knapsack(worth[here], lengths[here], left[here], capacity)
+        c = np.zeros(len(lengths), np.int64)
+        c[here] = some
         used = c > 0
         m = int(np.min(left[used] // c[used]))
         plan.append((c, m))
         left -= m * c
-    return plan
+    return plan, whole + (bound or 0.0)
 
 
 def slots(plan: list[tuple[np.ndarray, int]], lengths: np.ndarray) -> dict[int, np.ndarray]:
@@ -165,7 +241,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     hist = p.groupBy("length").agg(F.count(F.lit(1)).alias("n")).orderBy("length").collect()
     lengths = np.array([r["length"] for r in hist], np.int64)
     counts = np.array([r["n"] for r in hist], np.int64)
-    table = slots(configurations(lengths, counts, capacity) if len(lengths) else [], lengths)
+    table = slots(configurations(lengths, counts, capacity)[0] if len(lengths) else [], lengths)
     within = Window.partitionBy("__salt", "length").orderBy("doc_id", "piece", "start")
     ranked = (p.withColumn("__k", F.row_number().over(within) - 1)
                .join(groups.select("__salt", "length", "__before"), ["__salt", "length"])

@@ -110,11 +110,52 @@ def test_packing_of_nothing(docs):
     assert packing.packed_documents(docs([]), BPE).count() == 0
 
 
+def histograms():
+    rng = np.random.default_rng(4)
+    n = np.arange(1, 257)
+    return {"skewed": (n, np.maximum(1, (30_000 / n ** 1.1).astype(int))),
+            "flat": (n, np.full(256, 40)), "full": (n[-1:], np.array([7])),
+            "long": (n[100:], rng.integers(1, 400, 156)),
+            "few": (np.array([23, 61, 88, 97, 130]), np.array([900, 410, 777, 380, 505])),
+            "halves": (np.array([86, 128, 129]), np.array([1000, 1001, 300])),
+            "single": (np.array([100]), np.array([5]))}
+
+
+@pytest.mark.parametrize("name", list(histograms()))
+def test_plan_is_within_a_sequence_a_length_of_the_bound(name):
+    lengths, counts = histograms()[name]
+    plan, bound = packing.configurations(lengths, counts, 256)
+    assert (sum(c * m for c, m in plan) == counts).all()
+    assert all(c @ lengths <= 256 and m > 0 for c, m in plan)
+    assert bound >= lengths @ counts / 256 - 1e-6
+    n = sum(m for _, m in plan)
+    assert bound - 1e-6 <= n <= bound + len(lengths)
+
+
+def test_bound_is_below_the_best_plan():
+    # 86 + 86 fit one sequence of 256, 129 + anything longer than 127 doesn't
+    lengths, counts = np.array([86, 128, 129]), np.array([1000, 1001, 300])
+    _, bound = packing.covering(lengths, counts, 256)
+    best = 300 + 1001 / 2 + (1000 - 300) / 2  # 129 + 86, 128 + 128, 86 + 86
+    assert best * 0.98 <= bound <= best + 1e-6
+
+
+def test_prices_fall_with_coverage():
+    best, took, rest = packing.best_values(np.array([-np.inf, -np.inf, -np.inf, 0.5, 0.6]))
+    assert best == [0, 0, 0, 0.5, 0.6] and took[4] == 4 and rest[4] == 0
+    price = np.full(11, -np.inf)
+    price[[3, 4]] = 0.5, 0.6
+    best, took, rest = packing.best_values(price)
+    assert best[10] == pytest.approx(1.6) and sorted([took[10], took[rest[10]],
+                                                      took[rest[rest[10]]]]) == [3, 3, 4]
+
+
 def test_configurations_cover_every_count():
     rng = np.random.default_rng(3)
     lengths = np.unique(rng.integers(1, 65, 30))
     counts = rng.integers(1, 40, len(lengths))
-    plan = packing.configurations(lengths, counts, 64)
+    plan, bound = packing.configurations(lengths, counts, 64)
+    assert sum(m for _, m in plan) <= bound + len(lengths)
     assert (sum(c * m for c, m in plan) == counts).all()
     assert all((c * lengths).sum() <= 64 for c, _ in plan)
 
