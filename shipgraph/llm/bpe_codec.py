@@ -39,6 +39,8 @@ from .common import ship_code, stored
 COMMON = 500_000
 #: Bytes of a match that the fold takes; longer ones go to the heap.
 LONG = 64
+#: More than the places of a match that the fold takes.
+PLACES = 128
 BYTES = "ISO-8859-1"
 
 
@@ -71,9 +73,10 @@ def fold(word: Column, ranks: Column) -> Column:
     """The ids of one match, not null and not empty."""
 
     def state(pieces, pairs):
+        # rank and place in one number: the least is the leftmost of the lowest rank
         return _let(pairs, lambda r: F.struct(
-            pieces.alias("p"), r.alias("r"),
-            F.array_position(r, F.array_min(r)).cast("int").alias("i")))
+            pieces.alias("p"), r.alias("r"), (F.array_min(F.transform(
+                r, lambda x, k: x * PLACES + k)) % PLACES + 1).alias("i")))
 
     def merge(s, _):
         p, r, i, n = s["p"], s["r"], s["i"], F.size(s["p"])
@@ -90,7 +93,7 @@ def fold(word: Column, ranks: Column) -> Column:
                                            F.when(i + 1 < n, right).otherwise(no),
                                            F.slice(r, i + 2, n))))
 
-        return F.when(i.isNull() | (i == 0), s).otherwise(_let(one, joined))
+        return F.when(i.isNull(), s).otherwise(_let(one, joined))
 
     def merged(b):
         p = F.split(b, "")
@@ -162,8 +165,10 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text",
     a text's rows stay together, and a task sets its ids in a row again."""
     spark = docs.sparkSession
     ship_code(spark)
-    # rows of this plan are single matches, so batches of many are small
+    # rows of this plan are single matches, so batches of many are small; Spark's own check of
+    # a batch's bytes after each row costs more than the row
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str((1 << 31) - 1))
     table = read_ranks(path)
     ranks = _buckets({k.decode(BYTES): v for k, v in table.items()}, "int")
     words = F.regexp_extract_all(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")),
