@@ -6,15 +6,24 @@ number of *distinct* values, not rows.  ``method='approx'`` uses
 ``percentile_approx`` (mergeable Greenwald–Khanna sketches of bounded size,
 rank error ≤ n/accuracy).  ``method='distributed'`` is exact as well and puts
 no group into one task: the choice for few groups that can each hold a large
-share of the rows (route types, the whole table).
+share of the rows (route types, facilities, the whole table).
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+from functools import reduce
+from operator import and_
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .ranking import _sorted_with_pid
+#: Size of the bracketing sketches (some 40 KB), and the values that one task orders.
+SKETCH_K = 2000
+FEW = 50_000
 
 
 def quantile_expr(x: Column, p: float, method: str = "exact",
@@ -46,15 +55,43 @@ def global_quantiles(df: DataFrame, specs, aggs=(), method: str = "exact") -> Da
     return group_quantiles(df, [], specs, aggs, method)
 
 
-def distributed_quantiles(df: DataFrame, keys: list[str], specs, aggs=()) -> DataFrame:
-    """Exact quantiles (linear interpolation) of few groups, however large.
+def sketch_error(k: int) -> float:
+    """Rank error of a KLL sketch, two-sided, at 99 % confidence."""
+    return 2.296 / k ** 0.9021
+
+
+@dataclass
+class _Target:
+    """One quantile of one group: its ranks, the bracket [low, high] that holds
+    them, and how many values lie below it and in it."""
+    column: int
+    ranks: tuple[int, int]
+    low: float
+    high: float
+    below: int = 0
+    inside: int = 0
+    value: tuple[float, float] | None = None
+
+
+def _quantiles_of(x: Column, ranks: list[float], k: int) -> Column:
+    return F.when(F.count(x) > 0, F.kll_sketch_get_quantile_double(
+        F.kll_sketch_agg_double(x, F.lit(k)),
+        F.expr(f"array({', '.join(f'{r!r}D' for r in ranks)})")))
+
+
+def distributed_quantiles(df: DataFrame, keys: list[str], specs, aggs=(), k: int = SKETCH_K,
+                          few: int = FEW) -> DataFrame:
+    """Exact quantiles (linear interpolation) of few groups, however large, by
+    bracketing and counting.  No row is sorted or shuffled.
 
-    Rows become (keys, column, value) counts, combined before the shuffle, so
-    repeated values are one row; the counts are range-partitioned by (keys,
-    column, value) and summed up within partitions; offsets per partition and
-    group (a table of partitions x groups) make them global; then the one or
-    two values at each rank are picked.  All quantiles of all columns share
-    the pass, and no task holds a group.
+    A KLL sketch per group and column, merged map-side, brackets each rank by
+    twice its error.  The next pass counts exactly what lies below and in
+    each bracket and sketches the inside; brackets with more than ``few`` values are
+    narrowed by that sketch, ones that miss their rank (the sketch errs with a
+    small probability) are opened.  At last the values inside are gathered and
+    the one or two at the ranks picked.  A bracket of one value needs no gathering,
+    and one that ties keep from shrinking is gathered as values with their counts.
+    The driver holds a bracket per group and quantile, so this is for few groups.
     """
     exprs: dict[str, int] = {}
     cols: list[Column] = []
@@ -65,45 +102,172 @@ def distributed_quantiles(df: DataFrame, keys: list[str], specs, aggs=()) -> Dat
             exprs[name] = len(cols)
             cols.append(F.col(c) if isinstance(c, str) else c)
         which.append(exprs[name])
-    key = F.struct(F.lit(0).alias("_one"), *[F.col(k) for k in keys]).alias("_key")
-    values = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), x.cast("double").alias("v"))
-                                 for i, x in enumerate(cols)])).alias("_x")
-    # a null value counts for no rank, but keeps a group of nulls in the result
-    counts = (df.select(key, values).select("_key", "_x.i", "_x.v")
-                .groupBy("_key", "i", "v").agg(F.count("v").alias("_n")))
-    s = _sorted_with_pid(counts, [F.col("_key").asc(), F.col("i").asc(), F.col("v").asc()])
-    up_to = Window.partitionBy("_pid", "_key", "i").orderBy("v")
-    earlier = Window.partitionBy("_key", "i").orderBy("_pid") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (s.groupBy("_pid", "_key", "i").agg(F.sum("_n").alias("_cnt"))
-                .select("_pid", "_key", "i",
-                        F.coalesce(F.sum("_cnt").over(earlier), F.lit(0)).alias("_off"),
-                        F.sum("_cnt").over(Window.partitionBy("_key", "i")).alias("_tot")))
-    ranked = (s.withColumn("_cum", F.sum("_n").over(up_to)).join(offsets, ["_pid", "_key", "i"])
-               .withColumn("_to", F.col("_cum") + F.col("_off"))
-               .withColumn("_from", F.col("_to") - F.col("_n")))
-    picked = []
-    for (_, p, a), i in zip(specs, which):
-        at = (F.col("_tot") - 1) * F.lit(float(p))
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            here = (F.col("i") == i) & (F.col("_from") <= rank) & (rank < F.col("_to"))
-            picked.append(F.max(F.when(here, F.col("v"))).alias(f"_{side}_{a}"))
-        picked.append(F.max(F.when(F.col("i") == i, at)).alias(f"_at_{a}"))
-    found = ranked.groupBy("_key").agg(*picked)
-    out = []
-    for _, _, a in specs:
-        at, lo, hi = F.col(f"_at_{a}"), F.col(f"_lo_{a}"), F.col(f"_hi_{a}")
-        # equal neighbours need no arithmetic (and get no rounding)
-        out.append(F.when(lo == hi, lo).otherwise(
-            (F.ceil(at) - at) * lo + (at - F.floor(at)) * hi).alias(a))
-    found = found.select("_key", *out)
-    names = [x[2] for x in specs]
-    if not keys:
-        one = found.agg(*[F.max(a).alias(a) for a in names])   # one row, also of an empty table
-        return one.crossJoin(df.agg(*aggs)) if aggs else one
-    found = found.select(*[F.col(f"_key.{k}") for k in keys], "_key", *names)
+    names = [f"_k{i}" for i in range(len(keys))]
+    data = df.select(*[F.col(c).alias(n) for c, n in zip(keys, names)],
+                     *[x.cast("double").alias(f"_x{i}") for i, x in enumerate(cols)]) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        groups = _picked(data, names, [(i, p) for i, (_, p, _) in zip(which, specs)], k, few)
+    finally:
+        data.unpersist()
+    fields = [T.StructField(c, df.schema[c].dataType) for c in keys]
+    fields += [T.StructField(a, T.DoubleType()) for _, _, a in specs]
+    rows = [(*key, *[None if t is None else _between(t, p) for t, (_, p, _) in zip(ts, specs)])
+            for key, ts in groups.items()]
+    found = df.sparkSession.createDataFrame(rows, T.StructType(fields))
     if not aggs:
-        return found.drop("_key")
+        return found
+    if not keys:
+        return found.crossJoin(df.agg(*aggs))
+    # few groups: the quantiles are as many rows as were collected
     base = df.groupBy(*keys).agg(*aggs)
-    extra = [c for c in base.columns if c not in keys]
-    return (base.select(key, *extra).join(found, "_key").select(*keys, *names, *extra))
+    for c in keys:
+        found = found.withColumnRenamed(c, f"_of_{c}")
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]
+    return base.join(F.broadcast(found), reduce(and_, same)).select(
+        *keys, *[a for _, _, a in specs], *[c for c in base.columns if c not in keys])
+
+
+def _between(t: tuple[_Target, float], p: float) -> float:
+    """Linear interpolation as pandas does it; equal neighbours need none."""
+    target, at = t
+    lo, hi = target.value
+    return lo if lo == hi else (math.ceil(at) - at) * lo + (at - math.floor(at)) * hi
+
+
+def _picked(data: DataFrame, keys: list[str], wanted: list[tuple[int, float]], k: int, few: int
+            ) -> dict[tuple, list]:
+    """Per group the (target with its values, exact rank) of each wanted quantile."""
+    margin, columns = 2 * sketch_error(k), sorted({i for i, _ in wanted})
+    edges = {i: sorted({min(1.0, max(0.0, p + side)) for j, p in wanted if j == i
+                        for side in (-margin, margin)}) for i in columns}
+    aggs = []
+    for i in columns:
+        x = F.col(f"_x{i}")
+        aggs += [F.count(x).alias(f"n{i}"), _quantiles_of(x, edges[i], k).alias(f"q{i}")]
+    groups: dict[tuple, list] = {}
+    for r in data.groupBy(*keys).agg(*aggs).collect():
+        found = []
+        for i, p in wanted:
+            if not r[f"n{i}"]:
+                found.append(None)
+                continue
+            at = (r[f"n{i}"] - 1) * p
+            low, high = (r[f"q{i}"][edges[i].index(min(1.0, max(0.0, p + s)))]
+                         for s in (-margin, margin))
+            found.append((_Target(i, (math.floor(at), math.ceil(at)), low, high), at))
+        groups[tuple(r[c] for c in keys)] = found
+    grid = [g / 200 for g in range(201)]
+    for step in range(8):
+        open_ = [j for j in range(len(wanted))
+                 if any(ts[j] and ts[j][0].value is None for ts in groups.values())]
+        if not open_:
+            return groups
+        rows, low, high = _with_brackets(data, keys, groups, open_)
+        aggs = []
+        for j in open_:
+            x, a, b = F.col(f"_x{wanted[j][0]}"), low[j], high[j]
+            within = F.when((x >= a) & (x <= b), x)
+            aggs += [F.count(F.when(x < a, 1)).alias(f"below{j}"),
+                     F.count(within).alias(f"inside{j}"),
+                     _quantiles_of(within, grid, k).alias(f"q{j}")]
+        shrinks = []
+        for r in rows.groupBy(*keys).agg(*aggs).collect():
+            ts = groups[tuple(r[c] for c in keys)]
+            for j in open_:
+                t = ts[j] and ts[j][0]
+                if not t or t.value is not None:
+                    continue
+                t.below, t.inside = r[f"below{j}"], r[f"inside{j}"]
+                first, last = t.ranks
+                if not (t.below <= first and last < t.below + t.inside):
+                    t.low, t.high = ((-math.inf if first < t.below else t.low),
+                                     (math.inf if last >= t.below + t.inside else t.high))
+                    t.inside = -1  # counted anew
+                    shrinks.append(True)
+                elif t.low == t.high:
+                    t.value = (t.low, t.low)
+                elif t.inside > few:
+                    q, share = r[f"q{j}"], [(x - t.below) / t.inside for x in t.ranks]
+                    a = q[max(0, math.floor((share[0] - margin) * 200))]
+                    b = q[min(200, math.ceil((share[1] + margin) * 200))]
+                    shrinks.append((a, b) != (t.low, t.high))
+                    t.low, t.high = max(a, t.low), min(b, t.high)
+        small = [j for j in open_ if all(
+            not ts[j] or ts[j][0].value is not None or 0 <= ts[j][0].inside <= few
+            for ts in groups.values())]
+        if small:
+            _gather(data, keys, groups, small, wanted)
+        elif step == 7 or not any(shrinks):
+            _gather_counts(data, keys, groups, open_, wanted)
+    return groups
+
+
+def _with_brackets(data: DataFrame, keys: list[str], groups: dict, which: list[int]):
+    """``data`` with its group's brackets, and these as columns: literals without
+    keys, else a broadcast join with a table of as many rows as there are groups."""
+    def edge(t, name):
+        return None if t is None else getattr(t[0], name)
+
+    if not keys:
+        ts = next(iter(groups.values()))
+        return data, *({j: F.lit(edge(ts[j], side)).cast("double") for j in which}
+                       for side in ("low", "high"))
+    fields = [T.StructField(f"_of{c}", data.schema[c].dataType) for c in keys]
+    fields += [T.StructField(f"_{s}{j}", T.DoubleType()) for j in which for s in "ab"]
+    table = data.sparkSession.createDataFrame(
+        [(*key, *[edge(ts[j], s) for j in which for s in ("low", "high")])
+         for key, ts in groups.items()], T.StructType(fields))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in keys])
+    return (data.join(F.broadcast(table), same), {j: F.col(f"_a{j}") for j in which},
+            {j: F.col(f"_b{j}") for j in which})
+
+
+def _gather(data, keys, groups, which, wanted) -> None:
+    """Sort the few values in each bracket and pick those at the ranks."""
+    rows, low, high = _with_brackets(data, keys, groups, which)
+    aggs = []
+    for j in which:
+        x = F.col(f"_x{wanted[j][0]}")
+        aggs += [F.count(F.when(x < low[j], 1)).alias(f"below{j}"), F.array_sort(F.collect_list(
+            F.when((x >= low[j]) & (x <= high[j]), x))).alias(f"v{j}")]
+    for r in rows.groupBy(*keys).agg(*aggs).toLocalIterator():  # a group at a time
+        for j in which:
+            t = groups[tuple(r[c] for c in keys)][j]
+            if t and t[0].value is None:
+                t[0].value = tuple(r[f"v{j}"][x - r[f"below{j}"]] for x in t[0].ranks)
+
+
+def _gather_counts(data, keys, groups, which, wanted) -> None:
+    """The same for brackets that many equal values fill: by value and count."""
+    for j in which:
+        rows, low, high = _with_brackets(data, keys, groups, [j])
+        x = F.col(f"_x{wanted[j][0]}")
+        below = {tuple(r[c] for c in keys): r["n"] for r in rows.groupBy(*keys).agg(
+            F.count(F.when(x < low[j], 1)).alias("n")).collect()}
+        counts = (rows.where((x >= low[j]) & (x <= high[j])).groupBy(*keys, x.alias("v"))
+                  .agg(F.count(F.lit(1)).alias("n")))
+        upto = Window.partitionBy(*keys).orderBy("v")
+        counts = counts.withColumn("upto", F.sum("n").over(upto))
+        hits = {}
+        for r in counts.join(_rank_table(data, keys, groups, j, below), _same(keys)).where(
+                "(upto - n <= _r0 AND _r0 < upto) OR (upto - n <= _r1 AND _r1 < upto)").collect():
+            hits.setdefault(tuple(r[c] for c in keys), []).append((r["upto"] - r["n"], r["upto"],
+                                                                   r["v"]))
+        for key, found in hits.items():
+            t = groups[key][j][0]
+            if t.value is None:
+                at = [x - below[key] for x in t.ranks]
+                t.value = tuple(next(v for a, b, v in found if a <= r < b) for r in at)
+
+
+def _same(keys: list[str]):
+    return reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in keys], F.lit(True))
+
+
+def _rank_table(data, keys, groups, j, below) -> DataFrame:
+    fields = [T.StructField(f"_of{c}", data.schema[c].dataType) for c in keys]
+    fields += [T.StructField("_r0", T.LongType()), T.StructField("_r1", T.LongType())]
+    return F.broadcast(data.sparkSession.createDataFrame(
+        [(*key, *[x - below[key] for x in ts[j][0].ranks]) for key, ts in groups.items()
+         if ts[j]], T.StructType(fields)))

@@ -31,6 +31,7 @@ GRAPH_FEATURES = [
     "high_risk_src", "high_risk_dst", "both_high_risk",
 ]
 ALL_FEATURES = BASE_FEATURES + GRAPH_FEATURES
+# fixed values: columns looked up in the node and corridor tables
 NODE_LOOKUP = ["betweenness", "pagerank", "closeness", "hub_score", "structural_risk_score",
                "in_degree", "out_degree", "community_id", "avg_sla_breach", "avg_delay_ratio"]
 CORRIDOR_LOOKUP = ["median_delay_ratio", "sla_breach_rate", "chronic_delay_rate", "trip_count",
@@ -120,13 +121,28 @@ def graph_features(df: DataFrame, nodes: DataFrame, corridors: DataFrame,
                         F.coalesce(F.col("corr_cross_community"), F.lit(0.0)).cast("int"))
 
 
-def risk_flags(df: DataFrame, threshold: float | None = None) -> DataFrame:
+def risk_threshold(shipments: DataFrame, nodes: DataFrame, p: float = 0.75) -> DataFrame:
+    """One row ``_q75``: the quantile of the shipments' source risk, from the node
+    table alone: a source's risk counts as often as it has shipments (a source
+    without a node has the nodes' median)."""
+    risk = "structural_risk_score"
+    trips = shipments.groupBy(F.col("source_center").alias("facility")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    rows = trips.join(nodes.select("facility", F.col(risk).cast("double").alias("_r")),
+                      "facility", "left").crossJoin(F.broadcast(_with_medians(nodes, [risk], "_m_")))
+    return rows.agg(F.percentile(F.coalesce("_r", f"_m_{risk}"), F.lit(p), F.col("_n"))
+                    .alias("_q75"))
+
+
+def risk_flags(df: DataFrame, threshold: float | DataFrame | None = None) -> DataFrame:
     """FEA8: high-risk endpoint flags against the row-weighted 75th percentile
-    of the source risk (one threshold for both ends), or a given threshold."""
+    of the source risk (one threshold for both ends): a number, a one-row table
+    ``_q75`` (:func:`risk_threshold`), or taken from the rows themselves."""
     if threshold is None:
-        q = global_quantiles(df, [("src_structural_risk_score", 0.75, "_q75")],
-                             method="distributed")
-        df = df.crossJoin(F.broadcast(q))
+        threshold = global_quantiles(df, [("src_structural_risk_score", 0.75, "_q75")],
+                                     method="distributed")
+    if isinstance(threshold, DataFrame):
+        df = df.crossJoin(F.broadcast(threshold))  # one row
         thr = F.col("_q75")
     else:
         thr = F.lit(threshold)
@@ -135,7 +151,7 @@ def risk_flags(df: DataFrame, threshold: float | None = None) -> DataFrame:
              .withColumn("high_risk_dst", F.coalesce(F.col("dst_structural_risk_score") > thr,
                                                      F.lit(False)).cast("int"))
              .withColumn("both_high_risk", F.col("high_risk_src") * F.col("high_risk_dst")))
-    return out.drop("_q75") if threshold is None else out
+    return out.drop("_q75")
 
 
 def feature_store(cleaned: DataFrame, nodes: DataFrame, corridors: DataFrame,
@@ -148,7 +164,7 @@ def feature_store(cleaned: DataFrame, nodes: DataFrame, corridors: DataFrame,
     df = base_features(df)
     df = network_load(df)
     df = graph_features(df, nodes, corridors)
-    df = risk_flags(df)
+    df = risk_flags(df, risk_threshold(cleaned, nodes))
     return df.select(*keys, TARGET,
                      *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
                        for c in ALL_FEATURES])

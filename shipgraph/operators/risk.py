@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import average_rank_desc
-from ..session import cut_lineage
+from ..session import concurrently, cut_lineage
 from .corridor import KEYS, top_k
 from .graph.edges import degrees, induced_subgraph, neighbourhood, vertices
 from .graph.pagerank import hits, pagerank
@@ -36,8 +36,10 @@ def node_centrality(edges: DataFrame, pagerank_tol: float = 1e-6, hits_tol: floa
     from .graph.iterate import Loop
     edges = Loop().hold(edges.select("src", "dst", "weight"))
     nodes = vertices(edges)
-    parts = [degrees(edges), path_centralities(edges, distance_col),
-             pagerank(edges, tol=pagerank_tol), hits(edges, tol=hits_tol)]
+    # three loops of small jobs that don't depend on each other
+    parts = [degrees(edges), *concurrently(edges.sparkSession, [
+        lambda: path_centralities(edges, distance_col),
+        lambda: pagerank(edges, tol=pagerank_tol), lambda: hits(edges, tol=hits_tol)])]
     out = nodes
     for p in parts:
         out = out.join(p, "facility", "left")

@@ -13,7 +13,8 @@ from ..operators import clean as cl
 from ..operators import corridor as co
 from ..operators.derive import derive_shipments, drop_leaky, impute_names
 from ..session import cut_lineage
-from ..sources.tables import RAW_COLUMNS, shipments
+from ..sources import artefacts as ar
+from ..sources.tables import RAW_COLUMNS, shipment_files, shipments
 from . import oracle as O
 
 QUERIES: dict = {}
@@ -556,12 +557,18 @@ def q_node_centrality(spark, sf_dir):
 
 
 def risk_nodes(spark, sf_dir, community=None):
-    """Centralities ⋈ facility stats ⋈ communities → risk score (coarse view)."""
-    d = derived(spark, sf_dir)
-    e = ge.corridor_edges(co.corridor_stats(d))
-    cent = rk.node_centrality(e, pagerank_tol=TIGHT, hits_tol=TIGHT)
-    comm = community if community is not None else region_communities(spark, sf_dir)
-    return cut_lineage(rk.structural_risk(rk.node_features(cent, fa.facility_stats(d), comm)))
+    """Centralities ⋈ facility stats ⋈ communities → risk score (coarse view);
+    with the fixed communities the table is built once per content of its input."""
+    def build(comm):
+        d = derived(spark, sf_dir)
+        cent = rk.node_centrality(ge.corridor_edges(co.corridor_stats(d)), pagerank_tol=TIGHT,
+                                  hits_tol=TIGHT)
+        return rk.structural_risk(rk.node_features(cent, fa.facility_stats(d), comm))
+
+    if community is not None:
+        return cut_lineage(build(community))
+    return ar.table(spark, "risk_nodes", shipment_files(sf_dir),
+                    lambda: build(region_communities(spark, sf_dir)))
 
 
 @query("node_features", _wr("SELECT * FROM nf", *NODEF[:-1]))
@@ -730,15 +737,24 @@ from ..operators import features as fe  # noqa: E402
 
 def feature_inputs(spark, sf_dir, community=None):
     """Canonical order: clean → corridors → graph + centralities → node risk →
-    corridor enrichment.  The cleaned table feeds three aggregations and the
-    feature join, so it is persisted once (recomputed from lineage if an
-    executor is lost)."""
-    c = cleaned(spark, sf_dir).persist()
-    corr = co.corridor_stats(c)
-    cent = rk.node_centrality(ge.corridor_edges(corr), pagerank_tol=TIGHT, hits_tol=TIGHT)
-    comm = community if community is not None else region_communities(spark, sf_dir)
-    nodes = cut_lineage(rk.structural_risk(rk.node_features(cent, fa.facility_stats(c), comm)))
-    return c, nodes, cut_lineage(rk.corridor_enriched(corr, nodes))
+    corridor enrichment.  The cleaned rows, the node table and the corridor
+    table are each written once per content of the input (with the fixed
+    communities), so queries and requests read them instead of building them."""
+    files = shipment_files(sf_dir)
+    c = ar.table(spark, "cleaned", files, lambda: cleaned(spark, sf_dir))
+
+    def build_nodes(comm):
+        corr = co.corridor_stats(c)
+        cent = rk.node_centrality(ge.corridor_edges(corr), pagerank_tol=TIGHT, hits_tol=TIGHT)
+        return rk.structural_risk(rk.node_features(cent, fa.facility_stats(c), comm))
+
+    if community is not None:
+        nodes = cut_lineage(build_nodes(community))
+        return c, nodes, cut_lineage(rk.corridor_enriched(co.corridor_stats(c), nodes))
+    nodes = ar.table(spark, "clean_nodes", files,
+                     lambda: build_nodes(region_communities(spark, sf_dir)))
+    return c, nodes, ar.table(spark, "clean_corridors", files,
+                              lambda: rk.corridor_enriched(co.corridor_stats(c), nodes))
 
 
 def features(spark, sf_dir, community=None) -> DataFrame:
@@ -980,10 +996,9 @@ def recommendations(spark, sf_dir) -> DataFrame:
     d = derived(spark, sf_dir)
     enr = rk.corridor_enriched(co.corridor_stats(d), risk_nodes(spark, sf_dir))
     req = rc.corridor_requests(enr, d)
-    app = rc.recommend_route(req, hour=None)
-    memo = rc.recommend_route(req, hour=None, policy="memo").select(
-        "source_center", "destination_center", F.col("recommended").alias("recommended_memo"))
-    return app.join(memo, ["source_center", "destination_center"]).select(*REC_COLS)
+    memo = rc.memo_rule(F.col("distance_km"), F.col("weekly_trips"), F.col("recommended"))
+    return rc.recommend_route(req, hour=None).withColumn("recommended_memo", memo) \
+        .select(*REC_COLS)
 
 
 REC_CTES = [*NODEF, ("enr0", ENRICHED_SQL), REC_INPUT, ("rec", _rec_sql("rin"))]
@@ -1042,32 +1057,27 @@ def q_hub_upgrade(spark, sf_dir):
     return wi.hub_upgrade_whatif(derived(spark, sf_dir), risk_nodes(spark, sf_dir))
 
 
-# ---------------------------------------------------------------- stage 10: models (rows-only)
+# ---------------------------------------------------------------- stage 10: models
 from ..operators import cluster as cu  # noqa: E402
 from ..operators import models as ml  # noqa: E402
 from ..operators import score as sc  # noqa: E402
 from ..operators.graph import embedding as emb  # noqa: E402
-from ..session import checkpoint_dir  # noqa: E402
 
-_STORE: dict = {}
+FEATURE_KEYS = ("row_key", "trip_uuid", "data", "route_type", "source_center",
+                "destination_center")
 
 
 def cached_features(spark, sf_dir, force_rebuild: bool = False) -> DataFrame:
-    """SRC4: the feature store (with a unique ``row_key``) written once as
-    parquet under the shared checkpoint folder and re-read afterwards."""
-    import hashlib
-    key = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
-    path = f"{checkpoint_dir(spark).rstrip('/')}/feature_store_{key}"
-    memo = (id(spark), path)
-    if not force_rebuild and memo in _STORE:
-        return _STORE[memo]
-    c, nodes, enr = feature_inputs(spark, sf_dir)
-    fs = fe.feature_store(c.withColumnRenamed("row_id", "row_key"), nodes, enr,
-                          keys=("row_key", "trip_uuid", "data", "route_type", "source_center",
-                                "destination_center"))
-    fs.write.mode("overwrite").parquet(path)
-    _STORE[memo] = spark.read.parquet(path)
-    return _STORE[memo]
+    """SRC4: the feature store (with ``row_key``), built once per content of
+    its input files, split into folders by ``data`` so a split reads its own."""
+    def build():
+        c, nodes, enr = feature_inputs(spark, sf_dir)
+        out = fe.feature_store(c.withColumnRenamed("row_id", "row_key"), nodes, enr,
+                               keys=FEATURE_KEYS)
+        return out.select(*[x for x in out.columns if x != "data"], "data")
+
+    return ar.table(spark, "features", shipment_files(sf_dir), build, partition_by=["data"],
+                    force_rebuild=force_rebuild)
 
 
 def _split(spark, sf_dir):
@@ -1075,6 +1085,82 @@ def _split(spark, sf_dir):
     return fs.where(F.col("data") == "training"), fs.where(F.col("data") == "test")
 
 
+def _fit_rows(spark, sf_dir, train) -> DataFrame:
+    """The bounded labelled rows of all tree models, written once."""
+    return ar.table(spark, "fit_rows", shipment_files(sf_dir), lambda: ml.fitting_rows(train),
+                    {"rows": ml.FIT_ROWS})
+
+
+# fixed values: which route types' models make up a family
+FAMILIES = {"histgbm": {"FTL": "hgb_ftl", "Carting": "hgb_carting"},
+            "xgboost": {"FTL": "xgb_route", "Carting": "xgb_route"},
+            "lightgbm": {"FTL": "lgbm_route", "Carting": "lgbm_route"}}
+DIM = 32
+EMB_FEATURES = [f"{e}_emb_{i}" for e in ("src", "dst") for i in range(DIM)]
+
+
+def _features_of(kind: str) -> list[str]:
+    if kind.endswith("_base"):
+        return fe.BASE_FEATURES
+    return fe.ALL_FEATURES + (EMB_FEATURES if kind.endswith("_emb") else [])
+
+
+def model_store(spark, sf_dir) -> "ar.ModelStore":
+    """SNK3: the store of the models fitted on these input files and settings."""
+    key = ar.artefact_key(spark, "models", shipment_files(sf_dir),
+                          {"rows": ml.FIT_ROWS, "kinds": ml.SETTINGS, "patience": ml.PATIENCE})
+    return ar.ModelStore(spark, f"{ar.artefact_root(spark)}/models-{key}")
+
+
+def fitted(spark, sf_dir, train, kinds) -> dict:
+    """Models of the kinds, loaded from the store; missing ones are fitted side
+    by side and stored.  A kind may be (kind, route type), learned from its rows."""
+    store, rows = model_store(spark, sf_dir), _fit_rows(spark, sf_dir, train)
+
+    def one(kind):
+        name, rt = kind if isinstance(kind, tuple) else (kind, None)
+        label = f"{name}-{rt}" if rt else name
+        with ar.alone(f"{store.path}/{label}"):
+            if label in store.names():
+                return store.load(label)
+            mine = rows.where(F.col("route_type") == rt) if rt else rows
+            model = ml.fit(mine, _features_of(name), name)
+            family = next((f for f, m in FAMILIES.items() if m.get(rt) == name), None)
+            store.save(label, model, kind=name, family=family, route_type=rt,
+                       features=_features_of(name), settings=ml.SETTINGS[name])
+            return model
+
+    return dict(zip(kinds, ml.concurrently(spark, [lambda k=k: one(k) for k in kinds])))
+
+
+def route_models(spark, sf_dir, train, family: str = "histgbm") -> dict:
+    """{route type: model} of a family, fitted and stored if missing."""
+    kinds = [(kind, rt) for rt, kind in FAMILIES[family].items()]
+    return {rt: m for (_, rt), m in fitted(spark, sf_dir, train, kinds).items()}
+
+
+def _metrics(spark, sf_dir, name, build) -> DataFrame:
+    """Metric rows kept in the store, so reports share them."""
+    return ar.table(spark, f"metrics_{name}", shipment_files(sf_dir), build,
+                    {"rows": ml.FIT_ROWS, "kinds": ml.SETTINGS, "patience": ml.PATIENCE})
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _evaluated(spark, sf_dir, name, rows) -> DataFrame:
+    """Metrics over the test split of models [(kind, label, phase)]."""
+    def build():
+        tr, te = _split(spark, sf_dir)
+        models = fitted(spark, sf_dir, tr, [k for k, _, _ in rows])
+        return _union([ml.evaluate(models[k], te, label, phase) for k, label, phase in rows])
+    return _metrics(spark, sf_dir, name, build)
+
+
 @query("lr_eval")
 def q_lr_eval(spark, sf_dir):
     tr, te = _split(spark, sf_dir)
@@ -1089,61 +1175,46 @@ def q_ridge_eval(spark, sf_dir):
 
 @query("rf_eval")
 def q_rf_eval(spark, sf_dir):
-    tr, te = _split(spark, sf_dir)
-    out = None
-    for kind, name, feats in (("rf_base", "Random Forest", fe.BASE_FEATURES),
-                              ("et_base", "Extra Trees (substitute)", fe.BASE_FEATURES),
-                              ("rf_v2", "RF v2", fe.ALL_FEATURES)):
-        m = ml.evaluate(ml.fit(tr, feats, ml.estimator(kind)), te, name, kind)
-        out = m if out is None else out.unionByName(m)
-    return out
+    return _evaluated(spark, sf_dir, "rf", [
+        ("rf_base", "Random Forest", "rf_base"),
+        ("et_base", "Extra Trees (substitute)", "et_base"), ("rf_v2", "RF v2", "rf_v2")])
 
 
 @query("gbt_eval")
 def q_gbt_eval(spark, sf_dir):
-    tr, te = _split(spark, sf_dir)
-    out = None
-    for kind, feats in (("gbt_base", fe.BASE_FEATURES), ("hgb_base", fe.BASE_FEATURES),
-                        ("hgb_graph", fe.ALL_FEATURES)):
-        m = ml.evaluate(ml.fit(tr, feats, ml.estimator(kind)), te, kind, kind)
-        out = m if out is None else out.unionByName(m)
-    return out
+    return _evaluated(spark, sf_dir, "gbt", [(k, k, k) for k in
+                                             ("gbt_base", "hgb_base", "hgb_graph")])
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _base_and_graph(tr, te) -> list[DataFrame]:
+def _base_and_graph(spark, sf_dir) -> DataFrame:
     """ML1-ML9: metrics of the phases Baseline and Graph-Enhanced."""
-    naive = ev.regression_metrics(te.withColumn("prediction", F.expm1("log_osrm_time")),
-                                  model="Planned time (naive)") \
-        .withColumn("phase", F.lit("Baseline"))
-    rows = [naive,
-            ml.evaluate(ml.linear(tr, fe.BASE_FEATURES), te, "Linear Regression", "Baseline"),
-            ml.evaluate(ml.linear(tr, fe.BASE_FEATURES, alpha=10.0), te, "Ridge", "Baseline")]
-    for kind, name in (("rf", "Random Forest"), ("gbt", "GBT"),
-                       ("et", "Extra Trees (substitute)")):
-        k = f"{kind}_base"
-        rows.append(ml.evaluate(ml.fit(tr, fe.BASE_FEATURES, ml.estimator(k)), te, name,
-                                "Baseline"))
-        k = f"{kind}_graph"
-        rows.append(ml.evaluate(ml.fit(tr, fe.ALL_FEATURES, ml.estimator(k)), te,
-                                f"{name} + graph", "Graph-Enhanced"))
-    return rows
+    def plain():
+        tr, te = _split(spark, sf_dir)
+        naive = ev.regression_metrics(te.withColumn("prediction", F.expm1("log_osrm_time")),
+                                      model="Planned time (naive)") \
+            .withColumn("phase", F.lit("Baseline"))
+        return _union([naive, ml.evaluate(ml.linear(tr, fe.BASE_FEATURES), te,
+                                          "Linear Regression", "Baseline"),
+                       ml.evaluate(ml.linear(tr, fe.BASE_FEATURES, alpha=10.0), te, "Ridge",
+                                   "Baseline")])
+
+    trees = [(f"{k}_{x}", label + extra, phase)
+             for k, label in (("rf", "Random Forest"), ("gbt", "GBT"),
+                              ("et", "Extra Trees (substitute)"))
+             for x, extra, phase in (("base", "", "Baseline"),
+                                     ("graph", " + graph", "Graph-Enhanced"))]
+    return _metrics(spark, sf_dir, "plain", plain).unionByName(
+        _evaluated(spark, sf_dir, "base_and_graph", trees))
 
 
 @query("graph_lift")
 def q_graph_lift(spark, sf_dir):
-    best = ev.best_per_phase(_union(_base_and_graph(*_split(spark, sf_dir))))
+    best = ev.best_per_phase(_base_and_graph(spark, sf_dir))
     return ev.graph_advantage(best.where("phase = 'Baseline'"),
                               best.where("phase = 'Graph-Enhanced'"))
 
 
-def _embeddings(spark, sf_dir, dim=32):
+def _embeddings(spark, sf_dir, dim=DIM):
     d = derived(spark, sf_dir)
     e = ge.corridor_edges(co.corridor_stats(d), "median_delay_ratio")
     return emb.svd_embedding(e, dim)
@@ -1151,103 +1222,138 @@ def _embeddings(spark, sf_dir, dim=32):
 
 @query("node_embeddings")
 def q_node_embeddings(spark, sf_dir):
-    return _embeddings(spark, sf_dir, 32)
+    return _embeddings(spark, sf_dir, DIM)
+
+
+def _embedded(spark, sf_dir) -> DataFrame:
+    """ML10: metrics of the models with embeddings of both endpoints."""
+    def build():
+        tr, te = _split(spark, sf_dir)
+        em = _embeddings(spark, sf_dir)
+        rows = emb.add_embeddings(_fit_rows(spark, sf_dir, tr), em, DIM).persist()
+        te = emb.add_embeddings(te, em, DIM)
+        kinds = (("rf_emb", "Random Forest"), ("gbt_emb", "GBT"))
+        models = ml.concurrently(spark, [lambda k=k: ml.fit(rows, _features_of(k), k)
+                                         for k, _ in kinds])
+        return _union([ml.evaluate(m, te, f"{name} + graph + embeddings", "Graph-ML")
+                       for m, (_, name) in zip(models, kinds)])
+    return _metrics(spark, sf_dir, "embedded", build)
 
 
 @query("embedding_lift")
 def q_embedding_lift(spark, sf_dir):
-    tr, te = _split(spark, sf_dir)
-    dim = 32
-    em = _embeddings(spark, sf_dir, dim)
-    cols = fe.ALL_FEATURES + [f"src_emb_{i}" for i in range(dim)] + [f"dst_emb_{i}"
-                                                                    for i in range(dim)]
-    tr2, te2 = emb.add_embeddings(tr, em, dim), emb.add_embeddings(te, em, dim)
-    g = ml.evaluate(ml.fit(tr, fe.ALL_FEATURES, ml.estimator("rf_graph")), te,
-                    "RF + graph")
-    ge_ = ml.evaluate(ml.fit(tr2, cols, ml.estimator("rf_emb")), te2,
-                      "RF + graph + embeddings")
-    return ev.graph_advantage(g, ge_)
+    g = _evaluated(spark, sf_dir, "rf_graph", [("rf_graph", "RF + graph", "Graph-Enhanced")])
+    return ev.graph_advantage(g, _embedded(spark, sf_dir).where("model like 'Random Forest%'"))
 
 
 @query("per_route_eval")
 def q_per_route_eval(spark, sf_dir):
     tr, te = _split(spark, sf_dir)
-    preds = ml.per_route(tr, te, fe.ALL_FEATURES)
+    preds = ml.per_route(route_models(spark, sf_dir, tr), te)
     return (ev.regression_metrics(preds, model="per-route GBT", by=["route_type"])
               .unionByName(ev.regression_metrics(preds, model="per-route GBT")
                              .withColumn("route_type", F.lit("all"))))
 
 
+STACK_NAMES = {ml.STACK: "3-fold stack → ridge", ml.STACK_BOOSTED: "3-fold stack of five → ridge"}
+
+
+def _stacked(spark, sf_dir, kinds):
+    """The test split with the stack's prediction (fitted on the bounded rows)."""
+    tr, te = _split(spark, sf_dir)
+    return ml.stacking(_fit_rows(spark, sf_dir, tr), fe.ALL_FEATURES, kinds)(te, "stack")
+
+
 @query("stacking_eval")
 def q_stacking_eval(spark, sf_dir):
+    return _union(ml.concurrently(spark, [
+        lambda kinds=kinds, n=n: _metrics(spark, sf_dir, f"stack_of_{len(kinds)}", lambda:
+                                          ev.regression_metrics(_stacked(spark, sf_dir, kinds),
+                                                                pred="stack", model=n))
+        for kinds, n in STACK_NAMES.items()]))
+
+
+def _ensembles(spark, sf_dir, kinds, routes: dict, grid, fixed=(), name="blend") -> list:
+    """Metric rows [(label, metrics)] of the stack, the route models of the
+    families, their blends at fixed weights and at the best weight of the grid."""
     tr, te = _split(spark, sf_dir)
-    return _union([ev.regression_metrics(ml.stacking(tr, te, fe.ALL_FEATURES, kinds), model=name)
-                   for kinds, name in ((ml.STACK, "3-fold stack → ridge"),
-                                       (ml.STACK_BOOSTED, "3-fold stack of five → ridge"))])
+    stack, *by_family = ml.concurrently(spark, [
+        lambda: ml.stacking(_fit_rows(spark, sf_dir, tr), fe.ALL_FEATURES, kinds),
+        *[lambda f=f: route_models(spark, sf_dir, tr, f) for f in routes]])
+    p = stack(te, "stack")
+    for f, models in zip(routes, by_family):
+        p = ml.per_route(models, p, f)
+    p = p.select("row_key", "route_type", ml.LABEL, "stack", *routes).persist()
+    rows, errors = [], {}
+    for f, label in routes.items():
+        m = ev.regression_metrics(p, pred=f, model=label)
+        errors[f] = m.first()["rmse"]
+        rows.append((label, m))
+    rows.append((STACK_NAMES[kinds], ev.regression_metrics(p, pred="stack",
+                                                           model=STACK_NAMES[kinds])))
+    better = min(errors, key=errors.get)
+    for w, label in fixed:
+        rows.append((label, ev.regression_metrics(ml.blend(p, "stack", better, w), model=label)))
+    w, best = ml.best_blend(p, "stack", better, grid)
+    return rows + [(name, ev.regression_metrics(best, model=f"{name} (w={w:.2f})"))]
 
 
 @query("boosted_eval")
 def q_boosted_eval(spark, sf_dir):
     """ML17-ML22: boosted models, per route, stack of five, blend with the better route models."""
-    tr, te = _split(spark, sf_dir)
-    rows = [ml.evaluate(ml.fit(tr, fe.ALL_FEATURES, ml.estimator(kind)), te, kind, phase)
-            for kind, phase in (("hgb_boosted", "existing"), ("xgb_like", "boosted"),
-                                ("lgbm_like", "boosted"))]
-    routes = []
-    for kind in ("xgb_route", "lgbm_route"):
-        p = ml.per_route(tr, te, fe.ALL_FEATURES, (("FTL", kind), ("Carting", kind)))
-        m = ev.regression_metrics(p, model=f"per-route {kind}")
-        routes.append((m.first()["rmse"], p))
-        rows.append(m.withColumn("phase", F.lit("boosted")))
-    stack = ml.stacking(tr, te, fe.ALL_FEATURES, ml.STACK_BOOSTED)
-    rows.append(ev.regression_metrics(stack, model="3-fold stack of five → ridge")
-                  .withColumn("phase", F.lit("boosted")))
-    better = routes[0][1] if routes[0][0] <= routes[1][0] else routes[1][1]
-    w, p = ml.best_blend(stack, better, [round(0.30 + 0.05 * i, 2) for i in range(11)])
-    rows.append(ev.regression_metrics(p, model=f"blend v2 (w={w:.2f})")
-                  .withColumn("phase", F.lit("BEST-v2")))
-    return _union(rows)
+    def ensembles():
+        rows = _ensembles(spark, sf_dir, ml.STACK_BOOSTED,
+                          {"xgboost": "per-route xgb_route", "lightgbm": "per-route lgbm_route"},
+                          [round(0.30 + 0.05 * i, 2) for i in range(11)], name="blend v2")
+        return _union([m.withColumn("phase", F.lit("BEST-v2" if label == "blend v2" else "boosted"))
+                       for label, m in rows])
+
+    single = [("hgb_boosted", "hgb_boosted", "existing"), ("xgb_like", "xgb_like", "boosted"),
+              ("lgbm_like", "lgbm_like", "boosted")]
+    return _union(ml.concurrently(spark, [
+        lambda: _evaluated(spark, sf_dir, "boosted", single),
+        lambda: _metrics(spark, sf_dir, "boosted_ensembles", ensembles)]))
 
 
 @query("feature_importance")
 def q_feature_importance(spark, sf_dir):
     tr, _ = _split(spark, sf_dir)
-    m = ml.fit(tr, fe.ALL_FEATURES, ml.estimator("rf_graph"))
-    return ml.importances(m, fe.ALL_FEATURES).orderBy(F.col("importance").desc(), "feature")
+    m = fitted(spark, sf_dir, tr, ["rf_graph"])["rf_graph"]
+    return ml.importances(spark, m, fe.ALL_FEATURES).orderBy(F.col("importance").desc(), "feature")
+
+
+# fixed values: the order of the phases in the overall table
+PHASES = ["Baseline", "Graph-Enhanced", "Graph-ML", "v2-Baseline", "v2-Graph", "v2-PerRoute",
+          "v2-Ensemble", "v2-BEST"]
 
 
 @query("benchmark_table")
 def q_benchmark_table(spark, sf_dir):
-    """FLT7 + SRT2: the overall table, without models of one route type's slice, by RMSE."""
-    tr, te = _split(spark, sf_dir)
-    rows, dim = _base_and_graph(tr, te), 32
-    em = _embeddings(spark, sf_dir, dim)
-    tr2, te2 = emb.add_embeddings(tr, em, dim), emb.add_embeddings(te, em, dim)
-    cols = fe.ALL_FEATURES + [f"{e}_emb_{i}" for e in ("src", "dst") for i in range(dim)]
-    for kind, name in (("rf_emb", "Random Forest"), ("gbt_emb", "GBT")):
-        rows.append(ml.evaluate(ml.fit(tr2, cols, ml.estimator(kind)), te2,
-                                f"{name} + graph + embeddings", "Graph-ML"))
-    for kind, name, feats, phase in (("rf_v2", "RF v2", fe.ALL_FEATURES, "v2-Graph"),
-                                     ("hgb_base", "Hist GBT", fe.BASE_FEATURES, "v2-Baseline"),
-                                     ("hgb_graph", "Hist GBT + graph", fe.ALL_FEATURES,
-                                      "v2-Graph")):
-        rows.append(ml.evaluate(ml.fit(tr, feats, ml.estimator(kind)), te, name, phase))
-    route = ml.per_route(tr, te, fe.ALL_FEATURES)
-    stack = ml.stacking(tr, te, fe.ALL_FEATURES)
-    w, best = ml.best_blend(stack, route, [round(0.30 + 0.05 * i, 2) for i in range(10)])
-    for p, name, phase in ((route, "per-route GBT", "v2-PerRoute"),
-                           (stack, "3-fold stack → ridge", "v2-Ensemble"),
-                           (ml.blend(best, 0.5), "stack and per-route, halves", "v2-Ensemble"),
-                           (best, f"blend (w={w:.2f})", "v2-BEST")):
-        rows.append(ev.regression_metrics(p, model=name).withColumn("phase", F.lit(phase)))
-    return _union(rows).orderBy("rmse")
+    """FLT7 + SRT2: the overall table, without models of one route type's
+    slice, by phase and RMSE."""
+    def ensembles():
+        rows = _ensembles(spark, sf_dir, ml.STACK, {"histgbm": "per-route GBT"},
+                          [round(0.30 + 0.05 * i, 2) for i in range(10)],
+                          [(0.5, "stack and per-route, halves")])
+        phase = {"per-route GBT": "v2-PerRoute", "blend": "v2-BEST"}
+        return _union([m.withColumn("phase", F.lit(phase.get(label, "v2-Ensemble")))
+                       for label, m in rows])
+
+    v2 = [("rf_v2", "RF v2", "v2-Graph"), ("hgb_base", "Hist GBT", "v2-Baseline"),
+          ("hgb_graph", "Hist GBT + graph", "v2-Graph")]
+    rows = _union(ml.concurrently(spark, [
+        lambda: _base_and_graph(spark, sf_dir), lambda: _embedded(spark, sf_dir),
+        lambda: _evaluated(spark, sf_dir, "v2", v2),
+        lambda: _metrics(spark, sf_dir, "ensembles", ensembles)]))
+    order = F.array_position(F.array(*[F.lit(p) for p in PHASES]), F.col("phase"))
+    return rows.orderBy(order, "rmse", "model")
 
 
 @query("residual_sample")
 def q_residual_sample(spark, sf_dir):
     tr, te = _split(spark, sf_dir)
-    m = ml.fit(tr, fe.ALL_FEATURES, ml.estimator("hgb_graph"))
-    r = ev.residuals(m.transform(te), pred="prediction")
+    m = fitted(spark, sf_dir, tr, ["hgb_graph"])["hgb_graph"]
+    r = ev.residuals(ml.predict(m, te), pred="prediction")
     return ev.deterministic_sample(r.select("row_key", "route_type", "actual_time", "prediction",
                                             "residual"), 3000, ["row_key"])
 
@@ -1267,9 +1373,8 @@ def q_cluster_names(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- scoring
-def requests(spark, sf_dir) -> DataFrame:
-    """Scoring requests: the test-split shipments as ETA requests."""
-    c = cleaned(spark, sf_dir)
+def requests(c: DataFrame) -> DataFrame:
+    """Scoring requests: the cleaned test-split shipments as ETA requests."""
     return c.where(F.col("data") == "test").select(
         F.col("trip_uuid").alias("request_id"), "osrm_time", "osrm_distance",
         F.col("actual_distance_to_destination").alias("actual_distance"), "route_type", "hour",
@@ -1330,18 +1435,20 @@ SELECT trip_uuid AS request_id, osrm_time, osrm_distance,
   month, source_center, destination_center, cutoff_factor AS cutoff_factor0
 FROM cln WHERE data = 'test'""")))
 def q_score_features(spark, sf_dir):
-    _, nodes, enr = feature_inputs(spark, sf_dir)
-    reqs = requests(spark, sf_dir)
+    c, nodes, enr = feature_inputs(spark, sf_dir)
+    reqs = requests(c)
     sc.validate_requests(reqs)
     return sc.score_features(reqs, nodes, enr)
 
 
 @query("score_eta")
 def q_score_eta(spark, sf_dir):
+    """INF1/INF4/INF5: the route models are trained if the store lacks them;
+    scoring itself loads them and never fits."""
     tr, _ = _split(spark, sf_dir)
-    _, nodes, enr = feature_inputs(spark, sf_dir)
-    models = {rt: ml.fit(tr.where(F.col("route_type") == rt), fe.ALL_FEATURES,
-                         ml.estimator(kind))
-              for rt, kind in (("FTL", "hgb_ftl"), ("Carting", "hgb_carting"))}
-    feats = sc.score_features(requests(spark, sf_dir), nodes, enr)
-    return sc.score_eta(feats, models)
+    route_models(spark, sf_dir, tr)
+    models = ar.merged_models([model_store(spark, sf_dir)])
+    c, nodes, enr = feature_inputs(spark, sf_dir)
+    reqs = requests(c)
+    sc.validate_requests(reqs)
+    return sc.score_eta(sc.score_features(reqs, nodes, enr), models, "histgbm")

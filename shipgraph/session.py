@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.util import inheritable_thread_target
 
 
 def build_session(master: str | None = None, app: str = "shipgraph",
@@ -27,6 +30,7 @@ def build_session(master: str | None = None, app: str = "shipgraph",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.scheduler.mode": "FAIR",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     if shuffle_partitions:
@@ -65,3 +69,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss) into the shared folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def concurrently(spark: SparkSession, jobs: list[Callable], workers: int = 8) -> list:
+    """The jobs' results in order, their Spark jobs running side by side (each
+    thread has the session's properties, and a pool of its own under FAIR)."""
+    def alone(n_job):
+        n, job = n_job
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"side-{n % workers}")
+        return job()
+
+    with ThreadPoolExecutor(max_workers=max(1, min(workers, len(jobs)))) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(alone), enumerate(jobs)))

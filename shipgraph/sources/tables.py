@@ -16,6 +16,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
 
+# fixed values: the reference's columns
 RAW_COLUMNS = (
     "data", "trip_creation_time", "route_schedule_uuid", "route_type", "trip_uuid",
     "source_center", "source_name", "destination_center", "destination_name",
@@ -31,6 +32,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns=None) -> Dat
     return df.select(*columns) if columns else df
 
 
+def shipment_files(sf_dir: str) -> list[str]:
+    """The tables that the shipments view reads."""
+    return [f"{sf_dir.rstrip('/')}/{t}.parquet"
+            for t in ("lineitem", "orders", "customer", "supplier", "nation")]
+
+
 def facility_id(prefix: str, key: Column, width: int) -> Column:
     return F.concat(F.lit(prefix), F.lpad(key.cast("string"), width, "0"))
 
