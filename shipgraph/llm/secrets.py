@@ -5,8 +5,9 @@ Base kinds (contract): ``assign`` (a credential name, a separator, a value),
 kind ``entropy``: over each candidate string (a long run of key characters) a
 window slides; its Shannon entropy per character class is kept up to date by
 incremental counts, and windows above the class's threshold are joined to
-spans.  An allow-list (placeholders, UUIDs, paths, sequences, base spans)
-suppresses entropy spans only.
+spans.  An allow-list suppresses entropy spans only: candidates that are UUIDs,
+paths or numbers as a whole, spans with a placeholder or a sequence in them, and what
+lies in a base span.
 
 Defined results: null text is empty; empty and clean texts give zero counts
 and empty strings; repeated rows are scanned each on its own; columns of the
@@ -18,6 +19,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +46,16 @@ KEY[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 #: Window, and bits per character that each class of window has to reach.
 WINDOW = 20
 THRESHOLD = {"hex": 3.1, "alnum": 3.6, "base64": 3.8}
-ALLOWED = [re.compile(p) for p in (
-    r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|test[_-]?key",
+#: Harmless candidates as a whole: UUIDs, words joined by marks, numbers.
+HARMLESS = [re.compile(p) for p in (
     r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$",
     r"^[A-Za-z]+([-_/=+][A-Za-z]+)*$",
     r"^[0-9+/_=-]+$",
-    r"(?i)abcdefghij|0123456789|qwertyuiop",
 )]
+#: Placeholders and sequences inside a span.
+PLACEHOLDER = re.compile(
+    r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|test[_-]?key"
+    r"|abcdefghij|0123456789|qwertyuiop")
 PLOGP = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
@@ -97,7 +103,21 @@ def entropy_spans(s: str) -> list[tuple[int, int]]:
 
 
 def allowed(s: str) -> bool:
-    return any(p.search(s) for p in ALLOWED)
+    """Whether a candidate is harmless as a whole."""
+    return any(p.search(s) for p in HARMLESS)
+
+
+class Cover:
+    """Spans of one text, asked whether one of them holds another span."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        spans = sorted((x, y) for x, _, y in spans)
+        self.starts = [x for x, _ in spans]
+        self.ends = list(accumulate((y for _, y in spans), max))
+
+    def holds(self, a: int, b: int) -> bool:
+        i = bisect_right(self.starts, a)
+        return i > 0 and self.ends[i - 1] >= b
 
 
 FIELDS = T.StructType([
@@ -129,8 +149,11 @@ def scan(arr: pa.Array) -> list[pa.Array]:
         return sorted(set((np.searchsorted(off, np.array(at, np.int64), side="right") - 1)
                           .tolist()))
 
+    # code points before each byte: its continuation bytes start none
+    points = np.append(0, np.cumsum((data & 0xC0) != 0x80, dtype=np.int32))
+
     def place(d: int, byte: int) -> int:
-        return len(raw[off[d]:byte].decode())
+        return int(points[byte] - points[off[d]])
 
     for d in holding(NAMES, lower):
         text = raw[off[d]:off[d + 1]].decode()
@@ -144,14 +167,16 @@ def scan(arr: pa.Array) -> list[pa.Array]:
         for x, y, d in zip(*(v.tolist() for v in _long_runs(data, off, HEX, 16))):
             start = place(d, x)
             found[d].append((start, 2, start + y - x))
+        doc, base = -1, Cover([])
         for x, y, d in zip(*(v.tolist() for v in _long_runs(data, off, KEY, WINDOW))):
-            s = raw[x:y].decode()
-            if not allowed(s):
-                start = place(d, x)
-                base = [f for f in found[d] if f[1] < 3]
-                for a, b in entropy_spans(s):
-                    if not any(p <= start + a and start + b <= q for p, _, q in base):
-                        found[d].append((start + a, 3, start + b))
+            if d != doc:  # runs come by document; none of its entropy spans is in yet
+                doc, base = d, Cover(found[d])
+            s, start = raw[x:y].decode(), place(d, x)
+            if base.holds(start, start + y - x) or allowed(s):
+                continue
+            for a, b in entropy_spans(s):
+                if not (base.holds(start + a, start + b) or PLACEHOLDER.search(s, a, b)):
+                    found[d].append((start + a, 3, start + b))
     counts = np.zeros((4, n), np.int64)
     digests, joined = [], []
     for d, f in enumerate(found):
