@@ -40,19 +40,19 @@ NEXT_TO, SAME_CONTAINER = 0.4, 0.6
 #: Costs are log odds held within this bound.
 MOST_COST = 12.0
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""",
+# a tag ends at the next tag, too, so an unclosed one is read once
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)(?:>|(?=<))""",
                  re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 # fixed values: elements of HTML by their role
-RAW = frozenset("script style noscript template textarea iframe object svg canvas audio video "
-                "title select math".split())
+RAW = frozenset("script style noscript template textarea iframe title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt "
     "fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend "
     "li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 BOILERPLATE = frozenset("nav footer aside form button menu dialog fieldset legend label "
-                        "head".split())
+                        "head select".split())
 CONTENT = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BAD_NAMES = frozenset(
@@ -63,6 +63,13 @@ BAD_NAMES = frozenset(
     "breadcrumb breadcrumbs comment comments commentlist reply replies respond disqus widget "
     "widgets form search pagination pager copyright legal disclaimer toolbar contentinfo "
     "complementary".split())
+#: Bad names that say what an article inside is; the others name a layout around it.
+PASSED_ON = frozenset(
+    "ad ads advert adverts advertisement advertising promo promotion sponsor sponsored sponsors "
+    "related recommended recommendations comment comments commentlist reply replies respond "
+    "disqus".split())
+#: Class names that tell a state of the page, as in has-sidebar.
+STATE = re.compile(r"(?:has|with|without|no|is|js)-\S*")
 GOOD_NAMES = frozenset("article content post entry story main body text".split())
 
 FEATURES = ("one", "bad_tag", "bad_name", "in_content", "good_name", "words", "links",
@@ -76,6 +83,7 @@ class Element:
     number: int
     bad_tag: bool
     bad_name: bool
+    passed_on: bool
     in_content: bool
     good_name: bool
     hidden: bool
@@ -97,16 +105,18 @@ def element(tag: str, attributes: str, parent: Element | None, number: int) -> E
     for m in ATTRIBUTE.finditer(attributes) if attributes.strip() else ():
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key in ("class", "id", "role"):
-            names.update(re.split(r"[^a-z0-9]+", value))
+            names.update(re.split(r"[^a-z0-9]+", STATE.sub(" ", value)))
         hidden |= (key == "hidden" or key == "aria-hidden" and value == "true"
                    or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden",
                                                    value) is not None)
     up = parent
     inside = tag in CONTENT or bool(up and up.in_content)
     whole = tag in ("html", "body")  # a page-wide name says nothing about its parts
+    passed_on = not whole and bool(names & PASSED_ON) or bool(up and up.passed_on)
+    around = bool(up and up.bad_name) and tag not in CONTENT
     return Element(
         tag, number, tag in BOILERPLATE or bool(up and up.bad_tag),
-        not whole and bool(names & BAD_NAMES) or bool(up and up.bad_name), inside,
+        not whole and bool(names & BAD_NAMES) or around or passed_on, passed_on, inside,
         not whole and bool(names & GOOD_NAMES) or bool(up and up.good_name),
         hidden or bool(up and up.hidden),
         tag == "header" and not inside or bool(up and up.page_header),
@@ -268,6 +278,11 @@ def main_text(page: str, weights: np.ndarray) -> str:
     return " ".join(b.text for b, k in zip(found, keep) if k)
 
 
+#: Features that the fit learns; those of the markup, which the weak label is made of, keep
+#: their prior weight.
+LEARNED = [FEATURES.index(f) for f in ("one", "words", "links", "sentences", "heading", "item")]
+
+
 def weak_label(f: list[float]) -> float:
     """Content by the markup alone: in an article, and in nothing that isn't."""
     v = dict(zip(FEATURES, f))
@@ -276,7 +291,9 @@ def weak_label(f: list[float]) -> float:
 
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, hold: float = 2.0) -> np.ndarray:
     """Weights from a sample of pages that name their article; equal feature rows
-    are counted by Spark first.  ``hold`` ties the weights to PRIOR."""
+    are counted by Spark first.  The text's features alone are fitted to what the
+    markup says, so they can tell content on pages without such markup.
+    ``hold`` ties the weights to PRIOR."""
     small_batches(pages.sparkSession)
     n = pages.count()
     share = min(1.0, sample_pages / max(n, 1))
@@ -298,13 +315,15 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, hold: float = 2.0) -
     if not got:
         return w
     x = np.array([r["f"] for r in got])
-    x, y, c = x[:, :-1], x[:, -1], np.array([r["n"] for r in got], float)
+    x, y, c = x[:, LEARNED], x[:, -1], np.array([r["n"] for r in got], float)
     c *= 1000 / c.sum()
+    v, prior = PRIOR[LEARNED].copy(), PRIOR[LEARNED]
     for _ in range(25):  # Newton steps of logistic regression held near the prior
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (c * (p - y)) + hold * (w - PRIOR)
-        hess = (x * (c * p * (1 - p))[:, None]).T @ x + hold * np.eye(len(w))
-        w = w - np.linalg.solve(hess, grad)
+        p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
+        grad = x.T @ (c * (p - y)) + hold * (v - prior)
+        hess = (x * (c * p * (1 - p))[:, None]).T @ x + hold * np.eye(len(v))
+        v = v - np.linalg.solve(hess, grad)
+    w[LEARNED] = v
     return w
 
 
