@@ -233,8 +233,13 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """The documents whose language is identified (not ``und``), own columns only."""
+    """The documents whose language is identified, own columns only.  A text
+    without a letter has none; where no row has a lang to learn from, every text with a
+    letter stays, as nothing tells its language apart."""
     model = train(docs.where(~held_out()))
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc")
+    if not model.langs:
+        model = Model(["unknown language"], np.ones((1, 1)), np.zeros((BUCKETS, 1), np.float32),
+                      np.ones((1, 1)))
     found = predict(docs.select(own, F.col("text").alias("__text")), model, "__text")
     return found.where(F.col("lang_pred") != UNKNOWN).select("__doc.*")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -68,6 +69,63 @@ def test_entropy_counts_are_exact():
     assert {i for a, b in secrets.entropy_spans(s) for i in range(a, b)} == brute(s)
 
 
+def test_secrets_take_time_linear_in_the_text():
+    import time
+    lines = "\n".join(hashlib.sha256(str(i).encode()).hexdigest() + f"  é/file-{i}.bin"
+                      for i in range(16_000))
+    t = time.perf_counter()
+    got = [c.to_pylist()[0] for c in secrets.scan(pa.array([lines]))]
+    assert time.perf_counter() - t < 3
+    assert got[2] == 16_000
+    assert got[4] == hashlib.sha256(",".join(base_spans(lines)).encode()).hexdigest()
+
+
+def test_a_placeholder_hides_its_own_span_only():
+    key = "q7Rk2LmZx9TbV4nWc8YdPfG3"
+    spans = secrets.scan(pa.array([f"example/{'a' * 30}/{key}", "x7example9Rk2LmZx9TbV4nW"]))[5]
+    assert f":{len('example/') + 31}:" in spans[0].as_py() or "entropy" in spans[0].as_py()
+    assert "entropy" not in spans[1].as_py()
+
+
+def plain_decode(text, model, scale=4.0, sharpness=8.0):
+    """(language, score) by loops over n-grams, bits and languages."""
+    raw = (text or "").encode()
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    norm = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32
+                 for b in raw)
+    total, n = [0.0] * model.code.shape[1], 0
+    for size in langid.GRAMS:
+        for i in range(len(norm) - size + 1):
+            code = int.from_bytes(norm[i:i + size], "big")
+            at = (code + (size << 28)) * 2654435761 % (1 << 32) >> 17
+            n += 1
+            for b in range(len(total)):
+                total[b] += float(model.weights[at, b])
+    loss = [sum(model.trust[k, b] * np.log1p(np.exp(-scale * total[b] / max(n, 1)
+                                                    * model.code[k, b]))
+                for b in range(len(total))) for k in range(len(model.langs))]
+    best = int(np.argmin(loss))
+    return model.langs[best], 1 / sum(np.exp(-sharpness * (x - min(loss))) for x in loss)
+
+
+@needs_data
+def test_language_id_against_a_plain_decoder(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(d.where(~langid.held_out()))
+    got = {r["doc_id"]: r for r in langid.identified(d).collect()}
+    for r in d.where("length(text) < 3000 OR text IS NULL").collect():
+        lang, score = plain_decode(r["text"], model)
+        assert got[r["doc_id"]]["lang_pred"] == lang
+        assert abs(got[r["doc_id"]]["score"] - score) < 1e-4
+
+
+def test_without_labels_the_stage_keeps_every_text_with_a_letter(docs):
+    rows = [(i, f"some text {i}") for i in range(20)] + [(30, None), (31, "12 34"), (32, "")]
+    kept = langid.drop_unidentified(docs(rows))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(20))
+
+
 def test_codewords():
     for n in (2, 3, 4, 6, 12):
         m = langid.codewords(n)
@@ -125,6 +183,48 @@ def test_main_text():
     assert html_extract.main_text(plain, html_extract.PRIOR).startswith("A long sentence")
 
 
+SENTENCE = "A long sentence about things that happened here. "
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<div class="page has-sidebar"><article><p>{0}</p></article></div>', "{0}"),
+    ('<div class="layout sidebar"><main><p>{0}</p></main></div>', "{0}"),
+    ("<article><p>{0}<svg><path d='x'></p><p>After. {0}</p></article>", "{0}After. {0}"),
+    ("<article><p>{0}<math><mi>x</mi></math> end.</p><p>{0}</p></article>", "{0}x end. {0}"),
+    ("<article><p>{0}<object data=a><p>{0}</article>", "{0}{0}"),
+    ("<article><p>{0}<video src=a><p>{0}</article>", "{0}{0}"),
+    ("<article><p class='a' <b>{0}</b></p></article>", "{0}"),
+    ('<section id="comments"><article><p>{0}</p></article></section>', ""),
+])
+def test_no_article_text_is_lost(page, want):
+    got = html_extract.main_text(page.format(SENTENCE), html_extract.PRIOR)
+    assert got == " ".join(want.format(SENTENCE).split())
+
+
+def test_unclosed_quotes_take_linear_time():
+    import time
+    t = time.perf_counter()
+    html_extract.main_text('<a "' * 40_000 + "<b '" * 40_001, html_extract.PRIOR)
+    assert time.perf_counter() - t < 5
+
+
+@needs_data
+def test_pages_without_their_article_markup(spark):
+    """Words found and words kept wrongly, with the article's element renamed."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = html_extract.fit(pages)
+    found = kept = right = 0
+    for r in pages.collect():
+        p = Article()
+        p.feed(r["html"])
+        want = " ".join("".join(p.parts).split()).split()
+        bare = re.sub(r"<(/?)(?:article|main)\b[^>]*>", r"<\1div>", r["html"])
+        got = html_extract.main_text(bare, weights).split()
+        common = sum((Counter(want) & Counter(got)).values())
+        found, kept, right = found + len(want), kept + len(got), right + common
+    assert right >= 0.95 * found and right >= 0.95 * kept, (right, found, kept)
+
+
 def brute_cut(costs, ties):
     best = None
     for m in range(1 << len(costs)):
