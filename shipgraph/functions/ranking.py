@@ -12,13 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import cut_lineage
 
 
 def _sorted_with_pid(df: DataFrame, order: list[Column]) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
-    s = df.orderBy(*order).withColumn("_pid", F.spark_partition_id())
-    return s.checkpoint(eager=True)
+    return cut_lineage(df.orderBy(*order).withColumn("_pid", F.spark_partition_id()))
 
 
 def global_row_number(df: DataFrame, order: list[Column], name: str = "row_number") -> DataFrame:

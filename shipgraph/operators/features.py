@@ -165,9 +165,14 @@ def feature_store(cleaned: DataFrame, nodes: DataFrame, corridors: DataFrame,
     df = network_load(df)
     df = graph_features(df, nodes, corridors)
     df = risk_flags(df, risk_threshold(cleaned, nodes))
-    return df.select(*keys, TARGET,
-                     *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
-                       for c in ALL_FEATURES])
+    return df.select(*keys, TARGET, *feature_columns(df, ALL_FEATURES))
+
+
+def feature_columns(df: DataFrame, names: list[str]) -> list:
+    """PRJ12+PRJ13: the named features as doubles; NULL, and a column that ``df``
+    lacks, is 0.0."""
+    return [(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns
+             else F.lit(0.0)).alias(c) for c in names]
 
 
 def feature_correlation(features: DataFrame, columns: list[str] | None = None) -> DataFrame:

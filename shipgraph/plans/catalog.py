@@ -3,6 +3,7 @@ oracle per key.  Every query reads the driver tables of ``sf_dir``."""
 
 from __future__ import annotations
 
+import uuid
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -579,9 +580,10 @@ def q_node_features(spark, sf_dir):
                             region_communities(spark, sf_dir))
 
 
-@query("structural_risk", _wr("SELECT * FROM risk", *NODEF))
+@query("structural_risk", _wr("SELECT * FROM risk ORDER BY structural_risk_score DESC, facility",
+                              *NODEF))
 def q_structural_risk(spark, sf_dir):
-    return risk_nodes(spark, sf_dir)
+    return risk_nodes(spark, sf_dir).orderBy(F.desc("structural_risk_score"), "facility")
 
 
 # a second graph, whose nodes (suppliers) and edges grow with the data
@@ -1358,6 +1360,98 @@ def q_residual_sample(spark, sf_dir):
                                             "residual"), 3000, ["row_key"])
 
 
+# ---------------------------------------------------------------- records from CSV, fallbacks
+from ..sources import csv as sc_csv  # noqa: E402
+
+def faulty_csv(spark, sf_dir) -> str:
+    """The shipments as CSV files with faults by order number; their folder."""
+    o = F.substring("trip_uuid", 2, 20).cast("long")
+    s = shipments(spark, sf_dir)
+    texts = [F.date_format(c, sc_csv.DATE_FORMAT).alias(c) if c in sc_csv.DATES
+             else F.col(c).cast("string").alias(c) for c in RAW_COLUMNS]
+    s = s.select(*texts, o.alias("o"))
+    s = (s.withColumn("od_start_time", F.when(F.col("o") % 13 == 0, "no date")
+                      .when(F.col("o") % 17 == 0, "").otherwise(F.col("od_start_time")))
+          .withColumn("actual_time", F.when(F.col("o") % 19 == 0, "n/a")
+                      .otherwise(F.col("actual_time"))))
+    path = f"{ar.artefact_root(spark)}/csv-{uuid.uuid4().hex}"
+    s.drop("o").write.csv(path, header=True)
+    return path
+
+
+@query("csv_shipments", _w("""
+SELECT trip_uuid, destination_center,
+  CASE WHEN o % 19 <> 0 THEN actual_time END AS actual_time,
+  CASE WHEN o % 19 <> 0 THEN hour(t) END AS start_hour,
+  CASE WHEN o % 19 <> 0 THEN month(t) END AS start_month,
+  CASE WHEN o % 19 = 0 THEN 'actual_time is not a number' END AS reason
+FROM (SELECT *, try_cast(CASE WHEN o % 13 = 0 THEN 'no date' WHEN o % 17 = 0 THEN ''
+                              ELSE CAST(od_start_time AS VARCHAR) END AS TIMESTAMP) AS t
+      FROM (SELECT *, CAST(substr(trip_uuid, 2) AS BIGINT) AS o FROM ship))""", *COARSE[:1]))
+def q_csv_shipments(spark, sf_dir):
+    """SRC1 from CSV: kept and quarantined rows together."""
+    good, bad = sc_csv.read_shipments_csv(spark, faulty_csv(spark, sf_dir))
+    none = F.lit(None)
+    return good.select(
+        "trip_uuid", "destination_center", "actual_time",
+        F.hour("od_start_time").alias("start_hour"), F.month("od_start_time").alias("start_month"),
+        none.cast("string").alias("reason")).unionByName(bad.select(
+            "trip_uuid", "destination_center", none.cast("double").alias("actual_time"),
+            none.cast("int").alias("start_hour"), none.cast("int").alias("start_month"),
+            "reason"))
+
+
+@query("sample_summary", _w("""
+SELECT is_sample, count(*) AS n_rows, count(DISTINCT trip_uuid) AS n_trips,
+  max(actual_time) AS max_actual_time
+FROM (SELECT false AS is_sample, * FROM ship
+      UNION ALL SELECT true, * FROM ship WHERE substr(md5(trip_uuid), 1, 2) < '08')
+GROUP BY is_sample""", *COARSE[:1]))
+def q_sample_summary(spark, sf_dir):
+    """SRC3: the report on the full records, and on the sample that is read where they lack."""
+    root = f"{ar.artefact_root(spark)}/records-{uuid.uuid4().hex}"
+    s = shipments(spark, sf_dir).select("trip_uuid", "actual_time")
+    s.write.parquet(f"{root}/full")
+    sc_csv.hash_sample(s).write.parquet(f"{root}/sample")
+    both = _union([sc_csv.shipments_or_sample(spark, f"{root}/{name}", f"{root}/sample")
+                   for name in ("full", "missing")])
+    return both.groupBy("is_sample").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("trip_uuid").alias("n_trips"),
+        F.max("actual_time").alias("max_actual_time"))
+
+
+@query("clean_strategies", _w("""
+SELECT 'none' AS strategy, count(*) AS n_rows, max(actual_time) AS max_actual_time
+FROM der WHERE osrm_time > 0
+UNION ALL SELECT 'winsorize', count(*), max(least(actual_time, cap))
+FROM der JOIN q USING (route_type) WHERE osrm_time > 0
+UNION ALL SELECT 'drop', count(*), max(actual_time)
+FROM der JOIN q USING (route_type) WHERE osrm_time > 0 AND actual_time <= cap""", *COARSE,
+    ("q", "SELECT route_type, quantile_cont(actual_time, 0.99) AS cap FROM der "
+          "WHERE osrm_time > 0 GROUP BY route_type")))
+def q_clean_strategies(spark, sf_dir):
+    """CLN3: rows and greatest time under each strategy."""
+    d = derived(spark, sf_dir)
+    return _union([cl.clean_shipments(d, s, impute_cutoff=False).agg(
+        F.lit(s).alias("strategy"), F.count(F.lit(1)).alias("n_rows"),
+        F.max("actual_time").alias("max_actual_time")) for s in ("none", "winsorize", "drop")])
+
+
+@query("delay_density_by_route", _w(
+    _hist_sql("der", "delay_ratio", 0.0, 8.0, 40, by="route_type", density=True), *COARSE))
+def q_delay_density(spark, sf_dir):
+    return pf.histogram(derived(spark, sf_dir), "delay_ratio", 0.0, 8.0, 40, by="route_type",
+                        density=True)
+
+
+@query("breach_labels", _w("""
+SELECT route_type, CAST(round(avg(CAST(is_sla_breach AS DOUBLE)) * 100, 1) AS VARCHAR) || '%'
+  AS breach_label FROM der GROUP BY route_type""", *COARSE))
+def q_breach_labels(spark, sf_dir):
+    return pf.rate_by(derived(spark, sf_dir), "route_type").select(
+        "route_type", sc_csv.percent_text(F.col("sla_breach_rate") * 100).alias("breach_label"))
+
+
 def _delayed_fine(spark, sf_dir):
     return co.delayed_corridors(corridors(spark, sf_dir, "fine"))
 

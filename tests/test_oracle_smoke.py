@@ -10,7 +10,9 @@ from oracle_check import compare, duck
 
 SF = "/root/testdata/sf0.001"
 KEYS = ["corridor_stats", "facility_stats", "data_quality", "sla_clarification",
-        "blend_search", "pagerank", "leakage_audit", "supplier_degrees"]
+        "blend_search", "pagerank", "leakage_audit", "supplier_degrees", "csv_shipments",
+        "sample_summary", "clean_strategies", "delay_density_by_route", "breach_labels",
+        "iqr_outliers", "hub_upgrade_whatif", "score_features"]
 
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="driver test data not present")
