@@ -1260,10 +1260,28 @@ def q_per_route_eval(spark, sf_dir):
 STACK_NAMES = {ml.STACK: "3-fold stack → ridge", ml.STACK_BOOSTED: "3-fold stack of five → ridge"}
 
 
+def _stack(spark, sf_dir, train, kinds):
+    """The stack of the kinds on the bounded rows; its fold models are stored, so
+    stacks share those of their common kinds."""
+    store = model_store(spark, sf_dir)
+
+    def fold_model(rows, features, kind, fold):
+        label = f"{kind}-fold{fold}"
+        with ar.alone(f"{store.path}/{label}"):
+            if label in store.names():
+                return store.load(label)
+            model = ml.fit(rows, features, kind)
+            store.save(label, model, kind=kind, fold=fold, features=features)
+            return model
+
+    return ml.stacking(_fit_rows(spark, sf_dir, train), fe.ALL_FEATURES, kinds,
+                       fit_fold=fold_model)
+
+
 def _stacked(spark, sf_dir, kinds):
-    """The test split with the stack's prediction (fitted on the bounded rows)."""
+    """The test split with the stack's prediction."""
     tr, te = _split(spark, sf_dir)
-    return ml.stacking(_fit_rows(spark, sf_dir, tr), fe.ALL_FEATURES, kinds)(te, "stack")
+    return _stack(spark, sf_dir, tr, kinds)(te, "stack")
 
 
 @query("stacking_eval")
@@ -1280,7 +1298,7 @@ def _ensembles(spark, sf_dir, kinds, routes: dict, grid, fixed=(), name="blend")
     families, their blends at fixed weights and at the best weight of the grid."""
     tr, te = _split(spark, sf_dir)
     stack, *by_family = ml.concurrently(spark, [
-        lambda: ml.stacking(_fit_rows(spark, sf_dir, tr), fe.ALL_FEATURES, kinds),
+        lambda: _stack(spark, sf_dir, tr, kinds),
         *[lambda f=f: route_models(spark, sf_dir, tr, f) for f in routes]])
     p = stack(te, "stack")
     for f, models in zip(routes, by_family):
