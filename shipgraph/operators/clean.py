@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.broadcast import small
@@ -17,8 +17,9 @@ SEVERE_RATIO = 2.0
 
 def winsorize_by_group(df: DataFrame, target_col: str, group_col: str,
                        lower_pct: float | None = 0.01, upper_pct: float | None = 0.99,
-                       method: str = "distributed") -> DataFrame:
+                       method: str = "distributed", stats: DataFrame | None = None) -> DataFrame:
     """Clip ``target_col`` to per-group quantile bounds (NULLs stay NULL).
+    The bounds are those of the rows of ``stats``, by default of ``df``.
 
     The bounds are one row per group; they are broadcast when their counted
     size is within the session's threshold, so ``df`` isn't shuffled on a key
@@ -31,7 +32,7 @@ def winsorize_by_group(df: DataFrame, target_col: str, group_col: str,
         specs.append((target_col, upper_pct, "_hi"))
     if not specs:
         return df.withColumn(target_col, F.col(target_col).cast("double"))
-    bounds = group_quantiles(df, [group_col], specs, method=method)
+    bounds = group_quantiles(df if stats is None else stats, [group_col], specs, method=method)
     x = F.col(target_col).cast("double")
     capped = clip(x, F.col("_lo") if lower_pct is not None else None,
                   F.col("_hi") if upper_pct is not None else None)
@@ -42,23 +43,27 @@ def winsorize_by_group(df: DataFrame, target_col: str, group_col: str,
 
 def clean_shipments(derived: DataFrame, strategy: str = "winsorize",
                     cap_pct: float = 0.99, impute_cutoff: bool = True,
-                    method: str = "distributed") -> DataFrame:
+                    method: str = "distributed", stats_where: Column | str | None = None) -> DataFrame:
     """Canonical cleaning: drop non-positive plans, cap actual_time at the
     per-route-type ``cap_pct`` quantile (upper side only), recompute the ratio,
-    fill a missing cutoff with the median, drop leaky columns."""
+    fill a missing cutoff with the median, drop leaky columns.  Quantiles and
+    median are those of the rows where ``stats_where`` holds (all by default)."""
+    def known(rows: DataFrame) -> DataFrame:
+        return rows if stats_where is None else rows.where(stats_where)
+
     df = derived.where(F.col("osrm_time") > 0)
     if strategy == "winsorize":
         df = recompute_ratio(winsorize_by_group(df, "actual_time", "route_type",
-                                                None, cap_pct, method))
+                                                None, cap_pct, method, known(df)))
     elif strategy == "drop":
-        caps = group_quantiles(df, ["route_type"], [("actual_time", cap_pct, "_cap")],
+        caps = group_quantiles(known(df), ["route_type"], [("actual_time", cap_pct, "_cap")],
                                method=method)
         df = df.join(small(caps), "route_type").where(F.col("actual_time") <= F.col("_cap")) \
                .drop("_cap")
     elif strategy != "none":
         raise ValueError(f"strategy must be winsorize, drop or none, got {strategy!r}")
     if impute_cutoff:
-        med = global_quantiles(df, [("cutoff_factor", 0.5, "_cut_med")], method=method)
+        med = global_quantiles(known(df), [("cutoff_factor", 0.5, "_cut_med")], method=method)
         df = (df.crossJoin(F.broadcast(med))   # one row by construction
                 .withColumn("cutoff_factor", F.coalesce("cutoff_factor", "_cut_med"))
                 .drop("_cut_med"))

@@ -58,12 +58,13 @@ def base_features(df: DataFrame) -> DataFrame:
             .withColumn("month_cos", F.cos(two_pi * F.col("month") / 12)))
 
 
-def network_load(df: DataFrame) -> DataFrame:
-    """FEA6/JN7/AGG27: trips in the row's hour, normalised by the busiest hour.
+def network_load(df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """FEA6/JN7/AGG27: trips in the row's hour, normalised by the busiest hour,
+    counted over the rows of ``stats`` (by default of ``df``).
     The hourly table has at most 25 rows (24 hours + unknown), so it is
     broadcast; its maximum is folded in by a window over those rows."""
     from pyspark.sql import Window
-    hv = (df.where(F.col("hour").isNotNull()).groupBy("hour")
+    hv = ((df if stats is None else stats).where(F.col("hour").isNotNull()).groupBy("hour")
             .agg(F.count("trip_uuid").alias("network_load_hour")))
     hv = hv.withColumn("_max", F.max("network_load_hour").over(Window.partitionBy()))
     j = df.join(F.broadcast(hv), "hour", "left")
@@ -156,15 +157,22 @@ def risk_flags(df: DataFrame, threshold: float | DataFrame | None = None) -> Dat
 
 def feature_store(cleaned: DataFrame, nodes: DataFrame, corridors: DataFrame,
                   keys=("trip_uuid", "data", "route_type", "source_center",
-                        "destination_center")) -> DataFrame:
-    """FEA10: cleaned shipments → 49 features (+ keys and target), NULL → 0."""
-    med = global_quantiles(cleaned, [("cutoff_factor", 0.5, "_cf")], method="distributed")
+                        "destination_center"), stats: DataFrame | None = None) -> DataFrame:
+    """FEA10: cleaned shipments → 49 features (+ keys and target), NULL → 0.
+
+    Medians, hourly load and the risk threshold are those of the rows of
+    ``stats``, by default of ``cleaned``.  With training rows there, and node and
+    corridor tables built from them alone, no feature of any row depends on a
+    target outside the training rows.  Hours that no training row has have load 0;
+    facilities and corridors that none has get the tables' medians."""
+    stats = cleaned if stats is None else stats
+    med = global_quantiles(stats, [("cutoff_factor", 0.5, "_cf")], method="distributed")
     df = (cleaned.crossJoin(F.broadcast(med))
                  .withColumn("cutoff_factor", F.coalesce("cutoff_factor", "_cf")).drop("_cf"))
     df = base_features(df)
-    df = network_load(df)
+    df = network_load(df, stats)
     df = graph_features(df, nodes, corridors)
-    df = risk_flags(df, risk_threshold(cleaned, nodes))
+    df = risk_flags(df, risk_threshold(stats, nodes))
     return df.select(*keys, TARGET, *feature_columns(df, ALL_FEATURES))
 
 

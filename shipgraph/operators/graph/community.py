@@ -9,12 +9,15 @@ the modularity is taken back; instead only moves are made that are the best
 one of both communities they touch.  Such moves share no community, so their
 gains add up: every step raises the modularity, and sweeps end when a whole
 one moves nothing.  Communities then become super-nodes and the procedure
-repeats until a level moves nothing.
+repeats until a level moves nothing.  Merged levels can leave single nodes
+that would gain elsewhere, so nodes then move again from the communities found,
+and levels follow again, until the nodes stay where they are:
+:func:`certificate` tells the largest gain that is left to any single move.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.ranking import global_row_number
@@ -48,41 +51,50 @@ def _quality(adj: DataFrame, label: DataFrame, m: float, resolution: float, n: i
     return r["w"] / (2 * m) - resolution * r["t"] / (4 * m * m)
 
 
-def _local_moving(und: DataFrame, m: float, loop: Loop, resolution: float,
-                  max_sweeps: int | None) -> tuple[DataFrame, bool]:
-    """One Louvain level of parallel local moving, until no node gains by moving.
+def _best_moves(adj: DataFrame, label: DataFrame, n: int, m: float, resolution: float,
+                mine: Column | None = None) -> DataFrame:
+    """(i, own, to, gain): the best move to another neighbouring community of each
+    node where ``mine`` holds, whatever it gains.
 
     Moving node i from D to C gains ΔQ = (w_iC − w_iD)/m − γ k_i (tot_C − tot_D + k_i)/(2m²),
     so per node it suffices to compare max_C [w_iC/m − γ k_i tot_C/(2m²)] with the stay
     score w_iD/m − γ k_i (tot_D − k_i)/(2m²): one aggregation over (i, C) rows.
     """
+    g = resolution / (2 * m * m)
+    tot = label.groupBy("c").agg(F.sum("k").alias("tot"))
+    me = bounded((label if mine is None else label.where(mine)).select("i", F.col("c").alias("own"), "k")
+                 .join(tot.select(F.col("c").alias("own"), F.col("tot").alias("tot_own")),
+                       "own"), n)
+    nb = (adj.join(me, "i").join(bounded(label.select(F.col("i").alias("j"), "c"), n), "j")
+          .groupBy("i", "c", "own", "k", "tot_own").agg(F.sum("weight").alias("w_ic")))
+    cand = nb.join(bounded(tot, n), "c")
+    move_score = F.col("w_ic") / m - g * F.col("k") * F.col("tot")
+    stay_score = F.col("w_ic") / m - g * F.col("k") * (F.col("tot_own") - F.col("k"))
+    other = F.col("c") != F.col("own")
+    best = cand.groupBy("i", "own", "k", "tot_own").agg(
+        F.max_by(F.when(other, F.col("c")),
+                 F.struct(F.when(other, move_score), -F.hash("c"))).alias("to"),
+        F.max(F.when(other, move_score)).alias("best"),
+        F.max(F.when(~other, stay_score)).alias("stay"))
+    stay0 = -g * F.col("k") * (F.col("tot_own") - F.col("k"))
+    return best.where("to IS NOT NULL").select(
+        "i", "own", "to", (F.col("best") - F.coalesce("stay", stay0)).alias("gain"))
+
+
+def _local_moving(und: DataFrame, m: float, loop: Loop, resolution: float,
+                  max_sweeps: int | None, start: DataFrame | None = None
+                  ) -> tuple[DataFrame, bool]:
+    """One Louvain level of parallel local moving, until no node gains by moving,
+    from the communities (i, c) of ``start`` or from each node alone."""
     adj = loop.hold(_symmetric(und))
     k = loop.hold(_strength(und))
     n = k.count()
-    label = loop.hold(k.select("i", F.col("i").alias("c"), "k"))
-    g = resolution / (2 * m * m)
+    label = loop.hold(k.select("i", F.col("i").alias("c"), "k") if start is None
+                      else k.join(start, "i").select("i", "c", "k"))
 
     def gains(label: DataFrame, mine) -> DataFrame:
-        """(i, own, to, gain): each node's best move, where it gains."""
-        tot = label.groupBy("c").agg(F.sum("k").alias("tot"))
-        me = bounded(label.where(mine).select("i", F.col("c").alias("own"), "k")
-                     .join(tot.select(F.col("c").alias("own"), F.col("tot").alias("tot_own")),
-                           "own"), n)
-        nb = (adj.join(me, "i").join(bounded(label.select(F.col("i").alias("j"), "c"), n), "j")
-              .groupBy("i", "c", "own", "k", "tot_own").agg(F.sum("weight").alias("w_ic")))
-        cand = nb.join(bounded(tot, n), "c")
-        move_score = F.col("w_ic") / m - g * F.col("k") * F.col("tot")
-        stay_score = F.col("w_ic") / m - g * F.col("k") * (F.col("tot_own") - F.col("k"))
-        other = F.col("c") != F.col("own")
-        best = cand.groupBy("i", "own", "k", "tot_own").agg(
-            F.max_by(F.when(other, F.col("c")),
-                     F.struct(F.when(other, move_score), -F.hash("c"))).alias("to"),
-            F.max(F.when(other, move_score)).alias("best"),
-            F.max(F.when(~other, stay_score)).alias("stay"))
-        stay0 = -g * F.col("k") * (F.col("tot_own") - F.col("k"))
-        return (best.where("to IS NOT NULL")
-                .select("i", "own", "to", (F.col("best") - F.coalesce("stay", stay0)).alias("gain"))
-                .where(F.col("gain") > 1e-12))
+        """Each node's best move, where it gains."""
+        return _best_moves(adj, label, n, m, resolution, mine).where(F.col("gain") > 1e-12)
 
     def moved_by(label: DataFrame, moves: DataFrame) -> DataFrame:
         # a checkpoint each time: plans that use a labelling several times would nest
@@ -132,22 +144,37 @@ def communities(edges: DataFrame, max_sweeps: int | None = None, resolution: flo
     m = und.agg(F.sum("weight")).first()[0] or 0.0
     nodes = vertices(edges)
     assign = loop.hold(nodes.select("facility", F.col("facility").alias("c")))
-    level_edges = und
-    while m > 0:
-        lab, moved = _local_moving(level_edges, m, loop, resolution, max_sweeps)
-        if not moved:
-            break
-        assign = loop.hold(assign.join(lab.withColumnRenamed("c", "c2"),
-                                       assign.c == lab.i, "left")
-                                 .select("facility", F.coalesce("c2", "c").alias("c")))
-        # collapse communities into super-nodes for the next level
+
+    def relabelled(col: str, lab: DataFrame) -> DataFrame:
+        new = lab.withColumnRenamed("c", "c2")
+        return loop.hold(assign.join(new, assign[col] == new.i, "left")
+                               .select("facility", F.coalesce("c2", "c").alias("c")))
+
+    def collapsed(level: DataFrame, lab: DataFrame) -> DataFrame:
+        """The edges between communities as super-nodes."""
         a = lab.select(F.col("i").alias("_x"), F.col("c").alias("_cx"))
         b = lab.select(F.col("i").alias("_y"), F.col("c").alias("_cy"))
-        level_edges = loop.hold(
-            level_edges.join(a, level_edges.u == a._x).join(b, level_edges.v == b._y)
+        return loop.hold(
+            level.join(a, level.u == a._x).join(b, level.v == b._y)
             .select(F.least("_cx", "_cy").alias("u"), F.greatest("_cx", "_cy").alias("v"),
                     "weight")
             .groupBy("u", "v").agg(F.sum("weight").alias("weight")))
+
+    while m > 0:
+        lab, moved = _local_moving(und, m, loop, resolution, max_sweeps,
+                                   assign.withColumnRenamed("facility", "i"))
+        if not moved:
+            break
+        assign = relabelled("facility", lab)
+        level, merged = und, False
+        while True:
+            level = collapsed(level, lab)
+            lab, moved = _local_moving(level, m, loop, resolution, max_sweeps)
+            if not moved:
+                break
+            assign, merged = relabelled("c", lab), True
+        if not merged:   # the nodes' own moves were the last ones
+            break
     sizes = assign.groupBy("c").agg(F.count(F.lit(1)).alias("_size"),
                                     F.min("facility").alias("_first"))
     ids = global_row_number(sizes, [F.col("_size").desc(), F.col("_first").asc()], "_rn")
@@ -155,6 +182,44 @@ def communities(edges: DataFrame, max_sweeps: int | None = None, resolution: flo
                   .select("facility", "community_id"))
 
 
+def certificate(edges: DataFrame, assignment: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """One row of facts on an assignment (facility, community_id):
+
+    n_nodes and n_assigned (nodes with a community), n_communities, dense_ids (ids
+    run from 0 without a gap), sizes_fall (no community is larger than one of a
+    lower id), largest_gain (the most that any single node's move to a neighbouring
+    community would raise the modularity; 0 or less where all are settled),
+    quality and quality_alone (modularity of the assignment, and of each node alone).
+    """
+    loop, spark = Loop(), edges.sparkSession
+    und = loop.hold(undirected(edges.select("src", "dst", "weight")))
+    m = und.agg(F.sum("weight")).first()[0] or 0.0
+    nodes = vertices(edges).withColumnRenamed("facility", "i")
+    given = assignment.select(F.col("facility").alias("i"), F.col("community_id").alias("c"))
+    label = loop.hold(nodes.join(given, "i", "left").join(_strength(und), "i", "left")
+                      .select("i", "c", F.coalesce("k", F.lit(0.0)).alias("k")))
+    n, n_assigned = label.agg(F.count(F.lit(1)), F.count("c")).first()
+    known = label.where("c IS NOT NULL")
+    gain, quality, alone = 0.0, None, None
+    if m > 0:
+        adj = loop.hold(_symmetric(und))
+        gain = _best_moves(adj, known, n, m, resolution).agg(F.max("gain")).first()[0] or 0.0
+        # a loop's weight stays inside its community, whichever that is
+        loops = und.where("u = v").agg(F.sum("weight")).first()[0] or 0.0
+        quality, alone = (_quality(adj, x, m, resolution, n) + loops / m for x in (
+            known, known.withColumn("c", F.col("i"))))
+    sizes = loop.hold(known.groupBy("c").agg(F.count(F.lit(1)).alias("size")))
+    last = sizes.select((F.col("c") + 1).alias("c"), F.col("size").alias("_before"))
+    f = sizes.agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"),
+                  F.max("c").alias("hi")).first()
+    fall = sizes.join(last, "c").where("size > _before").isEmpty()
+    dense = f["n"] == 0 or f["lo"] == 0 and f["hi"] == f["n"] - 1
+    return spark.createDataFrame(
+        [(n, n_assigned, f["n"], dense, fall, float(gain), quality, alone)],
+        "n_nodes long, n_assigned long, n_communities long, dense_ids boolean, "
+        "sizes_fall boolean, largest_gain double, quality double, quality_alone double")
+
+
 def modularity(edges: DataFrame, assignment: DataFrame, resolution: float = 1.0) -> DataFrame:
     """Newman modularity of a node → community assignment on the undirected
     projection: Σ_c L_c/m − γ (d_c / 2m)²  (one row, column ``modularity``)."""

@@ -616,6 +616,18 @@ def q_supplier_hits(spark, sf_dir):
     return gp.hits(chain_edges(spark, sf_dir), tol=TIGHT)
 
 
+@query("supplier_closeness", _wr(O.closeness_sql("dist", "nodes"), *CHAIN,
+                                 *O.apsp_ctes("e", "nodes")))
+def q_supplier_closeness(spark, sf_dir):
+    return gpaths.closeness(chain_edges(spark, sf_dir))
+
+
+@query("supplier_betweenness", _wr("SELECT * FROM btw", *CHAIN, *O.apsp_ctes("e", "nodes"),
+                                   *O.betweenness_ctes("e", "nodes")))
+def q_supplier_betweenness(spark, sf_dir):
+    return gpaths.betweenness(chain_edges(spark, sf_dir))
+
+
 @query("leakage_audit", _w(" UNION ALL ".join(f"""
 SELECT '{c}' AS "column", round(corr({c}, actual_time), 6) AS correlation,
   CASE WHEN abs(round(corr({c}, actual_time), 6)) >= 0.95 THEN 'HIGH'
@@ -727,6 +739,35 @@ def q_communities(spark, sf_dir):
     return cm.communities(base_edges(spark, sf_dir))
 
 
+# what holds for any settled communities, whichever they are
+CERTIFICATE_SQL = """
+SELECT n AS n_nodes, n AS n_assigned, yes AS dense_ids, yes AS sizes_fall, yes AS settled,
+  yes AS no_worse_than_alone FROM (SELECT count(*) AS n, CAST(1 AS BIGINT) AS yes FROM nodes)"""
+
+
+def _certified(edges: DataFrame) -> DataFrame:
+    e = cut_lineage(edges)
+    return cm.certificate(e, cm.communities(e)).select(
+        "n_nodes", "n_assigned", "dense_ids", "sizes_fall",
+        (F.col("largest_gain") <= 1e-11).alias("settled"),
+        (F.col("quality") >= F.col("quality_alone") - 1e-12).alias("no_worse_than_alone"))
+
+
+@query("community_certificate", _w(CERTIFICATE_SQL, *GRAPH))
+def q_community_certificate(spark, sf_dir):
+    return _certified(base_edges(spark, sf_dir))
+
+
+@query("supplier_communities")
+def q_supplier_communities(spark, sf_dir):
+    return cm.communities(chain_edges(spark, sf_dir))
+
+
+@query("supplier_community_certificate", _w(CERTIFICATE_SQL, *CHAIN))
+def q_supplier_community_certificate(spark, sf_dir):
+    return _certified(chain_edges(spark, sf_dir))
+
+
 @query("community_summary")
 def q_community_summary(spark, sf_dir):
     e = base_edges(spark, sf_dir)
@@ -737,31 +778,51 @@ def q_community_summary(spark, sf_dir):
 from ..operators import features as fe  # noqa: E402
 
 
-def feature_inputs(spark, sf_dir, community=None):
+TRAINING = "data = 'training'"
+
+
+def feature_inputs(spark, sf_dir, community=None, stats_from="all"):
     """Canonical order: clean → corridors → graph + centralities → node risk →
     corridor enrichment.  The cleaned rows, the node table and the corridor
     table are each written once per content of the input (with the fixed
-    communities), so queries and requests read them instead of building them."""
+    communities, or those detected where ``community`` is 'detected'), so queries
+    and requests read them instead of building them.
+
+    ``stats_from='all'`` takes all rows' statistics, as the reference does, so
+    that test targets reach the features; 'train' takes caps, corridors, graph
+    and nodes from the training rows alone."""
+    if stats_from not in ("all", "train"):
+        raise ValueError(f"stats_from must be all or train, got {stats_from!r}")
     files = shipment_files(sf_dir)
-    c = ar.table(spark, "cleaned", files, lambda: cleaned(spark, sf_dir))
+    kind = {} if stats_from == "all" else {"stats_from": stats_from}
+    c = ar.table(spark, "cleaned", files, lambda: cl.clean_shipments(
+        derived(spark, sf_dir), impute_cutoff=False,
+        stats_where=TRAINING if kind else None), kind)
+    known = c.where(TRAINING) if kind else c
 
     def build_nodes(comm):
-        corr = co.corridor_stats(c)
-        cent = rk.node_centrality(ge.corridor_edges(corr), pagerank_tol=TIGHT, hits_tol=TIGHT)
-        return rk.structural_risk(rk.node_features(cent, fa.facility_stats(c), comm))
-
-    if community is not None:
+        edges = ge.corridor_edges(co.corridor_stats(known))
+        if comm is None:
+            edges = cut_lineage(edges)
+            comm = cm.communities(edges)
+        cent = rk.node_centrality(edges, pagerank_tol=TIGHT, hits_tol=TIGHT)
+        return rk.structural_risk(rk.node_features(cent, fa.facility_stats(known), comm))
+
+    if isinstance(community, DataFrame):
         nodes = cut_lineage(build_nodes(community))
-        return c, nodes, cut_lineage(rk.corridor_enriched(co.corridor_stats(c), nodes))
-    nodes = ar.table(spark, "clean_nodes", files,
-                     lambda: build_nodes(region_communities(spark, sf_dir)))
-    return c, nodes, ar.table(spark, "clean_corridors", files,
-                              lambda: rk.corridor_enriched(co.corridor_stats(c), nodes))
+        return c, nodes, cut_lineage(rk.corridor_enriched(co.corridor_stats(known), nodes))
+    if community not in (None, "detected"):
+        raise ValueError(f"community must be a table or 'detected', got {community!r}")
+    settings = kind | ({"community": community} if community else {})
+    nodes = ar.table(spark, "clean_nodes", files, lambda: build_nodes(
+        None if community else region_communities(spark, sf_dir)), settings)
+    return c, nodes, ar.table(spark, "clean_corridors", files, lambda: rk.corridor_enriched(
+        co.corridor_stats(known), nodes), settings)
 
 
-def features(spark, sf_dir, community=None) -> DataFrame:
-    c, nodes, enr = feature_inputs(spark, sf_dir, community)
-    return fe.feature_store(c, nodes, enr)
+def features(spark, sf_dir, community=None, stats_from="all") -> DataFrame:
+    c, nodes, enr = feature_inputs(spark, sf_dir, community, stats_from)
+    return fe.feature_store(c, nodes, enr, stats=c if stats_from == "all" else c.where(TRAINING))
 
 
 CLEAN_GRAPH = [*O.base_ctes("coarse", clean=True, corridor=True), BASE_EDGES, BASE_NODES]
@@ -776,6 +837,21 @@ def q_feature_store(spark, sf_dir):
     return features(spark, sf_dir)
 
 
+TRAIN_FEAT_CTES = (
+    [*O.base_ctes("coarse"), ("cln", O.CLEAN_BY_TRAINING.format(src="der")),
+     ("trn", "SELECT * FROM cln WHERE data = 'training'"),
+     ("corr", O.CORRIDOR.format(src="trn")), BASE_EDGES, BASE_NODES]
+    + O.centrality_ctes("e", "nodes", UNROLLED)
+    + [("fac", O.FACILITY.format(src="trn")), ("comm", O.REGION_COMMUNITY),
+       ("nf", O.NODE_FEATURES), ("risk", O.RISK), ("enr", ENRICHED_SQL),
+       ("feat", O.feature_store_sql(stats="training"))])
+
+
+@query("feature_store_train", _wr("SELECT * FROM feat", *TRAIN_FEAT_CTES))
+def q_feature_store_train(spark, sf_dir):
+    return features(spark, sf_dir, stats_from="train")
+
+
 BASE_FEAT_COLS = ["trip_uuid", "route_type", "route_type_enc", "log_osrm_time", "log_osrm_dist",
                   "log_distance", "osrm_speed", "dist_time_ratio", "hour_sin", "hour_cos",
                   "dow_sin", "dow_cos", "month_sin", "month_cos"]

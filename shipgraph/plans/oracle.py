@@ -100,6 +100,9 @@ JOIN (SELECT route_type, quantile_cont(actual_time, 0.99) AS cap
       FROM {src} WHERE osrm_time > 0 GROUP BY route_type) q
   ON d.route_type = q.route_type
 """
+# the same with the quantiles of the training rows
+CLEAN_BY_TRAINING = CLEAN.replace("WHERE osrm_time > 0 GROUP",
+                                  "WHERE osrm_time > 0 AND data = 'training' GROUP")
 
 
 def ctes(*pairs) -> str:
@@ -303,8 +306,11 @@ FROM nf n, LATERAL (SELECT
         FROM nf) m)"""
 
 
-def feature_store_sql(src: str = "cln", nodes: str = "risk", corr: str = "enr") -> str:
-    """FEA10 in SQL: same formulas as ``operators.features.feature_store``."""
+def feature_store_sql(src: str = "cln", nodes: str = "risk", corr: str = "enr",
+                      stats: str | None = None) -> str:
+    """FEA10 in SQL: same formulas as ``operators.features.feature_store``;
+    ``stats`` ('training') limits the rows that statistics are taken from."""
+    known = f" AND data = '{stats}'" if stats else ""
     from ..operators.features import ALL_FEATURES, CORRIDOR_LOOKUP, NODE_LOOKUP
     node_cols = ",\n  ".join(
         f"COALESCE(CAST(s.{c} AS DOUBLE), (SELECT median({c}) FROM {nodes})) AS src_{c},\n  "
@@ -315,11 +321,11 @@ def feature_store_sql(src: str = "cln", nodes: str = "risk", corr: str = "enr")
         for c in CORRIDOR_LOOKUP)
     final = ",\n  ".join(f"COALESCE(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in ALL_FEATURES)
     return f"""
-WITH hv AS (SELECT hour, count(trip_uuid) AS n FROM {src} WHERE hour IS NOT NULL GROUP BY hour),
+WITH hv AS (SELECT hour, count(trip_uuid) AS n FROM {src} WHERE hour IS NOT NULL{known} GROUP BY hour),
 f0 AS (
 SELECT c.trip_uuid, c.data, c.route_type, c.source_center, c.destination_center, c.actual_time,
   c.hour, c.dow, c.month, c.is_weekend, c.is_rush_hour,
-  COALESCE(c.cutoff_factor, (SELECT median(cutoff_factor) FROM {src})) AS cutoff_factor,
+  COALESCE(c.cutoff_factor, (SELECT median(cutoff_factor) FROM {src} WHERE true{known})) AS cutoff_factor,
   CAST(c.route_type = 'FTL' AS BIGINT) AS route_type_enc,
   ln(1 + c.osrm_time) AS log_osrm_time, ln(1 + c.osrm_distance) AS log_osrm_dist,
   ln(1 + c.actual_distance_to_destination) AS log_distance,
@@ -338,8 +344,8 @@ LEFT JOIN {corr} r ON c.source_center = r.source_center AND c.destination_center
 LEFT JOIN hv ON c.hour = hv.hour),
 f1 AS (
 SELECT *, CAST(trunc(COALESCE(corr_cross_community, 0.0)) AS BIGINT) AS cross_community_flag,
-  CAST(COALESCE(src_structural_risk_score > (SELECT quantile_cont(src_structural_risk_score, 0.75) FROM f0), false) AS BIGINT) AS high_risk_src,
-  CAST(COALESCE(dst_structural_risk_score > (SELECT quantile_cont(src_structural_risk_score, 0.75) FROM f0), false) AS BIGINT) AS high_risk_dst
+  CAST(COALESCE(src_structural_risk_score > (SELECT quantile_cont(src_structural_risk_score, 0.75) FROM f0 WHERE true{known}), false) AS BIGINT) AS high_risk_src,
+  CAST(COALESCE(dst_structural_risk_score > (SELECT quantile_cont(src_structural_risk_score, 0.75) FROM f0 WHERE true{known}), false) AS BIGINT) AS high_risk_dst
 FROM f0)
 SELECT trip_uuid, data, route_type, source_center, destination_center, actual_time,
   {final.replace("COALESCE(CAST(both_high_risk AS DOUBLE), 0.0)", "CAST(high_risk_src * high_risk_dst AS DOUBLE)")}

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shipgraph.operators.graph.community import communities, modularity
+from shipgraph.operators.graph.community import certificate, communities, modularity
 from shipgraph.operators.graph.edges import degrees, induced_subgraph, undirected, vertices
 from shipgraph.operators.graph.pagerank import hits, pagerank
 from shipgraph.operators.graph.paths import betweenness, closeness, shortest_paths
@@ -146,6 +146,49 @@ def test_communities_of_a_ring_of_cliques_are_settled(edges):
             assert q({**got, x: c}) <= best + 1e-9
 
 
+def test_certificate_of_settled_and_unsettled_communities(spark, edges):
+    """The certificate's gain is the one that brute force finds, and found
+    communities leave none."""
+    import random
+    rng = random.Random(5)
+    rows = [(f"n{i:02}", f"n{j:02}", rng.randint(1, 4)) for i in range(30) for j in range(30)
+            if rng.random() < (0.4 if i // 10 == j // 10 else 0.06)]
+    rows.append(("n00", "n00", 3))
+    e = edges(rows)
+    m = sum(w for *_, w in rows)
+
+    def q(of):
+        inner, deg = 0, {}
+        for a, b, w in rows:
+            inner += w * (of[a] == of[b])
+            for x in (a, b):
+                deg[of[x]] = deg.get(of[x], 0) + w
+        return inner / m - sum((d / (2 * m)) ** 2 for d in deg.values())
+
+    names = sorted({x for a, b, _ in rows for x in (a, b)})
+    mixed = {x: int(x[1:]) % 4 for x in names}
+    given = spark.createDataFrame(list(mixed.items()), "facility string, community_id long")
+    near = {(a, mixed[b]) for x, y, _ in rows for a, b in ((x, y), (y, x)) if mixed[a] != mixed[b]}
+    c = certificate(e, given).first()
+    assert c.largest_gain == pytest.approx(max(q({**mixed, x: to}) for x, to in near) - q(mixed))
+    assert c.quality == pytest.approx(q(mixed))
+    assert c.quality_alone == pytest.approx(q({x: x for x in names}))
+    assert (c.n_nodes, c.n_assigned, c.n_communities, c.dense_ids) == (len(names), len(names), 4, True)
+    found = certificate(e, communities(e)).first()
+    assert found.largest_gain <= 1e-11 and found.dense_ids and found.sizes_fall
+    assert found.quality > c.quality and found.n_assigned == len(names)
+    part = certificate(e, given.where("facility > 'n05'").withColumn(
+        "community_id", F.col("community_id") + 1)).first()
+    assert part.n_assigned == len(names) - 6 and not part.dense_ids
+
+
+def test_certificate_without_weight(spark):
+    none = spark.createDataFrame([], "src string, dst string, weight double")
+    given = spark.createDataFrame([], "facility string, community_id long")
+    c = certificate(none, given).first()
+    assert (c.n_nodes, c.n_communities, c.dense_ids, c.largest_gain) == (0, 0, True, 0.0)
+
+
 def test_embedding_keeps_the_singular_values(edges, spark):
     import numpy as np
     from shipgraph.operators.graph.embedding import svd_embedding

@@ -12,7 +12,8 @@ SF = "/root/testdata/sf0.001"
 KEYS = ["corridor_stats", "facility_stats", "data_quality", "sla_clarification",
         "blend_search", "pagerank", "leakage_audit", "supplier_degrees", "csv_shipments",
         "sample_summary", "clean_strategies", "delay_density_by_route", "breach_labels",
-        "iqr_outliers", "hub_upgrade_whatif", "score_features"]
+        "iqr_outliers", "hub_upgrade_whatif", "score_features", "feature_store_train",
+        "supplier_closeness", "supplier_betweenness"]
 
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="driver test data not present")
@@ -28,7 +29,7 @@ WITHOUT_SQL = {
     "communities", "community_summary", "lr_eval", "ridge_eval", "rf_eval", "gbt_eval",
     "graph_lift", "node_embeddings", "embedding_lift", "per_route_eval", "stacking_eval",
     "boosted_eval", "feature_importance", "benchmark_table", "residual_sample",
-    "corridor_clusters", "cluster_names", "score_eta"}
+    "corridor_clusters", "cluster_names", "score_eta", "supplier_communities"}
 
 
 def test_entry_smoke(spark):
