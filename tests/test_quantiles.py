@@ -70,3 +70,16 @@ def test_no_row_is_shuffled(spark):
         .executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Sort" not in plan.replace(
         "SortAggregate", "")
+
+
+def test_route_quantiles_send_the_bounds_to_the_rows(spark):
+    """The rows aren't dealt by route type, which would put them into two tasks."""
+    from shipgraph.operators.clean import route_quantiles
+    rows = spark.range(4000).selectExpr(
+        "CASE WHEN id % 4 = 0 THEN 'FTL' WHEN id % 4 < 3 THEN 'Carting' END AS route_type",
+        "CAST(id AS DOUBLE) AS actual_time", "id / 7.0D AS delay_ratio")
+    out = route_quantiles(rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    found = {r["route_type"]: r["n_above_q99"] for r in out.collect()}
+    assert found == {"FTL": 10, "Carting": 20}
