@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,3 +47,22 @@ def test_unknown_sources_of_statistics_are_refused(spark):
         feature_inputs(spark, SF, stats_from="test")
     with pytest.raises(ValueError, match="community"):
         feature_inputs(spark, SF, community="guessed")
+
+
+def test_correlation_is_one_matrix_and_not_one_aggregate_a_pair(spark):
+    from shipgraph.operators.features import feature_correlation
+    rng = np.random.default_rng(3)
+    a = rng.normal(5, 2, 300)
+    data = np.column_stack([a, 3 * a + rng.normal(0, 1, 300), 1e-14 * rng.random(300),
+                            np.full(300, 0.1)])
+    df = spark.createDataFrame(data.tolist(), "a double, b double, small double, same double")
+    out = feature_correlation(df, ["a", "b", "small", "same"])
+    assert "covar_pop" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["feature_a"], r["feature_b"]): r["corr"] for r in out.collect()}
+    assert len(got) == 6
+    want = np.corrcoef(data[:, :3], rowvar=False)
+    assert got["a", "b"] == pytest.approx(want[0, 1], rel=1e-10)
+    assert got["b", "small"] == pytest.approx(want[1, 2], rel=1e-9)
+    assert all(got[x, "same"] is None for x in ("a", "b", "small"))
+    none = feature_correlation(df.limit(0), ["a", "b"]).collect()
+    assert [tuple(r) for r in none] == [("a", "b", None)]
