@@ -66,3 +66,14 @@ def test_release_and_reports(spark, source, tmp_path):
     ar.publish_text(spark, str(tmp_path / "note.json"), "two")
     assert ar.read_text(spark, str(tmp_path / "note.json")) == "two"
     assert not [f for f in os.listdir(tmp_path) if f.startswith("note.json.")]
+
+
+def test_reports_on_derived_rows_join_the_driver_tables_once(spark, monkeypatch):
+    from shipgraph.plans import catalog
+    monkeypatch.setattr(catalog, "risk_nodes", lambda spark, sf_dir: spark.createDataFrame(
+        [("NAT001", 0.5), ("NAT002", 0.4), ("NAT003", 0.3), ("NAT004", 0.2)],
+        "facility string, structural_risk_score double"))
+    out = catalog.q_hub_exposure(spark, "/root/testdata/sf0.001")
+    files = out.inputFiles()
+    assert files and all("/derived_stats/" in f for f in files)
+    assert out.first()["affected_trips"] > 0
