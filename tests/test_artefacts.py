@@ -77,3 +77,21 @@ def test_reports_on_derived_rows_join_the_driver_tables_once(spark, monkeypatch)
     files = out.inputFiles()
     assert files and all("/derived_stats/" in f for f in files)
     assert out.first()["affected_trips"] > 0
+
+
+def test_a_split_is_written_without_sorting_the_rows_by_it(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+    from shipgraph.sources.sinks import WRITERS, write_table
+    seen, plain = [], DataFrameWriter.parquet
+
+    def parquet(self, *args, **kwargs):
+        seen.append(int(spark.conf.get(WRITERS, "0")))
+        return plain(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    before = spark.conf.get(WRITERS, None)
+    rows = spark.range(40).withColumn("data", F.concat(F.lit("s"), (F.col("id") % 20).cast("string")))
+    write_table(rows, str(tmp_path / "out"), partition_by=["data"])
+    assert seen[0] >= 2 and spark.conf.get(WRITERS, None) == before
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.id, r.data) for r in back.collect()) == [(i, f"s{i % 20}") for i in range(40)]
