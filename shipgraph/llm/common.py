@@ -3,9 +3,6 @@ Arrow batches of text and column-appending maps."""
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, ship_code
 
 FILE, ROW = "__file", "__row"
 #: Rows of an Arrow batch handed to Python.  Bounds a worker's memory by this
@@ -29,20 +26,6 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def ship_code(spark: SparkSession) -> None:
-    """Send this package to the executors, unless their Python path has it anyway."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    sc = spark.sparkContext
-    if (os.path.realpath(os.getcwd()) == os.path.realpath(root)
-            or root in os.environ.get("PYTHONPATH", "").split(os.pathsep)
-            or getattr(sc, "_package_sent", False)):
-        return
-    folder = tempfile.mkdtemp(prefix="package-")  # read by the driver alone, which serves it
-    sc.addPyFile(shutil.make_archive(f"{folder}/package", "zip", root,
-                                     os.path.basename(os.path.dirname(os.path.dirname(__file__)))))
-    sc._package_sent = True
-
-
 def small_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batch to BATCH_ROWS rows, as documents can be long."""
     ship_code(spark)

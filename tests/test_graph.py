@@ -1,12 +1,14 @@
 """Hand-computed toy graphs for the graph operators."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shipgraph.operators.graph.community import certificate, communities, modularity
 from shipgraph.operators.graph.edges import degrees, induced_subgraph, undirected, vertices
 from shipgraph.operators.graph.pagerank import hits, pagerank
-from shipgraph.operators.graph.paths import betweenness, closeness, shortest_paths
+from shipgraph.operators.graph.paths import (_packed, betweenness, closeness,
+                                             path_centralities, shortest_paths)
 
 
 def as_dict(df, col):
@@ -203,3 +205,56 @@ def test_embedding_keeps_the_singular_values(edges, spark):
                                  "src string, dst string, weight double")
     kept = {r.facility: r.embedding for r in svd_embedding(null, 2).collect()}
     assert np.linalg.norm([kept[x] for x in kept], axis=0) == pytest.approx([2.0, 1.0])
+
+
+def brute_centralities(rows, nodes):
+    """Distances by relaxation, then every shortest path counted by depth-first search."""
+    d = {(s, t): 0.0 if s == t else np.inf for s in nodes for t in nodes}
+    for s in nodes:
+        for _ in nodes:
+            for a, b, c in rows:
+                d[s, b] = min(d[s, b], d[s, a] + c)
+    close, between = {}, dict.fromkeys(nodes, 0.0)
+    for t in nodes:
+        far = [d[s, t] for s in nodes if s != t and d[s, t] < np.inf]
+        close[t] = (len(far) / sum(far)) * (len(far) / (len(nodes) - 1)) if far else 0.0
+    for s in nodes:
+        through = {t: [] for t in nodes}
+
+        def walk(path):
+            through[path[-1]].append(path)
+            for a, b, c in rows:
+                if a == path[-1] and a != b and d[s, a] + c == d[s, b]:
+                    walk([*path, b])
+
+        walk([s])
+        for t, paths in through.items():
+            for path in paths if t != s else []:
+                for x in path[1:-1]:
+                    between[x] += 1 / len(paths)
+    return close, between
+
+
+def test_centralities_over_many_strips_and_groups(spark, edges):
+    rows = [(f"n{i:02}", f"n{(i * 7 + 3 * k + 1) % 13:02}", float(1 + (i * k) % 3))
+            for i in range(13) for k in range(3)]
+    rows += rows[:4] + [("n05", "n05", 1.0), ("x", "y", 2.0)]  # repeated, a loop, an island
+    nodes = sorted({x for a, b, _ in rows for x in (a, b)})
+    close, between = brute_centralities(rows, nodes)
+    got = path_centralities(edges(rows), normalized=False, block=6, strip=4, group=3).collect()
+    assert len(got) == len(nodes)
+    for r in got:
+        assert r.closeness == pytest.approx(close[r.facility])
+        assert r.betweenness == pytest.approx(between[r.facility])
+
+
+def test_packed_edges_are_one_row_for_each_pair_of_groups(spark):
+    e = spark.createDataFrame([(v, w, float(v + w)) for v in range(8) for w in range(8) if v != w],
+                              "v_idx long, w_idx long, c double")
+    rows = _packed(e, "w_idx", "v_idx", 4).collect()
+    assert sorted((r.k, r.o) for r in rows) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+    for r in rows:
+        near, far, c = (np.frombuffer(x, t) for x, t in ((r.near, np.int32), (r.far, np.int32),
+                                                         (r.c, float)))
+        assert (np.diff(near) >= 0).all()
+        assert (c == near + far + 4 * (r.k + r.o)).all()
