@@ -193,6 +193,21 @@ def test_code_lengths(n):
         assert sorted(size) == [1, 2, 2]
 
 
+def test_codes_are_packed_in_two_passes(monkeypatch):
+    rng = np.random.default_rng(3)
+    codes = huffman.Codes(np.arange(3000), huffman.code_lengths(
+        (1.01 ** np.arange(3000)).astype(np.int64) + 1))
+    ids = rng.integers(0, 3000, 5000)
+    count, passes = np.bincount, []
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: passes.append(1) or count(*a, **k))
+    payload, offsets = codes.encode(ids)
+    assert len(passes) == 2
+    bits = "".join(f"{codes.code[i]:0{codes.length[i]}b}" for i in ids)
+    assert "".join(f"{x:08b}" for x in payload)[:len(bits)] == bits
+    assert (codes.decode(np.frombuffer(payload, np.uint8), offsets, len(ids)) == ids).all()
+    assert codes.encode(ids[:0])[0].strip(b"\0") == b""
+
+
 def test_blocks_decode_alone():
     rng = np.random.default_rng(0)
     x = np.minimum(rng.zipf(1.3, 5000), 60_000).astype(np.int64)
