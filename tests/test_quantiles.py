@@ -83,3 +83,39 @@ def test_route_quantiles_send_the_bounds_to_the_rows(spark):
     assert "strategy=broadcast" in plan
     found = {r["route_type"]: r["n_above_q99"] for r in out.collect()}
     assert found == {"FTL": 10, "Carting": 20}
+
+
+@pytest.mark.parametrize("few", [5000, 3])
+def test_hundreds_of_groups_have_the_medians_of_percentile(spark, monkeypatch, few):
+    monkeypatch.setitem(qu.HOT, "few", few)
+    df = spark.range(9000).select(
+        F.when(F.col("id") % 300 > 0, F.concat(F.lit("g"), (F.col("id") % 300).cast("string")))
+        .alias("g"), (F.col("id") % 2).alias("h"),
+        F.when(F.col("id") % 7 > 0, F.pmod(F.xxhash64("id"), F.lit(1000)) / 8.0).alias("x"),
+        F.when(F.col("id") % 300 != 5, (F.col("id") % 3).cast("double")).alias("y"))
+    specs = [("x", 0.5, "mx"), ("y", 0.5, "my")]
+    n = [F.count(F.lit(1)).alias("n")]
+    got = qu.group_quantiles(df, ["g", "h"], specs, n, "hot")
+    want = qu.group_quantiles(df, ["g", "h"], specs, n, "exact")
+    assert got.columns == want.columns and got.count() == 300
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_baseline_medians_are_not_gathered_in_a_task(spark, monkeypatch, tmp_path):
+    from shipgraph.plans import catalog
+    rows = spark.range(60).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'test' ELSE 'training' END AS data", "string(id) AS trip_uuid",
+        "'FTL' AS route_type", "CASE WHEN id > 8 THEN 'a' END AS source_center",
+        "CASE WHEN id % 9 = 0 THEN 'new' ELSE 'b' END AS destination_center",
+        "double(id + 3) AS actual_time", "2D AS osrm_time", "(id + 3) / 2D AS delay_ratio")
+    (tmp_path / "input").write_text("baseline")
+    monkeypatch.setattr(catalog, "cleaned", lambda spark, sf_dir: rows)
+    monkeypatch.setattr(catalog, "shipment_files", lambda sf_dir: [str(tmp_path / "input")])
+    out = catalog.baseline_predictions(spark, "")
+    assert "percentile" not in out._jdf.queryExecution().toString()
+    data = rows.where("data = 'training'").toPandas()
+    whole = float(data["delay_ratio"].median())
+    known = float(data[data["source_center"] == "a"]["delay_ratio"].median())
+    got = {r["trip_uuid"]: r["corridor_pred"] for r in out.collect()}
+    assert len(got) == 20 and got["3"] == 2 * whole and got["9"] == 2 * whole
+    assert got["12"] == got["57"] == 2 * known
